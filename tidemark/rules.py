@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import astuple, dataclass, field
+from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -232,7 +232,10 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def move_rule_table(spark: SparkSession, rules: tuple[MoveRule, ...]) -> DataFrame:
     return small_table(
         spark,
-        [astuple(r) for r in rules],
+        [
+            (r.trigger, r.series, r.kind, float(r.window_hours), float(r.threshold), r.enabled)
+            for r in rules
+        ],
         "trigger string, series string, kind string, window_hours double, "
         "threshold double, enabled boolean",
     )
