@@ -17,7 +17,14 @@ MONTHS = (
 
 
 def first_date(text: Column, formats: Sequence[str] = FILE_DATE_FORMATS) -> Column:
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats])
+    """First layout that reads. Two-digit years are 1969 to 2068."""
+    days = []
+    for layout in formats:
+        day = F.to_date(F.try_to_timestamp(text, F.lit(layout)))
+        if "yyyy" not in layout:
+            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+        days.append(day)
+    return F.coalesce(*days)
 
 
 def first_timestamp(text: Column, formats: Sequence[str] = SEEN_FORMATS) -> Column:

@@ -17,7 +17,12 @@ def latest_reading(readings: DataFrame, keys: tuple[str, ...] = ("series",)) ->
     return (
         readings.filter(F.col("value").isNotNull())
         .groupBy(*keys)
-        .agg(F.max_by(F.struct("ts", "value", "source", "id"), F.struct("ts", "id")).alias("r"))
+        .agg(
+            F.max_by(
+                F.struct(*[c for c in ("ts", "value", "source", "id") if c not in keys]),
+                F.struct("ts", "id"),
+            ).alias("r")
+        )
         .select(*keys, "r.*")
     )
 
