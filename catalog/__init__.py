@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each with the SQL it must agree with."""
 
-from catalog import alerts, derive, news, series  # noqa: F401
+from catalog import alerts, derive, health, news, reports, series  # noqa: F401
 from catalog.base import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from catalog.base import query
+from catalog.base import REGISTRY, query
 from catalog.tables import ARTICLES_SQL, READINGS_SQL, TZ, articles, readings, table
 from tidemark.functions.money import cached_call_usd
 from tidemark.operators import control, filters, ledger
@@ -230,9 +230,7 @@ LEVELS_SQL = "lv(subscriber, level, direction) AS (VALUES " + ", ".join(
 ) + ")"
 
 
-@query(
-    "level_crossings",
-    f"""WITH RECURSIVE {LEVELS_SQL},
+LEVEL_WALK_SQL = f"""WITH RECURSIVE {LEVELS_SQL},
     t AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS tick, arg_max(value, ts) AS p
       FROM events WHERE event_type = 'click' GROUP BY 1),
     q AS (SELECT *, row_number() OVER (ORDER BY tick) AS n FROM t),
@@ -252,7 +250,13 @@ LEVELS_SQL = "lv(subscriber, level, direction) AS (VALUES " + ", ".join(
               w.direction IN ('above', 'either') AND q.p >= w.level AND NOT w.a AS fa,
               w.direction IN ('above', 'either') AND q.p < w.level * 0.995 AND w.a AS up_clear
             FROM w JOIN q ON q.n = w.n + 1))))
-    SELECT subscriber, 'click' AS series, level, tick AS ts, p AS price,
+"""
+
+
+@query(
+    "level_crossings",
+    LEVEL_WALK_SQL
+    + """SELECT subscriber, 'click' AS series, level, tick AS ts, p AS price,
       CASE side WHEN 1 THEN 'above' ELSE 'below' END AS direction FROM w WHERE side > 0""",
 )
 def _crossings(spark, folder):
@@ -435,3 +439,6 @@ def _ledger(spark, folder):
 def _guard(spark, folder):
     out = ledger.spend_guard(ledger.priced_calls(calls(spark, folder), PRICES), PRICES)
     return out.select("call_id", "day", "outcome")
+
+
+REGISTRY_SQL = {name: REGISTRY[name].sql for name in ("level_crossings", "level_union")}

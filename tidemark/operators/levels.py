@@ -22,19 +22,17 @@ def level_union(configured: DataFrame, added: DataFrame) -> DataFrame:
     return both.groupBy("subscriber", "value").agg(pick.alias("l")).select("subscriber", "value", "l.*")
 
 
-def level_crossings(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Crossings of each level over the ticks of its series, without a gate.
+def _walk(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Each level walked over the ticks of its series: what fired, what is hit at the end.
 
-    Fires once, then stays silent until the price has retreated past the margin. The
-    ticks of a series (its last reading per tick) bound the walk; levels meet them by
-    series name.
+    The ticks of a series (its last reading per tick) bound the walk; levels meet them
+    by series name.
     """
     walks = ticks.groupBy("series").agg(
         F.sort_array(F.collect_list(F.struct("tick", "value"))).alias("walk")
     )
-    start = F.struct(
-        F.lit(0).alias("mask"), F.array().cast("array<struct<tick:bigint,price:double,side:int>>").alias("fired")
-    )
+    shots = "array<struct<tick:bigint,price:double,side:int>>"
+    start = F.struct(F.lit(0).alias("mask"), F.array().cast(shots).alias("fired"))
 
     def step(state: Column, row: Column) -> Column:
         side, left = level_step(state["mask"], row["value"], F.col("level"), F.col("direction"))
@@ -45,8 +43,17 @@ def level_crossings(ticks: DataFrame, levels: DataFrame) -> DataFrame:
         )
 
     named = levels.select("subscriber", "series", F.col("value").alias("level"), "direction")
-    fired = named.join(walks, "series").withColumn("f", F.aggregate("walk", start, step)["fired"])
-    return fired.select("subscriber", "series", "level", F.inline("f")).select(
+    return named.join(walks, "series").select(
+        "subscriber", "series", "level", F.aggregate("walk", start, step).alias("end")
+    )
+
+
+def level_crossings(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Crossings of each level, without a gate.
+
+    A level fires once, then stays silent until the price has retreated past the margin.
+    """
+    return _walk(ticks, levels).select("subscriber", "series", "level", F.inline("end.fired")).select(
         "subscriber",
         "series",
         "level",
@@ -56,6 +63,11 @@ def level_crossings(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
+def levels_hit(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Levels that have fired and not re-armed since, on either side."""
+    return _walk(ticks, levels).filter("end.mask > 0").select("subscriber", "series", "level")
+
+
 def level_ticks(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     """Price of the watched series at every tick for each level, as gate input."""
     named = levels.select(
