@@ -208,9 +208,9 @@ def scan_navs(spark: SparkSession, path: str, band: tuple[float, float] = NAV_BA
     f = _lines(spark, path).withColumn("f", parts).filter(F.size("f") >= 6)
     return f.select(
         "at",
-        F.col("f")[3].alias("scheme"),
-        clean_number(F.col("f")[4]).alias("nav"),
-        F.col("f")[5].alias("nav_date"),
+        F.get("f", F.lit(3)).alias("scheme"),
+        clean_number(F.get("f", F.lit(4))).alias("nav"),
+        F.get("f", F.lit(5)).alias("nav_date"),
     ).filter(F.col("nav").between(*map(F.lit, band)))
 
 
