@@ -405,7 +405,7 @@ def calls(spark, folder):
 @query(
     "call_costs",
     f"""WITH {CALLS_SQL} SELECT call_id, day, input_tokens, output_tokens, projected, cost,
-    round((cost + input_tokens * 3 * 0.1 + output_tokens * 3 * 1.25) / 1000000.0, 6) AS cached_usd FROM p""",
+    round((cost * 20 + input_tokens * 6 + output_tokens * 75) / 20, 0) / 1000000 AS cached_usd FROM p""",
 )
 def _costs(spark, folder):
     out = ledger.priced_calls(calls(spark, folder), PRICES)

@@ -68,9 +68,10 @@ def cached_call_usd(
     prices: Prices,
 ) -> Column:
     """Cache reads bill at a tenth of input, writes at five quarters; six decimals."""
-    micro = (
-        call_micro(input_tokens, output_tokens, prices)
-        + cache_read * F.lit(prices.input_micro * 0.1)
-        + cache_write * F.lit(prices.input_micro * 1.25)
+    # In twentieths of a micro-dollar all terms are whole, so halves round exactly.
+    twentieths = (
+        call_micro(input_tokens, output_tokens, prices) * 20
+        + cache_read * F.lit(prices.input_micro * 2)
+        + cache_write * F.lit(prices.input_micro * 25)
     )
-    return F.round(micro / F.lit(1e6), 6)
+    return F.round(twentieths / F.lit(20.0), 0) / F.lit(1e6)

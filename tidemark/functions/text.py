@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.rules import TWO_PART_TLDS
 
-_EDGE = r"[^\p{L}\p{N}_]"
+_WORD = r"[\p{L}\p{N}_]"
 
 
 def _quoted(term: str) -> str:
@@ -22,14 +22,19 @@ def any_term(text: Column, terms: Sequence[str]) -> Column:
     return F.coalesce(F.lower(text).rlike("|".join(_quoted(t) for t in terms)), F.lit(False))
 
 
-def word_pattern(keyword: str) -> str:
+def has_keyword(lowered: Column, keyword: str) -> Column:
     """Single words need token edges; phrases match as substrings.
 
-    The edges are spelled out because `\\b` treats accented letters differently
-    between regex engines.
+    A plain substring test comes first and settles most texts. The pattern starts with
+    the literal, so the edges are looked at only where it occurs. They are spelled out
+    because `\\b` treats accented letters differently between regex engines.
     """
     kw = keyword.lower().strip()
-    return _quoted(kw) if " " in kw else f"(^|{_EDGE}){_quoted(kw)}($|{_EDGE})"
+    inside = F.contains(lowered, F.lit(kw))
+    if " " in kw:
+        return inside
+    literal = _quoted(kw)
+    return inside & lowered.rlike(f"{literal}(?<!{_WORD}{literal})(?!{_WORD})")
 
 
 def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
@@ -37,7 +42,7 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
     lowered = F.lower(text)
     names = list(dict.fromkeys(k.lower().strip() for k in keywords if k.strip()))
     return F.array_compact(
-        F.array(*[F.when(lowered.rlike(word_pattern(k)), F.lit(k)) for k in names])
+        F.array(*[F.when(has_keyword(lowered, k), F.lit(k)) for k in names])
     )
 
 

@@ -13,6 +13,8 @@ its reason from equality joins on (subscriber, tick, trigger).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,22 +137,38 @@ def fold_fires(contenders: DataFrame, gate: Gate, prior: DataFrame | None = None
     def step(state: Column, row: Column) -> Column:
         new_day = state["day"].isNull() | (state["day"] != row["day"])
         already = F.coalesce(F.try_element_at(F.col("_counts"), row["day"]), F.lit(0))
-        sent = F.when(new_day, already).otherwise(state["sent"])
-        last = F.try_element_at(state["last"], row["trigger"])
-        cooling = last.isNotNull() & (row["tick"] - last < row["cooldown"])
-        passes = ~cooling & (sent < F.lit(gate.max_per_day)) & ~row["blocked"]
-        if levels:
-            mask = F.coalesce(F.try_element_at(state["hits"], row["level"]), F.lit(0))
-            side, left = level_step(mask, row["price"], row["level"], row["direction"])
-            wanted = row["level"].isNull() | (side > 0)
-            fires = passes & wanted
-            after = F.when(fires, left.bitwiseOR(side)).otherwise(left)
-            hits = F.when(row["level"].isNull() | (after == mask), state["hits"]).otherwise(
-                put(state["hits"], row["level"], after)
-            )
-            direction = F.when(side == 1, F.lit("above")).when(side == 2, F.lit("below"))
-        else:
-            fires, hits, direction = passes, state["hits"], row["direction"]
+        looked_up = F.struct(
+            F.when(new_day, already).otherwise(state["sent"]).alias("sent"),
+            F.try_element_at(state["last"], row["trigger"]).alias("last"),
+            F.coalesce(F.try_element_at(state["hits"], row["level"]), F.lit(0)).alias("mask"),
+        )
+        return let(looked_up, lambda x: judge(state, row, x))
+
+    def judge(state: Column, row: Column, x: Column) -> Column:
+        cooling = x["last"].isNotNull() & (row["tick"] - x["last"] < row["cooldown"])
+        passes = ~cooling & (x["sent"] < F.lit(gate.max_per_day)) & ~row["blocked"]
+        if not levels:
+            return let(passes, lambda fires: after(state, row, x, fires, state["hits"], row["direction"]))
+
+        def on_level(move: Column) -> Column:
+            fires = passes & (row["level"].isNull() | (move["side"] > 0))
+            return let(fires, lambda ok: mark(state, row, x, move, ok))
+
+        side, left = level_step(x["mask"], row["price"], row["level"], row["direction"])
+        move = F.when(row["level"].isNotNull(), F.struct(side.alias("side"), left.alias("left"))).otherwise(
+            F.struct(F.lit(0).alias("side"), x["mask"].alias("left"))
+        )
+        return let(move, on_level)
+
+    def mark(state: Column, row: Column, x: Column, move: Column, fires: Column) -> Column:
+        mask = F.when(fires, move["left"].bitwiseOR(move["side"])).otherwise(move["left"])
+        hits = F.when(mask == x["mask"], state["hits"]).otherwise(put(state["hits"], row["level"], mask))
+        direction = F.when(move["side"] == 1, F.lit("above")).when(move["side"] == 2, F.lit("below"))
+        return after(state, row, x, fires, hits, direction)
+
+    def after(
+        state: Column, row: Column, x: Column, fires: Column, hits: Column, direction: Column
+    ) -> Column:
         shot = F.struct(
             row["tick"].alias("tick"),
             row["trigger"].alias("trigger"),
@@ -160,7 +178,7 @@ def fold_fires(contenders: DataFrame, gate: Gate, prior: DataFrame | None = None
         )
         return F.struct(
             row["day"].alias("day"),
-            F.when(fires, sent + 1).otherwise(sent).alias("sent"),
+            F.when(fires, x["sent"] + 1).otherwise(x["sent"]).alias("sent"),
             F.when(fires, put(state["last"], row["trigger"], row["tick"]))
             .otherwise(state["last"])
             .alias("last"),
@@ -174,6 +192,11 @@ def fold_fires(contenders: DataFrame, gate: Gate, prior: DataFrame | None = None
     return folded.select("subscriber", F.inline("fired"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value, so that an expression that uses it often computes it once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def level_step(mask: Column, price: Column, level: Column, direction: Column) -> tuple[Column, Column]:
     """(side that fires: 0, 1 above, 2 below; mask after re-arming).
 

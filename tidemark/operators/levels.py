@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import change_pct
-from tidemark.operators.gate import level_step
+from tidemark.operators.gate import let, level_step
 
 LEVEL_TRIGGER = "inr_price_levels"
 LEVEL_SEVERITY = 10.0  # a level someone set outranks a configured threshold
@@ -36,10 +36,15 @@ def _walk(ticks: DataFrame, levels: DataFrame) -> DataFrame:
 
     def step(state: Column, row: Column) -> Column:
         side, left = level_step(state["mask"], row["value"], F.col("level"), F.col("direction"))
-        shot = F.struct(row["tick"].alias("tick"), row["value"].alias("price"), side.alias("side"))
+        return let(F.struct(side.alias("side"), left.alias("left")), lambda m: after(state, row, m))
+
+    def after(state: Column, row: Column, move: Column) -> Column:
+        shot = F.struct(row["tick"].alias("tick"), row["value"].alias("price"), move["side"].alias("side"))
         return F.struct(
-            left.bitwiseOR(side).alias("mask"),
-            F.when(side > 0, F.concat(state["fired"], F.array(shot))).otherwise(state["fired"]).alias("fired"),
+            move["left"].bitwiseOR(move["side"]).alias("mask"),
+            F.when(move["side"] > 0, F.concat(state["fired"], F.array(shot)))
+            .otherwise(state["fired"])
+            .alias("fired"),
         )
 
     named = levels.select("subscriber", "series", F.col("value").alias("level"), "direction")
