@@ -262,7 +262,7 @@ LEVEL_WALK_SQL = f"""WITH RECURSIVE {LEVELS_SQL},
 def _crossings(spark, folder):
     ticks = tick_series(readings(spark, folder).filter("series = 'click'"), 30)
     levels = small_table(spark, WATCHED, LEVEL_COLS).withColumn("series", F.lit("click"))
-    return level_crossings(ticks, levels)
+    return level_crossings(ticks, levels).withColumn("series", F.lit("click"))
 
 
 def _user_levels(spark, folder):

@@ -39,8 +39,9 @@ def _scan(spark, folder):
     )
     ticks = tick_series(r.filter("series = 'click'"), 30)
     levels = small_table(spark, alerts.WATCHED, alerts.LEVEL_COLS).withColumn("series", F.lit("click"))
+    crossings = level_crossings(ticks, levels).withColumn("series", F.lit("click"))
     out = trigger_scan(
-        moves, conflict_events(pairs, alerts.CONFLICT), level_crossings(ticks, levels), alerts.CONFLICT
+        moves, conflict_events(pairs, alerts.CONFLICT), crossings, alerts.CONFLICT
     )
     return out.withColumn("severity", F.round("severity", 6))
 

@@ -5,21 +5,20 @@ cooldown and the day's budget. Only fired alerts consume cooldown and budget.
 
 Within one tick and trigger only the worst candidates can fire (one, or up to the
 daily budget where a trigger has no cooldown), so candidates are ranked down to those
-first, with the limit applied before the shuffle. What one subscriber folds is then
-bounded by ticks x triggers, not by how many candidates a hot subscriber has. The
-fold returns only what fired, at most the budget per day. Every other candidate gets
+first, with the limit applied before the shuffle. What is walked for one subscriber is
+then bounded by ticks x triggers, not by how many candidates a hot subscriber has. The
+walk returns only what fired, at most the budget per day. Every other candidate gets
 its reason from equality joins on (subscriber, tick, trigger).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import in_daily_window, local_day, minute_of_day, tick_of
-from tidemark.rules import REARM_MARGIN_PCT, Gate
+from tidemark.operators.walk import LEVEL_COLS, walk
+from tidemark.rules import Gate
 
 KEY = ["subscriber", "tick", "trigger"]
 
@@ -61,159 +60,6 @@ def _contenders(candidates: DataFrame, gate: Gate) -> DataFrame:
     )
 
 
-def _state(prior: DataFrame | None) -> DataFrame | None:
-    """Per subscriber: last fire of each trigger and fires per local day so far."""
-    if prior is None:
-        return None
-    return (
-        prior.groupBy("subscriber", "trigger")
-        .agg(F.max("tick").alias("last"))
-        .groupBy("subscriber")
-        .agg(F.map_from_entries(F.collect_list(F.struct("trigger", "last"))).alias("_last"))
-    )
-
-
-def _prior_counts(prior: DataFrame, tz: str) -> DataFrame:
-    day = local_day(F.timestamp_seconds("tick"), tz)
-    return (
-        prior.groupBy("subscriber", day.alias("day"))
-        .agg(F.count("*").cast("int").alias("n"))
-        .groupBy("subscriber")
-        .agg(F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("_counts"))
-    )
-
-
-_FIRED = "array<struct<tick:bigint,trigger:string,id:bigint,level:double,direction:string>>"
-_LEVEL_COLS = {"level": "double", "direction": "string", "price": "double"}
-
-
-def _no_level() -> dict[str, Column]:
-    """Level columns of a row that is not about a level."""
-    empty = {name: F.lit(None).cast(kind) for name, kind in _LEVEL_COLS.items()}
-    return {**empty, "blocked": F.lit(False)}
-
-
-def fold_fires(contenders: DataFrame, gate: Gate, prior: DataFrame | None = None) -> DataFrame:
-    """Fired rows among contenders, walked per subscriber in (tick, severity) order.
-
-    State: the local day, alerts sent on it, last fire per trigger and, where level
-    rows take part, which sides of each level are hit (1 above, 2 below). A level row
-    re-arms even at a blocked tick; it is marked hit only if the gate lets it pass.
-    """
-    levels = "level" in contenders.columns
-    rows = contenders if levels else contenders.withColumns(_no_level())
-    entry = F.struct(
-        "tick",
-        (-F.col("severity")).alias("neg"),
-        "id",
-        local_day(F.timestamp_seconds("tick"), gate.tz).alias("day"),
-        "trigger",
-        "cooldown",
-        "level",
-        "direction",
-        "price",
-        "blocked",
-    )
-    queues = rows.groupBy("subscriber").agg(F.sort_array(F.collect_list(entry)).alias("queue"))
-    if prior is not None:
-        queues = queues.join(_state(prior), "subscriber", "left").join(
-            _prior_counts(prior, gate.tz), "subscriber", "left"
-        )
-    else:
-        queues = queues.withColumn("_last", F.lit(None).cast("map<string,bigint>")).withColumn(
-            "_counts", F.lit(None).cast("map<date,int>")
-        )
-    start = F.struct(
-        F.lit(None).cast("date").alias("day"),
-        F.lit(0).alias("sent"),
-        F.coalesce("_last", F.create_map().cast("map<string,bigint>")).alias("last"),
-        F.create_map().cast("map<double,int>").alias("hits"),
-        F.array().cast(_FIRED).alias("fired"),
-    )
-
-    def put(entries: Column, key: Column, value: Column) -> Column:
-        return F.map_concat(F.map_filter(entries, lambda k, _v: k != key), F.create_map(key, value))
-
-    def step(state: Column, row: Column) -> Column:
-        new_day = state["day"].isNull() | (state["day"] != row["day"])
-        already = F.coalesce(F.try_element_at(F.col("_counts"), row["day"]), F.lit(0))
-        looked_up = F.struct(
-            F.when(new_day, already).otherwise(state["sent"]).alias("sent"),
-            F.try_element_at(state["last"], row["trigger"]).alias("last"),
-            F.coalesce(F.try_element_at(state["hits"], row["level"]), F.lit(0)).alias("mask"),
-        )
-        return let(looked_up, lambda x: judge(state, row, x))
-
-    def judge(state: Column, row: Column, x: Column) -> Column:
-        cooling = x["last"].isNotNull() & (row["tick"] - x["last"] < row["cooldown"])
-        passes = ~cooling & (x["sent"] < F.lit(gate.max_per_day)) & ~row["blocked"]
-        if not levels:
-            return let(passes, lambda fires: after(state, row, x, fires, state["hits"], row["direction"]))
-
-        def on_level(move: Column) -> Column:
-            fires = passes & (row["level"].isNull() | (move["side"] > 0))
-            return let(fires, lambda ok: mark(state, row, x, move, ok))
-
-        side, left = level_step(x["mask"], row["price"], row["level"], row["direction"])
-        move = F.when(row["level"].isNotNull(), F.struct(side.alias("side"), left.alias("left"))).otherwise(
-            F.struct(F.lit(0).alias("side"), x["mask"].alias("left"))
-        )
-        return let(move, on_level)
-
-    def mark(state: Column, row: Column, x: Column, move: Column, fires: Column) -> Column:
-        mask = F.when(fires, move["left"].bitwiseOR(move["side"])).otherwise(move["left"])
-        hits = F.when(mask == x["mask"], state["hits"]).otherwise(put(state["hits"], row["level"], mask))
-        direction = F.when(move["side"] == 1, F.lit("above")).when(move["side"] == 2, F.lit("below"))
-        return after(state, row, x, fires, hits, direction)
-
-    def after(
-        state: Column, row: Column, x: Column, fires: Column, hits: Column, direction: Column
-    ) -> Column:
-        shot = F.struct(
-            row["tick"].alias("tick"),
-            row["trigger"].alias("trigger"),
-            row["id"].alias("id"),
-            row["level"].alias("level"),
-            direction.alias("direction"),
-        )
-        return F.struct(
-            row["day"].alias("day"),
-            F.when(fires, x["sent"] + 1).otherwise(x["sent"]).alias("sent"),
-            F.when(fires, put(state["last"], row["trigger"], row["tick"]))
-            .otherwise(state["last"])
-            .alias("last"),
-            hits.alias("hits"),
-            F.when(fires, F.concat(state["fired"], F.array(shot)))
-            .otherwise(state["fired"])
-            .alias("fired"),
-        )
-
-    folded = queues.select("subscriber", F.aggregate("queue", start, step)["fired"].alias("fired"))
-    return folded.select("subscriber", F.inline("fired"))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value, so that an expression that uses it often computes it once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def level_step(mask: Column, price: Column, level: Column, direction: Column) -> tuple[Column, Column]:
-    """(side that fires: 0, 1 above, 2 below; mask after re-arming).
-
-    Re-arming clears both sides. Above is looked at first, and one event per level
-    and tick is enough.
-    """
-    margin = level * F.lit(REARM_MARGIN_PCT / 100.0)
-    watch_up, watch_down = direction.isin("above", "either"), direction.isin("below", "either")
-    hit_up, hit_down = mask.bitwiseAND(F.lit(1)) > 0, mask.bitwiseAND(F.lit(2)) > 0
-    fire_up = watch_up & (price >= level) & ~hit_up
-    clear_up = watch_up & (price < level) & hit_up & (price < level - margin)
-    fire_down = watch_down & ~fire_up & (price <= level) & (~hit_down | clear_up)
-    clear_down = watch_down & ~fire_up & (price > level) & hit_down & (price > level + margin)
-    left = F.when(clear_up | clear_down, F.lit(0)).otherwise(mask)
-    return F.when(fire_up, F.lit(1)).when(fire_down, F.lit(2)).otherwise(F.lit(0)), left
-
-
 def _cooling_ticks(fires: DataFrame, tick_minutes: int) -> DataFrame:
     """(subscriber, tick, trigger) after a fire and inside its cooldown."""
     width = tick_minutes * 60
@@ -258,11 +104,10 @@ def gated_fires(
             watched = watched.join(
                 muted.withColumn("_muted", F.lit(True)), ["subscriber", "tick"], "left"
             ).withColumn("blocked", F.col("_quiet") | F.coalesce("_muted", F.lit(False)))
-        shared = [*KEY, "id", "severity", "cooldown", *_LEVEL_COLS, "blocked"]
-        contenders = contenders.withColumns(_no_level()).select(*shared).unionByName(
-            watched.select(*shared)
-        )
-    return fold_fires(contenders, gate, prior)
+        shared = [*KEY, "id", "severity", "cooldown", *LEVEL_COLS]
+        contenders = contenders.unionByName(watched.select(*shared), allowMissingColumns=True)
+    fired = walk(contenders, gate.tz, gate.max_per_day, prior).filter("what = 'fired'")
+    return fired.select("subscriber", "tick", "trigger", "id", "level", "direction")
 
 
 def alert_gate(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import change_pct
-from tidemark.operators.gate import let, level_step
+from tidemark.operators.walk import walk
 
+SALTS = 16
+NO_BUDGET = 2**31 - 1
 LEVEL_TRIGGER = "inr_price_levels"
 LEVEL_SEVERITY = 10.0  # a level someone set outranks a configured threshold
 
@@ -22,79 +24,58 @@ def level_union(configured: DataFrame, added: DataFrame) -> DataFrame:
     return both.groupBy("subscriber", "value").agg(pick.alias("l")).select("subscriber", "value", "l.*")
 
 
-def _walk(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Each level walked over the ticks of its series: what fired, what is hit at the end.
-
-    The ticks of a series (its last reading per tick) bound the walk; levels meet them
-    by series name.
-    """
-    walks = ticks.groupBy("series").agg(
-        F.sort_array(F.collect_list(F.struct("tick", "value"))).alias("walk")
-    )
-    shots = "array<struct<tick:bigint,price:double,side:int>>"
-    start = F.struct(F.lit(0).alias("mask"), F.array().cast(shots).alias("fired"))
-
-    def step(state: Column, row: Column) -> Column:
-        side, left = level_step(state["mask"], row["value"], F.col("level"), F.col("direction"))
-        return let(F.struct(side.alias("side"), left.alias("left")), lambda m: after(state, row, m))
-
-    def after(state: Column, row: Column, move: Column) -> Column:
-        shot = F.struct(row["tick"].alias("tick"), row["value"].alias("price"), move["side"].alias("side"))
-        return F.struct(
-            move["left"].bitwiseOR(move["side"]).alias("mask"),
-            F.when(move["side"] > 0, F.concat(state["fired"], F.array(shot)))
-            .otherwise(state["fired"])
-            .alias("fired"),
-        )
-
-    named = levels.select("subscriber", "series", F.col("value").alias("level"), "direction")
-    return named.join(walks, "series").select(
-        "subscriber", "series", "level", F.aggregate("walk", start, step).alias("end")
-    )
-
-
-def level_crossings(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Crossings of each level, without a gate.
+def level_ticks(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Price of the watched series at every tick for each level.
 
-    A level fires once, then stays silent until the price has retreated past the margin.
+    Many levels may watch one series, so the equality join is salted: ticks, few by
+    nature, are repeated per salt, and the levels of a series spread over the salts.
     """
-    return _walk(ticks, levels).select("subscriber", "series", "level", F.inline("end.fired")).select(
-        "subscriber",
-        "series",
-        "level",
-        F.timestamp_seconds("tick").alias("ts"),
-        "price",
-        F.when(F.col("side") == 1, F.lit("above")).otherwise(F.lit("below")).alias("direction"),
-    )
-
-
-def levels_hit(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Levels that have fired and not re-armed since, on either side."""
-    return _walk(ticks, levels).filter("end.mask > 0").select("subscriber", "series", "level")
-
-
-def level_ticks(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Price of the watched series at every tick for each level, as gate input."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = ticks.select("series", "tick", F.col("value").alias("price"), salts.alias("_salt"))
     named = levels.select(
         "subscriber",
         "series",
         F.col("value").alias("level"),
         "direction",
-        (F.when(F.col("origin") == "config", 0).otherwise(1)).alias("_p"),
+        F.when(F.col("origin") == "config", 0).otherwise(1).alias("_p"),
+        F.pmod(F.hash("subscriber"), F.lit(SALTS)).alias("_salt"),
     )
-    return named.join(ticks, "series").select(
+    return named.join(spread, ["series", "_salt"]).select(
         "subscriber",
+        "series",
         F.lit(LEVEL_TRIGGER).alias("trigger"),
         "tick",
         "level",
         "direction",
-        F.col("value").alias("price"),
+        "price",
         F.lit(LEVEL_SEVERITY).alias("severity"),
         # Configured levels come before added ones, then by value.
         (F.col("_p") * F.lit(10**15) + F.round(F.col("level") * 10_000)).cast("bigint").alias("id"),
     )
 
 
+def _ungated(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Level rows walked with no cooldown and no budget, one series at a time."""
+    named = levels if "origin" in levels.columns else levels.withColumn("origin", F.lit("config"))
+    rows = level_ticks(ticks, named).withColumn("cooldown", F.lit(0).cast("bigint"))
+    return walk(rows, "UTC", NO_BUDGET)
+
+
+def level_crossings(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Crossings of each level, without a gate.
+
+    A level fires once, then stays silent until the price has retreated past the
+    margin. The levels of a subscriber watch one series.
+    """
+    fired = _ungated(ticks, levels).filter("what = 'fired'")
+    return fired.select("subscriber", "level", F.timestamp_seconds("tick").alias("ts"), "price", "direction")
+
+
+def levels_hit(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Levels that have fired and not re-armed since, on either side."""
+    return _ungated(ticks, levels).filter("what = 'hit'").select("subscriber", "level")
+
+
 def level_distance(levels: DataFrame, latest: DataFrame) -> DataFrame:
     """Percent from the latest price of the series to each level."""
     current = latest.select("series", F.col("value").alias("current"))
