@@ -310,7 +310,7 @@ def _gated_levels(spark, folder):
     """Level and move alerts through one gate; checked by brute force in the tests."""
     ticks = tick_series(readings(spark, folder).filter("series = 'click'"), 30)
     levels = level_union(small_table(spark, WATCHED, LEVEL_COLS), _user_levels(spark, folder))
-    watched = level_ticks(ticks, levels.withColumn("series", F.lit("click")))
+    watched = level_ticks(ticks, levels.withColumn("series", F.lit("click")), GATE)
     fires = gated_fires(candidates(spark, folder), GATE, mutes(spark), level_ticks=watched)
     return fires.withColumn("tick", F.timestamp_seconds("tick"))
 

@@ -221,7 +221,7 @@ def test_gated_levels_brute_force(spark, seed):
     mutes = [(1, base + 20_000, base + 60_000)]
     want, shots = walk(cands, gate, mutes, levels=sorted(levels, key=lambda x: x[1]), prices=prices)
     lv = spark.createDataFrame([(s, v, d, "", "config") for s, v, d in levels], LEVELS).withColumn("series", F.lit("p"))
-    watched = level_ticks(price_ticks(spark, prices), lv)
+    watched = level_ticks(price_ticks(spark, prices), lv, gate)
     df = spark.createDataFrame(cands, COLS)
     m = spark.createDataFrame(
         [(s, datetime.fromtimestamp(a, UTC), datetime.fromtimestamp(b, UTC)) for s, a, b in mutes],

@@ -70,6 +70,11 @@ def local_day(ts: Column, tz: str) -> Column:
     return F.to_date(local_time(ts, tz))
 
 
+def local_day_number(tick: Column, tz: str) -> Column:
+    """Local day of an epoch second, as days since 1970."""
+    return F.unix_date(local_day(F.timestamp_seconds(tick), tz))
+
+
 def minute_of_day(ts: Column, tz: str) -> Column:
     local = local_time(ts, tz)
     return F.hour(local) * 60 + F.minute(local)

@@ -89,24 +89,15 @@ def gated_fires(
 ) -> DataFrame:
     """The fired rows alone: subscriber, tick, trigger, id, level, direction.
 
-    `level_ticks` (subscriber, trigger, tick, level, direction, price, severity, id)
-    holds the price at every tick for each watched level; ticks and levels bound it.
+    `level_ticks`, from `levels.level_ticks` with the same gate, holds the price at every
+    tick for each watched level; ticks and levels bound it.
     """
     contenders = _contenders(_prepared(candidates, gate).filter(~F.col("_quiet")), gate)
-    muted = muted_ticks(mutes, gate.tick_minutes) if mutes is not None else None
-    if muted is not None:
-        contenders = contenders.join(muted, ["subscriber", "tick"], "left_anti")
     if level_ticks is not None:
-        watched = _prepared(
-            level_ticks.withColumn("ts", F.timestamp_seconds("tick")), gate
-        ).withColumn("blocked", F.col("_quiet"))
-        if muted is not None:
-            watched = watched.join(
-                muted.withColumn("_muted", F.lit(True)), ["subscriber", "tick"], "left"
-            ).withColumn("blocked", F.col("_quiet") | F.coalesce("_muted", F.lit(False)))
+        watched = level_ticks.withColumn("cooldown", cooldown_column(gate))
         shared = [*KEY, "id", "severity", "cooldown", *LEVEL_COLS]
         contenders = contenders.unionByName(watched.select(*shared), allowMissingColumns=True)
-    fired = walk(contenders, gate.tz, gate.max_per_day, prior).filter("what = 'fired'")
+    fired = walk(contenders, gate.tz, gate.max_per_day, prior, mutes).filter("what = 'fired'")
     return fired.select("subscriber", "tick", "trigger", "id", "level", "direction")
 
 

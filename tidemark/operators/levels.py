@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import in_daily_window, local_day_number, minute_of_day
 from tidemark.functions.numbers import change_pct
 from tidemark.operators.walk import walk
+from tidemark.rules import Gate
 
 SALTS = 16
-NO_BUDGET = 2**31 - 1
 LEVEL_TRIGGER = "inr_price_levels"
 LEVEL_SEVERITY = 10.0  # a level someone set outranks a configured threshold
+# A gate that lets everything pass.
+FREE = Gate(tz="UTC", max_per_day=2**31 - 1, cooldown_hours=0, quiet_from=0, quiet_to=0)
 
 
 def level_union(configured: DataFrame, added: DataFrame) -> DataFrame:
@@ -24,14 +27,23 @@ def level_union(configured: DataFrame, added: DataFrame) -> DataFrame:
     return both.groupBy("subscriber", "value").agg(pick.alias("l")).select("subscriber", "value", "l.*")
 
 
-def level_ticks(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+def level_ticks(ticks: DataFrame, levels: DataFrame, gate: Gate = FREE) -> DataFrame:
     """Price of the watched series at every tick for each level.
 
+    What depends on the tick alone (its local day, whether it is quiet) is worked out
+    once per tick, before the levels multiply the rows.
     Many levels may watch one series, so the equality join is salted: ticks, few by
     nature, are repeated per salt, and the levels of a series spread over the salts.
     """
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    spread = ticks.select("series", "tick", F.col("value").alias("price"), salts.alias("_salt"))
+    minute = minute_of_day(F.timestamp_seconds("tick"), gate.tz)
+    spread = ticks.select(
+        "series",
+        "tick",
+        F.col("value").alias("price"),
+        local_day_number(F.col("tick"), gate.tz).alias("day"),
+        in_daily_window(minute, gate.quiet_from, gate.quiet_to).alias("blocked"),
+    ).select("*", salts.alias("_salt"))
     named = levels.select(
         "subscriber",
         "series",
@@ -48,6 +60,8 @@ def level_ticks(ticks: DataFrame, levels: DataFrame) -> DataFrame:
         "level",
         "direction",
         "price",
+        "day",
+        "blocked",
         F.lit(LEVEL_SEVERITY).alias("severity"),
         # Configured levels come before added ones, then by value.
         (F.col("_p") * F.lit(10**15) + F.round(F.col("level") * 10_000)).cast("bigint").alias("id"),
@@ -58,7 +72,7 @@ def _ungated(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     """Level rows walked with no cooldown and no budget, one series at a time."""
     named = levels if "origin" in levels.columns else levels.withColumn("origin", F.lit("config"))
     rows = level_ticks(ticks, named).withColumn("cooldown", F.lit(0).cast("bigint"))
-    return walk(rows, "UTC", NO_BUDGET)
+    return walk(rows, FREE.tz, FREE.max_per_day)
 
 
 def level_crossings(ticks: DataFrame, levels: DataFrame) -> DataFrame:

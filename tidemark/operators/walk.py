@@ -15,20 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import local_day
+from tidemark.functions.dates import local_day_number
 from tidemark.rules import REARM_MARGIN_PCT
 
 ABOVE, BELOW = 1, 2
 _SIDE = {ABOVE: "above", BELOW: "below"}
 _IN = (
-    "subscriber", "stage", "tick", "day", "trigger", "id", "cooldown", "level", "direction", "price", "blocked",
+    "subscriber", "stage", "tick", "day", "trigger", "id", "cooldown", "level", "direction", "price", "blocked", "until",
 )
 _OUT = "what string, subscriber bigint, tick bigint, trigger string, id bigint, level double, direction string, price double"
 _TYPES = [
     ("what", pa.string()), ("subscriber", pa.int64()), ("tick", pa.int64()), ("trigger", pa.string()),
     ("id", pa.int64()), ("level", pa.float64()), ("direction", pa.string()), ("price", pa.float64()),
 ]
-LEVEL_COLS = {"level": "double", "direction": "string", "price": "double", "blocked": "boolean"}
+LEVEL_COLS = {"level": "double", "direction": "string", "price": "double", "blocked": "boolean", "day": "int"}
 
 
 def level_move(mask: int, price: float, level: float, direction: str) -> tuple[int, int]:
@@ -55,15 +55,18 @@ def level_move(mask: int, price: float, level: float, direction: str) -> tuple[i
 
 def _walker(max_per_day: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, sent, last, hits = None, {}, {}, {}
+        current, sent, last, hits, muted = None, {}, {}, {}, 0
         for batch in batches:
             out: list[tuple] = []
-            for sub, stage, tick, day, trigger, ident, cooldown, level, direction, price, blocked in zip(
+            for sub, stage, tick, day, trigger, ident, cooldown, level, direction, price, blocked, until in zip(
                 *(batch.column(c).to_pylist() for c in _IN), strict=True
             ):
                 if sub != current:
                     out.extend(_left(current, hits))
-                    current, sent, last, hits = sub, {}, {}, {}
+                    current, sent, last, hits, muted = sub, {}, {}, {}, 0
+                if until is not None:
+                    muted = max(muted, until)
+                    continue
                 if stage == 0:  # a fire of an earlier run
                     sent[day] = sent.get(day, 0) + 1
                     last[trigger] = max(tick, last.get(trigger, tick))
@@ -73,7 +76,7 @@ def _walker(max_per_day: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     side, hits[level] = level_move(hits.get(level, 0), price, level, direction)
                     if not side:
                         continue
-                if blocked or sent.get(day, 0) >= max_per_day:
+                if blocked or tick < muted or sent.get(day, 0) >= max_per_day:
                     continue
                 before = last.get(trigger)
                 if before is not None and tick - before < cooldown:
@@ -100,11 +103,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [n for n, _t in _TYPES])
 
 
-def walk(rows: DataFrame, tz: str, max_per_day: int, prior: DataFrame | None = None) -> DataFrame:
+def walk(
+    rows: DataFrame,
+    tz: str,
+    max_per_day: int,
+    prior: DataFrame | None = None,
+    mutes: DataFrame | None = None,
+) -> DataFrame:
     """Fires, and levels left hit, of rows walked in (tick, severity, id) order.
 
     Rows: subscriber, tick, trigger, id, severity, cooldown, and the level columns for
     rows that are about a level. `prior` fires (subscriber, tick, trigger) set the state.
+    A mute is a row of the stream too: from its start on, ticks before its end are muted.
     """
     missing = {n: F.lit(None).cast(t) for n, t in LEVEL_COLS.items() if n not in rows.columns}
     stream = rows.withColumns(missing).withColumn("stage", F.lit(1))
@@ -112,10 +122,19 @@ def walk(rows: DataFrame, tz: str, max_per_day: int, prior: DataFrame | None = N
         stream = stream.unionByName(
             prior.select("subscriber", "tick", "trigger").withColumn("stage", F.lit(0)), allowMissingColumns=True
         )
+    stream = stream.withColumn("until", F.lit(None).cast("bigint"))
+    if mutes is not None:
+        seconds = lambda c: F.ceil(F.unix_micros(c) / F.lit(1e6)).cast("bigint")
+        starts = mutes.select(
+            "subscriber", seconds("from_ts").alias("tick"), seconds("until_ts").alias("until"), F.lit(1).alias("stage")
+        )
+        stream = stream.unionByName(starts, allowMissingColumns=True)
     ordered = (
-        stream.withColumn("day", F.date_diff(local_day(F.timestamp_seconds("tick"), tz), F.lit("1970-01-01")))
+        stream.withColumn("day", F.coalesce("day", local_day_number(F.col("tick"), tz)))
         .withColumn("blocked", F.coalesce("blocked", F.lit(False)))
         .repartition("subscriber")
-        .sortWithinPartitions("subscriber", "stage", "tick", F.desc("severity"), "id")
+        .sortWithinPartitions(
+            "subscriber", "stage", "tick", F.desc_nulls_last("until"), F.desc("severity"), "id"
+        )
     )
     return ordered.select(*_IN).mapInArrow(_walker(max_per_day), _OUT)
