@@ -67,7 +67,7 @@ def stale(spark, folder):
         "value",
     )
     kinds = small_table(spark, [(k, c) for k, c, _ in BUDGETS], "kind string, category string")
-    categories = r.select("source", "kind").distinct().join(F.broadcast(kinds), "kind").drop("kind")
+    categories = r.select("source", "kind").distinct().join(kinds, "kind").drop("kind")
     budgets = small_table(spark, [(c, h) for _, c, h in BUDGETS], "category string, budget_hours double")
     return staleness(r, categories, budgets, NOW)
 

@@ -132,7 +132,7 @@ def _novelty(spark, folder):
 def _topk(spark, folder):
     p = pages(spark, folder).select("id", "site", "domain", "title")
     marked = headlines.mark_new(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"), "site")
-    return headlines.capped(marked).select("id", "domain", "title", "is_new", "rank")
+    return headlines.capped(marked, by=["domain"]).select("id", "domain", "title", "is_new", "rank")
 
 
 @query(

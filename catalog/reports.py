@@ -56,7 +56,7 @@ ORDER = [("view", 1, "Views"), ("click", 2, "Clicks"), ("purchase", 3, "Purchase
     ch AS (SELECT series, day, (value / nullif(lag(value) OVER (PARTITION BY series ORDER BY day), 0) - 1) * 100 AS c FROM d),
     lc AS (SELECT series, arg_max(c, day) AS c FROM ch GROUP BY 1),
     o(series, place, label) AS (VALUES ('view', 1, 'Views'), ('click', 2, 'Clicks'), ('purchase', 3, 'Purchases')),
-    rd AS (SELECT 'readings' AS section, row_number() OVER (ORDER BY coalesce(place, 1000000), series) AS ord, series AS key,
+    rd AS (SELECT 'readings' AS section, coalesce(place, 1000000) AS ord, series AS key,
       '- ' || coalesce(label, series) || ': ' || format('{{:,.2f}}', value) || ' pt' ||
       coalesce(format(' (session {{:+.2f}}%)', c), '') || ', source: ' || source AS text
       FROM lt LEFT JOIN o USING (series) LEFT JOIN lc USING (series)),
@@ -65,19 +65,19 @@ ORDER = [("view", 1, "Views"), ("click", 2, "Clicks"), ("purchase", 3, "Purchase
       FROM d WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY 1 HAVING count(*) >= 2),
     mk AS (SELECT id, domain, title, NOT EXISTS (SELECT 1 FROM h o WHERE o.id % 2 = 0 AND o.site = n.site) AS is_new
       FROM h n WHERE id % 2 = 1),
-    tk AS (SELECT * FROM mk QUALIFY row_number() OVER (PARTITION BY domain, is_new ORDER BY id)
-      <= CASE WHEN is_new THEN 25 ELSE 10 END),
+    tk AS (SELECT *, row_number() OVER (PARTITION BY is_new ORDER BY id) AS rank FROM mk
+      QUALIFY rank <= CASE WHEN is_new THEN 25 ELSE 10 END),
     gp AS (SELECT 'failed' AS kind, source, error AS detail FROM runs WHERE run_id = '2024-01-20' AND NOT ok
       UNION ALL SELECT 'stale', source, format('newest reading is {{:.1f}}h old, past its {{:.0f}}h freshness budget',
       age_hours, budget_hours) FROM st WHERE age_hours > budget_hours),
     lb AS (SELECT subscriber, max(ts) AS ts, arg_max(mode, ts) AS mode FROM b WHERE mode <> 'alert' GROUP BY 1)
     SELECT section, CAST(ord AS INTEGER) AS ord, key, text FROM (SELECT * FROM rd
-    UNION ALL SELECT 'trend', row_number() OVER (ORDER BY series), series, '- ' || series || ': ' || rendered || ' -> '
+    UNION ALL SELECT 'trend', 0, series, '- ' || series || ': ' || rendered || ' -> '
       || format('{{:+.2f}}', dir) || '% over the window' FROM tb
     UNION ALL SELECT CASE WHEN is_new THEN 'headlines_new' ELSE 'headlines_known' END,
-      row_number() OVER (PARTITION BY is_new ORDER BY domain, id), CAST(id AS VARCHAR), '- [' || domain || '] ' || title FROM tk
-    UNION ALL SELECT 'gaps', row_number() OVER (ORDER BY kind, source), source, '- ' || source || ': ' || detail FROM gp
-    UNION ALL SELECT 'previous', row_number() OVER (ORDER BY ts), mode, '- ' || mode || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') FROM lb)""",
+      rank, CAST(id AS VARCHAR), '- [' || domain || '] ' || title FROM tk
+    UNION ALL SELECT 'gaps', 0, source, '- ' || source || ': ' || detail FROM gp
+    UNION ALL SELECT 'previous', 0, CAST(subscriber AS VARCHAR), '- ' || mode || ' at ' || strftime(ts, '%Y-%m-%d %H:%M') FROM lb)""",
 )
 def _facts(spark, folder):
     r = readings(spark, folder)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import query
 from catalog.tables import DAILY_SQL, NOW, READINGS_SQL, TZ, readings, table
 from tidemark.functions.dates import expiry_date
-from tidemark.functions.text import any_term
 from tidemark.operators import filters
 from tidemark.operators.asof import window_baseline
 from tidemark.operators.health import asof_age
@@ -33,8 +34,8 @@ from tidemark.rules import small_table
 WITH_DAILY = f"WITH {READINGS_SQL}, {DAILY_SQL}"
 
 
-def _daily(spark: SparkSession, folder: str) -> DataFrame:
-    return daily_series(readings(spark, folder), TZ)
+def _daily(spark: SparkSession, folder: str, since: datetime | None = None) -> DataFrame:
+    return daily_series(readings(spark, folder, since), TZ)
 
 
 @query(
@@ -76,7 +77,7 @@ def _latest(spark, folder):
     SELECT id, series, ts, value FROM r WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'""",
 )
 def _history(spark, folder):
-    return trailing(readings(spark, folder), NOW, 7).select("id", "series", "ts", "value")
+    return trailing(readings(spark, folder, NOW - timedelta(days=7)), NOW, 7).select("id", "series", "ts", "value")
 
 
 @query("daily_series", f"{WITH_DAILY} SELECT series, day, value FROM d")
@@ -158,7 +159,7 @@ def _net_position(spark, folder):
     GROUP BY series, n.n HAVING count(*) >= 2""",
 )
 def _price_extremes(spark, folder):
-    return extremes(_daily(spark, folder), NOW)
+    return extremes(_daily(spark, folder, NOW - timedelta(days=30)), NOW)
 
 
 @query(
@@ -170,7 +171,7 @@ def _price_extremes(spark, folder):
     FROM d WHERE ts >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1 HAVING count(*) >= 2""",
 )
 def _trend_block(spark, folder):
-    out = trend(since(_daily(spark, folder), NOW, 7))
+    out = trend(since(_daily(spark, folder, NOW - timedelta(days=7)), NOW, 7))
     return out.withColumn("direction_pct", F.round("direction_pct", 2))
 
 

@@ -35,7 +35,7 @@ def test_spend_guard_brute_force(spark, seed):
             want[i] = "allowed"
             spent[day] += cost
     df = spark.createDataFrame(rows, "call_id bigint, day date, projected bigint, cost bigint")
-    got = {r["call_id"]: r["outcome"] for r in ledger.spend_guard(df, prices, parts=4).collect()}
+    got = {r["call_id"]: r["outcome"] for r in ledger.spend_guard(df, prices, rows_per_part=50).collect()}
     assert got == want and set(want.values()) == {"per_run", "daily", "allowed"}
 
 

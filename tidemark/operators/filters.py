@@ -21,7 +21,7 @@ def plausible_by_series(df: DataFrame, bands: DataFrame) -> DataFrame:
 
     `bands` (series, lo, hi) is configuration built by `rules.small_table`.
     """
-    joined = df.join(F.broadcast(bands), "series", "left")
+    joined = df.join(bands, "series", "left")
     ok = F.col("lo").isNull() | F.col("value").between(F.col("lo"), F.col("hi"))
     return joined.filter(ok).drop("lo", "hi")
 

@@ -92,9 +92,11 @@ def flagged(df: DataFrame, text: Column, terms: Sequence[str], group: Sequence[s
     return top_per_group(df.filter(any_term(text, terms)), group, order, k)
 
 
-def capped(df: DataFrame, new_cap: int = 25, known_cap: int = 10, group: str = "domain", order: str = "id") -> DataFrame:
+def capped(
+    df: DataFrame, new_cap: int = 25, known_cap: int = 10, by: Sequence[str] = (), order: str = "id"
+) -> DataFrame:
     """New headlines up to one cap, known ones up to another, in feed order."""
-    ranked = top_per_group(df, [group, "is_new"], [order], max(new_cap, known_cap))
+    ranked = top_per_group(df, [*by, "is_new"], [order], max(new_cap, known_cap))
     return ranked.filter(F.col("rank") <= F.when(F.col("is_new"), new_cap).otherwise(known_cap))
 
 

@@ -24,7 +24,7 @@ def asof_age(readings: DataFrame, limits: DataFrame, today: date) -> DataFrame:
     )
     age = F.date_diff(F.lit(today), "observed")
     return (
-        newest.join(F.broadcast(limits), "series")
+        newest.join(limits, "series")
         .filter((age > F.col("limit_days")) | (F.col("limit_days") < 0))
         .select("series", "source", "observed", age.alias("age_days"))
     )
@@ -79,7 +79,7 @@ def staleness(
     )
     return (
         newest.join(categories, "source")
-        .join(F.broadcast(budgets), "category")
+        .join(budgets, "category")
         .withColumn("age_hours", hours_between(F.lit(now), F.col("newest")))
         .filter(F.col("age_hours") > F.col("budget_hours"))
         .select("source", "category", "newest", "age_hours", "budget_hours")

@@ -38,16 +38,16 @@ def merge_ledger(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     )
 
 
-def spend_guard(calls: DataFrame, prices: Prices, parts: int = 64) -> DataFrame:
+def spend_guard(calls: DataFrame, prices: Prices, rows_per_part: int = 1_000_000) -> DataFrame:
     """Add `outcome`: allowed, per_run or daily. Refused calls add nothing.
 
     Walking a whole day in one task is avoided by an exact cut. What is left of the
     cap only shrinks, so once a call of some projected cost is refused, every later
     one of that cost is too: the allowed calls of one projection are its first ones.
     A call can therefore be allowed only if the actual costs of the earlier calls of
-    the same projection leave room for it. That is checked inside each of `parts`
-    slices of a day first, so that no slice sees a hot day whole, and what survives is
-    bounded by the cap over the cheapest call. Only survivors are walked in call order.
+    the same projection leave room for it. That is checked inside slices of about
+    `rows_per_part` rows first, so that no task sees a hot day whole, and what survives
+    is bounded by the cap over the cheapest call. Only survivors are walked in order.
     """
     fits = calls.filter(F.col("projected") <= prices.per_run_cap_micro)
     room = F.lit(prices.daily_cap_micro) - F.col("projected")
@@ -58,8 +58,10 @@ def spend_guard(calls: DataFrame, prices: Prices, parts: int = 64) -> DataFrame:
             F.col("_spent") <= room
         )
 
+    largest = fits.groupBy("day", "projected").agg(F.count("*").alias("n")).agg(F.max("n"))
+    parts = F.ceil(F.coalesce(largest.scalar(), F.lit(1)) / F.lit(rows_per_part))
     sliced = fits.select("day", "call_id", "projected", "cost").withColumn(
-        "_part", F.pmod(F.hash("call_id"), F.lit(parts))
+        "_part", F.pmod(F.xxhash64("call_id"), parts)
     )
     survivors = cut(cut(sliced, "day", "projected", "_part").drop("_spent"), "day", "projected")
     queue = survivors.groupBy("day").agg(

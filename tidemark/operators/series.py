@@ -3,7 +3,7 @@ where a series has one row per day however many readings it holds."""
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +29,11 @@ def latest_reading(readings: DataFrame, keys: tuple[str, ...] = ("series",)) ->
 
 def trailing(readings: DataFrame, now: datetime, days: float) -> DataFrame:
     """Readings of the last `days`, oldest first per series. No row limit."""
-    cutoff = F.lit(now) - F.expr(f"INTERVAL '{round(days * 86400)}' SECOND")
-    return readings.filter(F.col("ts") >= cutoff).orderBy("series", "ts", "id")
+    since = now - timedelta(days=days)
+    kept = readings.filter(F.col("ts") >= F.lit(since))
+    if "event_date" in readings.columns:  # prunes partitions of a stored table
+        kept = kept.filter(F.col("event_date") >= F.lit(since.date()))
+    return kept.orderBy("series", "ts", "id")
 
 
 def daily_series(readings: DataFrame, tz: str, keys: tuple[str, ...] = ("series",)) -> DataFrame:

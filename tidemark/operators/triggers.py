@@ -44,10 +44,10 @@ def move_candidates(readings: DataFrame, rules: DataFrame, width: Column | None
     """
     probes = (
         readings.filter(F.col("value").isNotNull())
-        .join(F.broadcast(rules.filter("enabled")), "series")
+        .join(rules.filter("enabled"), "series")
         .select("trigger", "kind", "window_hours", "threshold", "series", "ts", "id", "value")
     )
-    watched = readings.join(F.broadcast(rules.select("series").distinct()), "series", "left_semi")
+    watched = readings.join(rules.select("series").distinct(), "series", "left_semi")
     based = window_baseline(probes, watched, width).withColumn("_base", F.col("baseline.value"))
     moved = based.withColumn("_move", move_of(F.col("kind"), F.col("value"), F.col("_base")))
     return (

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import grouped, round_levels, signed
 
+LAST_PLACE = 1_000_000  # of series that have no place in the presentation order
+
 
 def reading_line(label: Column, value: Column, unit: Column, source: Column, suffix: Column) -> Column:
     """`- label: 1,234.50 unit (session +1.20%), source: name`; no decimals from 1e7 on."""
@@ -34,11 +36,10 @@ def change_suffix(row_fields: dict[str, Column]) -> Column:
 
 def reading_facts(latest: DataFrame, changes: DataFrame, order: DataFrame) -> DataFrame:
     """Latest readings in presentation order; series without a place follow by name."""
-    rows = latest.join(F.broadcast(order), "series", "left").join(changes, "series", "left")
-    ranked = Window.orderBy(F.coalesce("place", F.lit(1_000_000)), "series")
+    rows = latest.join(order, "series", "left").join(changes, "series", "left")
     return rows.select(
         F.lit("readings").alias("section"),
-        F.row_number().over(ranked).alias("ord"),
+        F.coalesce("place", F.lit(LAST_PLACE)).alias("ord"),
         F.col("series").alias("key"),
         reading_line(
             F.coalesce("label", "series"),
@@ -55,14 +56,14 @@ def brief_facts(
 ) -> DataFrame:
     """Rows (section, ord, key, text) of every section that has something to say.
 
-    `readings` come from `reading_facts`; headlines carry domain, title, url, is_new
-    and are already capped. Orders run over rows that the caps and the series list
-    bound.
+    Within a section rows sort by (ord, key). `readings` come from `reading_facts`;
+    headlines are capped and carry their rank. No section is numbered by a window over
+    all of its rows, so a long list of gaps never meets in one task.
     """
-    by = lambda *cols: F.row_number().over(Window.orderBy(*cols))
+    unranked = F.lit(0).alias("ord")
     trend_rows = trends.select(
         F.lit("trend").alias("section"),
-        by("series").alias("ord"),
+        unranked,
         F.col("series").alias("key"),
         F.concat(
             F.lit("- "), "series", F.lit(": "), "rendered", F.lit(" -> "),
@@ -71,20 +72,20 @@ def brief_facts(
     )
     news = headlines.select(
         F.when(F.col("is_new"), F.lit("headlines_new")).otherwise(F.lit("headlines_known")).alias("section"),
-        F.row_number().over(Window.partitionBy("is_new").orderBy("domain", "id")).alias("ord"),
+        F.col("rank").alias("ord"),
         F.col("id").cast("string").alias("key"),
         F.concat(F.lit("- ["), "domain", F.lit("] "), "title").alias("text"),
     )
     gap_rows = gaps.select(
         F.lit("gaps").alias("section"),
-        by("kind", "source").alias("ord"),
+        unranked,
         F.col("source").alias("key"),
         F.concat(F.lit("- "), "source", F.lit(": "), "detail").alias("text"),
     )
     prior = previous.select(
         F.lit("previous").alias("section"),
-        by("ts").alias("ord"),
-        F.col("mode").alias("key"),
+        unranked,
+        F.col("subscriber").cast("string").alias("key"),
         F.concat(F.lit("- "), "mode", F.lit(" at "), F.date_format("ts", "yyyy-MM-dd HH:mm")).alias("text"),
     )
     out = readings

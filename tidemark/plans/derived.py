@@ -110,7 +110,7 @@ def season_flags(days: DataFrame, seasons: DataFrame, lead_days: int = SEASON_LE
     )
     ahead = F.date_diff("start", "day")
     state = F.when(~F.col("point") & (ahead <= 0), F.lit("active")).otherwise(F.lit("ahead"))
-    return days.join(F.broadcast(flagged), "day").select(
+    return days.join(flagged, "day").select(
         "day", "name", state.alias("state"), F.when(state == "ahead", ahead).alias("days_ahead")
     )
 

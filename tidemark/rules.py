@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MAX_RULE_ROWS = 10_000  # a rule table is configuration; refuse to broadcast more
 
@@ -223,10 +224,14 @@ SEASONS = (
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A configuration table; its size is checked because callers broadcast it."""
+    """A configuration table with a broadcast hint, given only after its size is checked.
+
+    The hint stays with the table through projections, so the jobs that join it need
+    none of their own; a table that comes from elsewhere is joined as Spark sees fit.
+    """
     if len(rows) > MAX_RULE_ROWS:
         raise ValueError(f"{len(rows)} rule rows; at most {MAX_RULE_ROWS} may be broadcast")
-    return spark.createDataFrame(rows, schema)
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def move_rule_table(spark: SparkSession, rules: tuple[MoveRule, ...]) -> DataFrame:
