@@ -11,7 +11,7 @@ from catalog.base import query
 from catalog.tables import DAILY_SQL, NOW, READINGS_SQL, TZ, readings, table
 from tidemark.functions.dates import expiry_date
 from tidemark.operators import filters
-from tidemark.operators.asof import window_baseline
+from tidemark.operators.asof import rolling_baseline
 from tidemark.operators.health import asof_age
 from tidemark.operators.series import (
     align,
@@ -48,9 +48,9 @@ def _daily(spark: SparkSession, folder: str, since: datetime | None = None) -> D
                FROM r GROUP BY 1) f ON f.series = p.series""",
 )
 def _window_baseline(spark, folder):
-    r = readings(spark, folder)
-    probes = r.select("id", "series", "ts", "value", F.lit(4.0).alias("window_hours"))
-    return window_baseline(probes, r).select(
+    four_hours = F.array(F.struct(F.lit(4.0).alias("window_hours")))
+    r = readings(spark, folder).select("id", "series", "ts", "value", four_hours.alias("windows"))
+    return rolling_baseline(r, "windows").select(
         "id",
         "series",
         "ts",

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import bucket_width, window_baseline
+from tidemark.operators.asof import bucket_width, rolling_baseline, window_baseline
 from tidemark.operators.series import daily_series, exact_median, extremes, latest_reading, net_position
 from tidemark.operators.triggers import move_candidates
 from tidemark.rules import MoveRule, move_rule_table
@@ -33,8 +33,12 @@ def test_window_baseline_brute_force(spark, width):
     rows += [("cold", T0, None)]
     df = readings(spark, rows)
     probes = df.withColumn("window_hours", F.lit(0.25))
-    out = window_baseline(probes, df, None if width is None else F.lit(width).cast("bigint")).collect()
+    wide = None if width is None else F.lit(width).cast("bigint")
+    out = window_baseline(probes, df, wide).collect()
     assert len(out) == len(rows)
+    same = df.withColumn("windows", F.array(F.struct(F.lit(0.25).alias("window_hours"), F.lit("x").alias("tag"))))
+    by_scan = {r["id"]: r["baseline"] for r in rolling_baseline(same, "windows", wide).collect()}
+    assert by_scan == {r["id"]: r["baseline"] for r in out if r["value"] is not None}
     data = [(s, t, i, v) for i, (s, t, v) in enumerate(rows) if v is not None]
     for r in out:
         s, t, _v = rows[r["id"]]

@@ -155,3 +155,47 @@ def window_baseline(probes: DataFrame, readings: DataFrame, width: Column | None
     return walked.withColumn("baseline", F.coalesce("_hit", "_oldest")).drop(
         "_hit", "_oldest", "_cutoff"
     )
+
+
+def rolling_baseline(readings: DataFrame, windows: str, width: Column | None = None) -> DataFrame:
+    """The baseline of every reading for each of its windows, from one scan.
+
+    `windows` names an array column of structs with `window_hours`; its fields and the reading's
+    own columns come back beside `baseline`. Same result as `window_baseline` with the
+    readings as probes, but each reading is read once and turned into its data row and
+    its probes on the spot.
+    """
+    data = readings.filter(F.col("value").isNotNull()).withColumnRenamed(windows, "_w")
+    point = F.struct("value", "ts", "id")
+    own = [F.col(c) for c in readings.columns if c != windows]
+    fields = data.schema["_w"].dataType.elementType.names
+
+    def probe(w: Column) -> Column:
+        return F.struct(*own, *[w[f].alias(f) for f in fields])
+
+    def entry(t: Column, kind: int, tie: Column, data_part: Column, probe_part: Column) -> Column:
+        return F.struct(
+            t.alias("_t"),
+            F.lit(kind).alias("_kind"),
+            tie.cast("bigint").alias("_tie"),
+            data_part.alias("_data"),
+            probe_part.alias("_probe"),
+        )
+
+    no_point = F.when(F.lit(False), point)
+    no_probe = F.when(F.lit(False), probe(F.get("_w", F.lit(0))))
+    rows = F.concat(
+        F.array(entry(F.col("ts"), 0, F.col("id"), point, no_probe)),
+        F.transform(
+            "_w",
+            lambda w: entry(shift_hours(F.col("ts"), -w["window_hours"]), 1, F.lit(0), no_point, probe(w)),
+        ),
+    )
+    stacked = data.select("series", F.inline(rows))
+    width = bucket_width(data, ["series"], "ts") if width is None else width
+    walked = carry_forward(
+        stacked, ["series"], "_t", ["_kind", "_tie"], {"_hit": "_data"}, {"_oldest": "_data"}, width
+    )
+    return walked.filter(F.col("_kind") == 1).select(
+        "_probe.*", F.coalesce("_hit", "_oldest").alias("baseline")
+    )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import tick_of
 from tidemark.functions.text import keyword_hits
-from tidemark.operators.asof import window_baseline
+from tidemark.operators.asof import rolling_baseline
 from tidemark.operators.filters import allowed
 from tidemark.rules import ConflictRule
 
@@ -42,13 +42,13 @@ def move_candidates(readings: DataFrame, rules: DataFrame, width: Column | None
     comes from the rounded one. A rule without a usable baseline yields nothing and
     leaves the other rules alone.
     """
-    probes = (
-        readings.filter(F.col("value").isNotNull())
-        .join(rules.filter("enabled"), "series")
-        .select("trigger", "kind", "window_hours", "threshold", "series", "ts", "id", "value")
+    per_series = (
+        rules.filter("enabled")
+        .groupBy("series")
+        .agg(F.collect_list(F.struct("trigger", "kind", "window_hours", "threshold")).alias("_rules"))
     )
-    watched = readings.join(rules.select("series").distinct(), "series", "left_semi")
-    based = window_baseline(probes, watched, width).withColumn("_base", F.col("baseline.value"))
+    watched = readings.select("series", "ts", "id", "value").join(per_series, "series")
+    based = rolling_baseline(watched, "_rules", width).withColumn("_base", F.col("baseline.value"))
     moved = based.withColumn("_move", move_of(F.col("kind"), F.col("value"), F.col("_base")))
     return (
         moved.filter(F.abs("_move") >= F.col("threshold"))
