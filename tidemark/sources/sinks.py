@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.headlines import upsert
 from tidemark.operators.ledger import merge_ledger
+from tidemark.schema import HEADLINES, SPEND
 
 BUCKETS = 64
 
@@ -71,19 +72,13 @@ def _bucket(key: str, buckets: int):  # noqa: ANN202 - Column
     return F.pmod(F.hash(key), F.lit(buckets))
 
 
-HEADLINE_COLS = (
-    "url string, domain string, source string, published_at timestamp, first_seen timestamp, "
-    "title string, summary string, keywords array<string>"
-)
-
-
 def upsert_headlines(spark: SparkSession, path: str, batch: DataFrame, buckets: int = BUCKETS) -> None:
     """Keep what was first stored, overwrite title, summary and keywords; hashed by url."""
 
     def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
         return upsert(stored, fresh).drop("is_new").withColumn("bucket", _bucket("url", buckets))
 
-    merge_into(spark, path, batch.withColumn("bucket", _bucket("url", buckets)), "bucket", merge, HEADLINE_COLS)
+    merge_into(spark, path, batch.withColumn("bucket", _bucket("url", buckets)), "bucket", merge, HEADLINES)
 
 
 def add_spend(spark: SparkSession, path: str, fresh: DataFrame) -> None:
@@ -94,9 +89,7 @@ def add_spend(spark: SparkSession, path: str, fresh: DataFrame) -> None:
         cols = ["day", "cost_micro", "calls"]
         return merge_ledger(stored.select(*cols), batch.select(*cols)).withColumn("month", month)
 
-    merge_into(
-        spark, path, fresh.withColumn("month", month), "month", merge, "day date, cost_micro bigint, calls bigint"
-    )
+    merge_into(spark, path, fresh.withColumn("month", month), "month", merge, SPEND)
 
 
 def replace_latest(

@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.gate import alert_gate
 from tidemark.rules import Gate
-
-_FIRES = "subscriber bigint, tick bigint, trigger string, id bigint"
-
+from tidemark.schema import FIRES
 
 def prior_fires(spark: SparkSession, ledger: str, batch_id: int, since: int | None = None) -> DataFrame:
     """Fires of earlier batches; `since` (epoch seconds) bounds how far back they matter."""
-    fires = spark.read.schema(_FIRES + ", batch bigint").parquet(ledger).filter(F.col("batch") < batch_id)
+    fires = spark.read.schema(FIRES + ", batch bigint").parquet(ledger).filter(F.col("batch") < batch_id)
     return fires if since is None else fires.filter(F.col("tick") >= since)
 
 
@@ -33,7 +31,7 @@ def gate_batches(
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        spark.createDataFrame([], _FIRES).write.mode("ignore").parquet(f"{ledger}/batch=-1")
+        spark.createDataFrame([], FIRES).write.mode("ignore").parquet(f"{ledger}/batch=-1")
         batch.persist()
         try:
             first = batch.agg(F.min(F.unix_seconds("ts")).alias("t")).scalar()
