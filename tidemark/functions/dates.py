@@ -34,19 +34,15 @@ def first_timestamp(text: Column, formats: Sequence[str] = SEEN_FORMATS) -> Colu
 def month_number(name: Column) -> Column:
     """1-12 from an English month name or its first three letters, any case."""
     short = F.substring(F.lower(name), 1, 3)
-    return F.coalesce(
-        *[F.when(short == m[:3], F.lit(i)) for i, m in enumerate(MONTHS, start=1)]
-    )
+    place = F.instr(F.lit("".join(m[:3] for m in MONTHS)), short)
+    return F.when((F.length(short) == 3) & (place % 3 == 1), ((place + 2) / 3).cast("int"))
 
 
 def safe_date(year: Column, month: Column, day: Column) -> Column:
     """Null instead of an error for the 31st of February."""
-    return F.to_date(
-        F.try_to_timestamp(
-            F.format_string("%04d-%02d-%02d", year.cast("int"), month.cast("int"), day.cast("int")),
-            F.lit("yyyy-MM-dd"),
-        )
-    )
+    parts = [c.cast("string") for c in (year, month, day)]
+    whole = F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2])
+    return whole.try_cast("date")
 
 
 def expiry_date(text: Column) -> Column:
@@ -57,8 +53,8 @@ def expiry_date(text: Column) -> Column:
     month = month_number(F.regexp_extract(trimmed, pattern, 3))
     year = F.regexp_extract(trimmed, pattern, 4).try_cast("int")
     return F.coalesce(
-        F.when(day.isNotNull() & month.isNotNull(), safe_date(year, month, day)),
-        F.to_date(F.try_to_timestamp(trimmed, F.lit("yyyy-MM-dd"))),
+        safe_date(year, month, day),
+        F.when(trimmed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), trimmed.try_cast("date")),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.rules import TWO_PART_TLDS
 
 _WORD = r"[\p{L}\p{N}_]"
+_BREAK = "\x01"  # a character no keyword holds
 
 
 def _quoted(term: str) -> str:
@@ -38,12 +39,15 @@ def has_keyword(lowered: Column, keyword: str) -> Column:
 
 
 def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
-    """Which keywords occur, each once, in list order."""
+    """Which keywords occur, each once, in list order.
+
+    Built from functions that take part in code generation, so that the text is
+    lowered once for all keywords.
+    """
     lowered = F.lower(text)
     names = list(dict.fromkeys(k.lower().strip() for k in keywords if k.strip()))
-    return F.array_compact(
-        F.array(*[F.when(has_keyword(lowered, k), F.lit(k)) for k in names])
-    )
+    joined = F.concat_ws(_BREAK, *[F.when(has_keyword(lowered, k), F.lit(k)) for k in names])
+    return F.array_remove(F.split(joined, _BREAK), "")
 
 
 def domain_of(url: Column) -> Column:

@@ -11,11 +11,10 @@ from tidemark.rules import LEVEL_BAND, MUTE_CAP_HOURS
 _PRICE = r"(-?[\d,]+(?:\.\d+)?)"
 
 
-def level_value(argument: Column) -> Column:
-    """First number of an argument, group commas dropped, inside the plausible band."""
-    digits = F.regexp_replace(F.regexp_extract(F.regexp_replace(argument, " ", ""), _PRICE, 1), ",", "")
-    value = digits.try_cast("double")
-    return F.when(value.between(*map(F.lit, LEVEL_BAND)), value)
+def first_number(argument: Column) -> Column:
+    """First number of an argument, blanks and group commas dropped."""
+    digits = F.regexp_extract(F.replace(argument, F.lit(" "), F.lit("")), _PRICE, 1)
+    return F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
 
 
 def level_direction(argument: Column) -> Column:
@@ -37,17 +36,29 @@ def level_note(argument: Column) -> Column:
 def parse(events: DataFrame, known: DataFrame) -> DataFrame:
     """Commands of known subscribers with their parsed arguments."""
     verb = F.regexp_extract("text", r"^/(\w+)", 1)
-    argument = F.regexp_replace("text", r"^/\w+\s*", "")
-    hours = duration_hours(argument)
-    return events.join(known.select("subscriber").distinct(), "subscriber", "left_semi").select(
+    argument = F.regexp_extract("text", r"^/\w+\s*(.*)$", 1)
+    mine = events.join(known.select("subscriber").distinct(), "subscriber", "left_semi")
+    # Each argument is read once: generated columns are not worked out again by the
+    # filters further on.
+    split = mine.select(
+        "subscriber", "seq", "ts", F.inline(F.array(F.struct(verb.alias("verb"), argument.alias("argument"))))
+    )
+    on = lambda *verbs: F.col("verb").isin(*verbs)
+    read = F.struct(
+        F.when(on("set", "unset"), first_number(F.col("argument"))).alias("number"),
+        F.when(on("set"), level_direction(F.col("argument"))).alias("direction"),
+        F.when(on("set"), level_note(F.col("argument"))).alias("note"),
+        F.when(on("mute"), duration_hours(F.col("argument"))).alias("asked"),
+    )
+    return split.select("subscriber", "seq", "ts", "verb", F.inline(F.array(read))).select(
         "subscriber",
         "seq",
         "ts",
-        verb.alias("verb"),
-        F.when(verb.isin("set", "unset"), level_value(argument)).alias("value"),
-        level_direction(argument).alias("direction"),
-        level_note(argument).alias("note"),
-        F.when((verb == "mute") & (hours > 0), F.least(hours, F.lit(MUTE_CAP_HOURS))).alias("hours"),
+        "verb",
+        F.when(F.col("number").between(*map(F.lit, LEVEL_BAND)), F.col("number")).alias("value"),
+        "direction",
+        "note",
+        F.when(F.col("asked") > 0, F.least("asked", F.lit(MUTE_CAP_HOURS))).alias("hours"),
     )
 
 

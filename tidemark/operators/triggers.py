@@ -87,17 +87,18 @@ def conflict_pairs(
     tick_minutes: int,
 ) -> DataFrame:
     """(tick, article, keyword hits) of allowed domains; one row per covered tick."""
+    ticks = covering_ticks(F.col("first_seen"), rule.window_hours, tick_minutes)
     return (
         allowed(articles, "domain", domains)
         .withColumn("hits", keyword_hits(text, keywords))
-        .filter(F.size("hits") > 0)
         .select(
             "domain",
             "title",
             "first_seen",
             "id",
             "hits",
-            F.explode(covering_ticks(F.col("first_seen"), rule.window_hours, tick_minutes)).alias("tick"),
+            # No hits, no ticks: a filter would work the hits out a second time.
+            F.explode(F.when(F.size("hits") > 0, ticks)).alias("tick"),
         )
     )
 
