@@ -234,6 +234,17 @@ def test_gated_levels_brute_force(spark, seed):
     assert shots
 
 
+def test_salting_keeps_every_level(spark, monkeypatch):
+    base = int(T0.timestamp())
+    ticks = price_ticks(spark, [(base + i * 1800, float(90 + i % 20)) for i in range(40)])
+    rows = [(s, 95.0 + s % 7, "either", "", "config") for s in range(60)]
+    levels = spark.createDataFrame(rows, LEVELS).withColumn("series", F.lit("p"))
+    whole = sorted(tuple(r) for r in level_crossings(ticks, levels).collect())
+    monkeypatch.setattr("tidemark.operators.levels.LEVELS_PER_SALT", 7)
+    assert level_ticks(ticks, levels).count() == 60 * 40
+    assert sorted(tuple(r) for r in level_crossings(ticks, levels).collect()) == whole
+
+
 def test_level_union_prefers_config(spark):
     conf = spark.createDataFrame([(1, 100.0, "above", "x")], "subscriber bigint, value double, direction string, note string")
     added = spark.createDataFrame(

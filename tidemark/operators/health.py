@@ -7,9 +7,9 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.dates import hours_between
+from tidemark.functions.dates import hours_between, shift_hours
 from tidemark.functions.numbers import change_pct
-from tidemark.operators.asof import as_of, window_baseline
+from tidemark.operators.asof import as_of
 
 
 def asof_age(readings: DataFrame, limits: DataFrame, today: date) -> DataFrame:
@@ -122,22 +122,28 @@ def quiet_since(
     morning = briefs.filter("mode = 'morning'").select("ts", F.unix_micros("ts").alias("tie"))
     based = as_of(runs.select("run_id", "ts"), morning, [], "ts", "ts", ["ts"], "tie", "brief")
     hours = F.greatest(F.lit(1.0), hours_between(F.col("ts"), F.col("brief.ts")))
-    probes = based.withColumn("window_hours", hours).select(
-        "run_id", "ts", "window_hours", F.explode(F.array(*[F.lit(n) for n in names])).alias("series")
-    )
-    watched = readings.filter(F.col("series").isin(*names) & F.col("value").isNotNull())
-    current = as_of(probes, watched, ["series"], "ts", "ts", ["value"], "id", "now")
+    # Two probes per run and series, at the run and at the window's start, in one walk.
     # Without a brief the window is unknown; an hour keeps the probe in the walk.
-    moved = window_baseline(
-        current.withColumn("_known", F.col("window_hours").isNotNull()).withColumn(
-            "window_hours", F.coalesce("window_hours", F.lit(1.0))
-        ),
-        watched,
-    )
-    still = F.col("_known") & (
-        F.abs(change_pct(F.col("now.value"), F.col("baseline.value"))) < floor_pct
+    known = F.col("brief").isNotNull()
+    look = lambda role, back: F.struct(F.lit(role).alias("role"), back.alias("back"))
+    probes = based.select(
+        "run_id",
+        "ts",
+        known.alias("known"),
+        F.inline(F.array(look("now", F.lit(0.0)), look("base", F.coalesce(hours, F.lit(1.0))))),
+    ).withColumn("series", F.explode(F.array(*[F.lit(n) for n in names])))
+    watched = readings.filter(F.col("series").isin(*names) & F.col("value").isNotNull())
+    found = as_of(
+        probes.withColumn("at", shift_hours(F.col("ts"), -F.col("back"))),
+        watched, ["series"], "at", "ts", ["value"], "id", "hit", "oldest",
+    )
+    pick = lambda role, value: F.max(F.when(F.col("role") == role, value))
+    pairs = found.groupBy("run_id", "ts", "series", "known").agg(
+        pick("now", F.col("hit.value")).alias("now"),
+        pick("base", F.coalesce("hit.value", "oldest.value")).alias("base"),
     )
-    return moved.groupBy("run_id", "ts").agg(F.bool_and(F.coalesce(still, F.lit(False))).alias("quiet"))
+    still = F.col("known") & (F.abs(change_pct(F.col("now"), F.col("base"))) < floor_pct)
+    return pairs.groupBy("run_id", "ts").agg(F.bool_and(F.coalesce(still, F.lit(False))).alias("quiet"))
 
 
 def previous_brief(briefs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tidemark.functions.numbers import change_pct
 from tidemark.operators.walk import walk
 from tidemark.rules import Gate
 
-SALTS = 16
+LEVELS_PER_SALT = 20_000
 LEVEL_TRIGGER = "inr_price_levels"
 LEVEL_SEVERITY = 10.0  # a level someone set outranks a configured threshold
 # A gate that lets everything pass.
@@ -32,25 +32,29 @@ def level_ticks(ticks: DataFrame, levels: DataFrame, gate: Gate = FREE) -> DataF
 
     What depends on the tick alone (its local day, whether it is quiet) is worked out
     once per tick, before the levels multiply the rows.
-    Many levels may watch one series, so the equality join is salted: ticks, few by
-    nature, are repeated per salt, and the levels of a series spread over the salts.
+    Many levels may watch one series, so the equality join is salted where that is so:
+    a series gets one salt per `LEVELS_PER_SALT` levels, its ticks, few by nature, are
+    repeated for each, and its levels spread over them.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salts = levels.groupBy("series").agg(
+        F.ceil(F.count("*") / F.lit(LEVELS_PER_SALT)).cast("int").alias("_salts")
+    )
     minute = minute_of_day(F.timestamp_seconds("tick"), gate.tz)
-    spread = ticks.select(
+    spread = ticks.join(salts, "series").select(
         "series",
         "tick",
         F.col("value").alias("price"),
         local_day_number(F.col("tick"), gate.tz).alias("day"),
         in_daily_window(minute, gate.quiet_from, gate.quiet_to).alias("blocked"),
-    ).select("*", salts.alias("_salt"))
-    named = levels.select(
+        F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"),
+    )
+    named = levels.join(salts, "series").select(
         "subscriber",
         "series",
         F.col("value").alias("level"),
         "direction",
         F.when(F.col("origin") == "config", 0).otherwise(1).alias("_p"),
-        F.pmod(F.hash("subscriber"), F.lit(SALTS)).alias("_salt"),
+        F.pmod(F.hash("subscriber", "value"), F.col("_salts")).alias("_salt"),
     )
     return named.join(spread, ["series", "_salt"]).select(
         "subscriber",

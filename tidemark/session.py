@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,14 +36,21 @@ def local_session(name: str = "tidemark", cores: str = "8") -> SparkSession:
     return tune(spark)
 
 
+_local_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, for checkpoints and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    local mode) is a fresh local folder made, and it is then set on the session.
+    A cluster names it in ``spark.checkpoint.dir``. Only in local mode, where it is
+    unset, does a fresh folder of this machine stand in for it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidemark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _local_folder:
+        _local_folder[context.applicationId] = tempfile.mkdtemp(prefix="tidemark-")
+    return _local_folder[context.applicationId]
