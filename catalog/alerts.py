@@ -14,6 +14,7 @@ from tidemark.operators.gate import alert_gate, alerts_per_day, cooldown_only, g
 from tidemark.operators.levels import level_crossings, level_distance, level_ticks, level_union
 from tidemark.operators.series import latest_reading, tick_series
 from tidemark.operators.triggers import conflict_events, conflict_pairs, move_candidates, severity_rank
+from tidemark.plans.scan import watch
 from tidemark.rules import ConflictRule, Gate, MoveRule, Prices, move_rule_table, small_table
 
 RULES = (
@@ -75,9 +76,11 @@ MUTES_SQL = """(SELECT u AS subscriber, TIMESTAMP '2024-01-03 05:10:00' + to_day
   TIMESTAMP '2024-01-04 05:00:00' + to_days(CAST(u AS INTEGER)) AS b FROM range(12) t(u))"""
 
 
-def gate_sql(budget: int, filtered: bool) -> str:
+EVENT_TRIGGERS = ("click", "view", "purchase", "error", "signup")
+
+
+def gate_sql(budget: int, filtered: bool, source: str = CANDIDATES_SQL, names: tuple[str, ...] = EVENT_TRIGGERS) -> str:
     """The gate as a recursive walk over each subscriber's candidates."""
-    names = ["click", "view", "purchase", "error", "signup"]
     last = "CASE i.trigger " + " ".join(f"WHEN '{n}' THEN s.l_{n}" for n in names) + " END"
     upd = ", ".join(
         f"CASE WHEN o = 'fired' AND trigger = '{n}' THEN tick ELSE l_{n} END AS l_{n}" for n in names
@@ -91,7 +94,7 @@ def gate_sql(budget: int, filtered: bool) -> str:
         if filtered
         else "NULL::VARCHAR"
     )
-    return f"""{CANDIDATES_SQL},
+    return f"""{source},
     p AS (SELECT *, {pre} AS pre FROM c),
     q AS (SELECT *, CAST(tick + INTERVAL 330 MINUTE AS DATE) AS day, row_number() OVER
       (PARTITION BY subscriber ORDER BY tick, severity DESC, id) AS n FROM p WHERE pre IS NULL),
@@ -126,6 +129,31 @@ def _gate(spark, folder):
     return out.withColumn("severity", F.round("severity", 6))
 
 
+MOVE_TRIGGERS = tuple(r.trigger for r in RULES)
+SUBSCRIPTIONS = [(s, t) for s in range(6) for i, t in enumerate(MOVE_TRIGGERS) if s == 0 or (s + i) % 3 == 0]
+WATCH_GATE = Gate(cooldowns={"click_move": 2, "view_move": 12})
+WATCH_SQL = f"""WITH RECURSIVE mv AS ({MOVES_SQL} SELECT * FROM c),
+c AS (SELECT id * 8 + CASE trigger {" ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(MOVE_TRIGGERS))} END AS id,
+  subscriber::BIGINT AS subscriber, trigger, ts, abs(move) / threshold AS severity,
+  time_bucket(INTERVAL 30 MINUTE, ts) AS tick,
+  CASE trigger WHEN 'click_move' THEN 120 WHEN 'view_move' THEN 720 ELSE 360 END AS cool
+  FROM mv JOIN (VALUES {", ".join(f"({s}, '{t}')" for s, t in SUBSCRIPTIONS)}) sb(subscriber, trigger) USING (trigger))"""
+
+
+@query(
+    "watch",
+    gate_sql(3, True, WATCH_SQL, MOVE_TRIGGERS)
+    + """SELECT p.id, p.subscriber, p.trigger, p.ts, round(p.severity, 6) AS severity, p.tick,
+      coalesce(p.pre, w.o) AS outcome FROM p LEFT JOIN walk w ON w.id = p.id AND w.subscriber = p.subscriber""",
+)
+def _watch(spark, folder):
+    moves = move_candidates(readings(spark, folder), move_rule_table(spark, RULES))
+    place = F.array_position(F.array(*[F.lit(t) for t in MOVE_TRIGGERS]), F.col("trigger")) - 1
+    subscriptions = small_table(spark, SUBSCRIPTIONS, "subscriber bigint, trigger string")
+    out = watch(moves.withColumn("id", F.col("id") * 8 + place), subscriptions, WATCH_GATE, mutes(spark))
+    return out.withColumn("severity", F.round("severity", 6))
+
+
 @query(
     "cooldown_only",
     gate_sql(1_000_000, False) + "SELECT p.id, p.tick, w.o AS outcome FROM p JOIN walk w ON w.id = p.id",

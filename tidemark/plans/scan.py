@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import grouped, signed
+from tidemark.operators.gate import alert_gate
 from tidemark.operators.levels import LEVEL_SEVERITY, LEVEL_TRIGGER
-from tidemark.rules import ConflictRule
+from tidemark.rules import ConflictRule, Gate
 
 
 def trigger_scan(moves: DataFrame, conflicts: DataFrame, crossings: DataFrame, rule: ConflictRule) -> DataFrame:
@@ -54,6 +55,22 @@ def trigger_scan(moves: DataFrame, conflicts: DataFrame, crossings: DataFrame, r
     return moved.unionByName(met).unionByName(crossed)
 
 
+def watch(
+    found: DataFrame,
+    subscriptions: DataFrame,
+    gate: Gate,
+    mutes: DataFrame | None = None,
+    prior: DataFrame | None = None,
+) -> DataFrame:
+    """Candidates handed to the subscribers of their trigger, each judged by the gate.
+
+    `found` has trigger, ts, severity and an id; `subscriptions` has (subscriber,
+    trigger). Appending the fired rows to the alert log is the caller's step.
+    """
+    offered = found.join(subscriptions.select("subscriber", "trigger").distinct(), "trigger")
+    return alert_gate(offered.select("id", "subscriber", "trigger", "ts", "severity"), gate, mutes, prior)
+
+
 def run_decision(health: DataFrame, quiet: DataFrame) -> DataFrame:
     """Per run: a degraded notice, a skip on a quiet evening, or a brief."""
     return health.join(quiet.select("run_id", "quiet"), "run_id", "left").select(
