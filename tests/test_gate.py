@@ -252,3 +252,18 @@ def test_level_union_prefers_config(spark):
     )
     got = {r["value"]: (r["direction"], r["origin"]) for r in level_union(conf, added).collect()}
     assert got == {100.0: ("above", "config"), 90.0: ("either", "added")}
+
+
+def test_walker_travels_without_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from tidemark.operators.walk import _walker
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import sys; from pyspark import cloudpickle; assert list(cloudpickle.loads(sys.stdin.buffer.read())(iter([])))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(_walker(3)), cwd=tmp_path, env=env, check=False, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()

@@ -9,15 +9,20 @@ expression fold over gathered arrays gave the same rows about twenty times slowe
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import local_day_number
 from tidemark.rules import REARM_MARGIN_PCT
 
+# Ship the walker with its task, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ABOVE, BELOW = 1, 2
 _SIDE = {ABOVE: "above", BELOW: "below"}
 _IN = (
