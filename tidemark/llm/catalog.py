@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linespread, mixing, warc
+from tidemark.llm import decontam, langid, linespread, mixing, oddsketch, toxicity, warc
 from tidemark.llm.common import read
 from tidemark.llm.sql import SQL
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_crf": lambda s, d: langid.label_documents(read(s, d, "documents")),
     "op2_line_spread": lambda s, d: linespread.drop_boilerplate(read(s, d, "documents").select("doc_id", "source", "text")),
+    "op3_toxicity_gru": lambda s, d: toxicity.score_documents(read(s, d, "documents"), read(s, d, "labels")),
     "op4_water_filling": lambda s, d: mixing.mix(read(s, d, "documents")),
     "op5_warc_transactions": lambda s, d: warc.archived_pages(read(s, d, "pages")),
+    "op7_odd_sketch": lambda s, d: oddsketch.near_duplicates(read(s, d, "documents")),
+    "op9_bm25_leaks": lambda s, d: decontam.leaks(read(s, d, "documents"), read(s, d, "benchmark")),
 }
