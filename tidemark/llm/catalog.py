@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, langid, linespread, mixing, oddsketch, toxicity, warc
+from tidemark.llm import blocks, columns, decontam, flatgraph, langid, linespread, mixing, oddsketch, toxicity, warc
 from tidemark.llm.common import read
 from tidemark.llm.sql import SQL
 
@@ -18,6 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity_gru": lambda s, d: toxicity.score_documents(read(s, d, "documents"), read(s, d, "labels")),
     "op4_water_filling": lambda s, d: mixing.mix(read(s, d, "documents")),
     "op5_warc_transactions": lambda s, d: warc.archived_pages(read(s, d, "pages")),
+    "op6_suffix_columns": lambda s, d: columns.remove_repeats(read(s, d, "documents")),
     "op7_odd_sketch": lambda s, d: oddsketch.near_duplicates(read(s, d, "documents")),
+    "op8_block_anchors": lambda s, d: blocks.remove_repeats(read(s, d, "documents")),
     "op9_bm25_leaks": lambda s, d: decontam.leaks(read(s, d, "documents"), read(s, d, "benchmark")),
+    "op10_flat_graph": lambda s, d: flatgraph.near_vectors(read(s, d, "embeddings")),
 }

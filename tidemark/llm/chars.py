@@ -171,12 +171,12 @@ class ByteWords:
         return mix(total[first + size] - total[first] + size.astype(np.uint64))
 
 
-def byte_groups(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, UTF-8 texts) of about SLAB bytes; a longer text is a group by itself."""
+def byte_groups(texts: list[str | None], size: int = SLAB) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, UTF-8 texts) of about `size` bytes; a longer text is a group by itself."""
     now, held, first = [], 0, 0
     for row, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
-        if now and held + len(data) > SLAB:
+        if now and held + len(data) > size:
             yield first, now
             now, held = [], 0
         if not now:

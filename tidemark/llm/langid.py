@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.chars import Words, groups
 from tidemark.llm.common import WORD, held_out
@@ -296,10 +297,13 @@ def label_texts(m: Model, texts: list[str | None]) -> tuple[list[str], list[floa
     return langs, scores, sizes, second
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` (doc_id, text and any others) with lang_pred, score, n_letter_words, second_score."""
+def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """`docs` (text and any others) with lang_pred, score, n_letter_words, second_score, named after `prefix`."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    added = [prefix + n for n in ("lang_pred", "score", "n_letter_words", "second_score")]
+    schema = T.StructType(docs.schema.fields)
+    for name, kind in zip(added, (T.StringType(), T.DoubleType(), T.LongType(), T.DoubleType()), strict=True):
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(**shared.value)
@@ -308,10 +312,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores, sizes, second = label_texts(m, texts)
             arrays = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
                       pa.array(sizes, pa.int64()), pa.array(second, pa.float64())]
-            names = [*batch.schema.names, "lang_pred", "score", "n_letter_words", "second_score"]
+            names = [*batch.schema.names, *added]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, n_letter_words bigint, second_score double")
+    return docs.mapInArrow(run, schema)
 
 
 def label_documents(docs: DataFrame) -> DataFrame:

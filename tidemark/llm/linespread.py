@@ -71,8 +71,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return clear.select(*cols).unionByName(near.join(exact, ["h1", "h2"]).select(*cols))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """`docs` with text cut to its kept lines, and n_lines, n_removed (lines)."""
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = True) -> DataFrame:
+    """`docs` with text cut to its kept lines; with `counts` also n_lines and n_removed (lines),
+    in place of columns of these names."""
     lines = table(occurrences(docs), "lines")
     bad = boilerplate(lines, min_sites)
     drops = (
@@ -86,8 +87,9 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     text = F.col("text")
     kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x)))
     cut = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    n_lines = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(count(_lines(text)))
-    n_removed = F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(n_lines - count(kept))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return joined.select(*rest, cut.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    n_lines = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(size(_lines(text)))
+    n_removed = F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(n_lines - size(kept))
+    added = {"n_lines": n_lines, "n_removed": n_removed} if counts else {}
+    own = [cut.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c not in added]
+    return joined.select(*own, *(c.alias(n) for n, c in added.items()))
