@@ -301,7 +301,7 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """`docs` (text and any others) with lang_pred, score, n_letter_words, second_score, named after `prefix`."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     added = [prefix + n for n in ("lang_pred", "score", "n_letter_words", "second_score")]
-    schema = T.StructType(docs.schema.fields)
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in zip(added, (T.StringType(), T.DoubleType(), T.LongType(), T.DoubleType()), strict=True):
         schema = schema.add(name, kind)
 
