@@ -40,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keep the document with the smallest id of each group of near duplicates."""
     found = table(oddsketch.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "kept"), "groups")
     kept = found.filter("kept").select("_id").distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     repeated = not found.groupBy("_id").count().filter("count > 1").isEmpty()
     if not repeated:
         return out

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import ByteWords, byte_groups, mix
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 from tidemark.llm.packed import bucket_of, by_bucket, column, cut, n_buckets, repeated, runs, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -285,6 +285,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The contract of op8: doc_id, n_words, n_removed, kept_sha256."""
+    small_batches(docs.sparkSession)
     buckets = n_buckets(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(

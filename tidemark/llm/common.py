@@ -13,6 +13,15 @@ from tidemark.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in a batch between Spark and Python. Texts are longer than the rows its default is meant for.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at a time; set before a job with Python runs."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 

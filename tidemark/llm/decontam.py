@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import Words, groups, mix
+from tidemark.llm.common import small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -180,6 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Only documents that hold a verified passage of an item have rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -213,4 +215,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows that hold a passage of the benchmark."""
     bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leak"]), "left_anti")

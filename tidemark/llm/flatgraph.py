@@ -32,7 +32,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 from tidemark.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -321,6 +321,7 @@ def _cosine(width: int):  # noqa: ANN202
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The contract of op10: vec_id, n_links, component_id, kept."""
+    small_batches(embeddings.sparkSession)
     vector = F.col("embedding").cast("array<double>")
     usable = F.coalesce(
         (F.size(vector) > 0)

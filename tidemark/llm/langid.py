@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.chars import Words, groups
-from tidemark.llm.common import WORD, held_out
+from tidemark.llm.common import WORD, held_out, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -270,13 +270,15 @@ def train(docs: DataFrame, rows_per_lang: int = TRAIN_ROWS) -> Model:
 
 def label_texts(m: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[int], list[float]]:
     """(lang_pred, score, words, score of the second language) of each text."""
+    if not m.langs:
+        return [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [0.0] * len(texts)
     langs, scores, sizes, second = [], [], [], []
 
     def flush(rows: list[int], ems: list[np.ndarray]) -> None:
         found, lengths = np.unique(rows, return_counts=True)
         lengths = np.bincount(np.searchsorted(found, rows), weights=[len(x) for x in ems]).astype(np.int64)
         for n, row in zip(lengths, posterior_sums(m, np.concatenate(ems), lengths), strict=True):
-            if not n or not len(row):
+            if not n:
                 langs.append(UNKNOWN), scores.append(0.0), second.append(0.0)
             else:
                 share = np.sort(row / n)
@@ -299,6 +301,7 @@ def label_texts(m: Model, texts: list[str | None]) -> tuple[list[str], list[floa
 
 def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """`docs` (text and any others) with lang_pred, score, n_letter_words, second_score, named after `prefix`."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     added = [prefix + n for n in ("lang_pred", "score", "n_letter_words", "second_score")]
     schema = T.StructType(list(docs.schema.fields))

@@ -83,13 +83,14 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool =
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
         .withColumnRenamed("doc_id", "_id")
     )
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    text = F.col("text")
-    kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), _key(x)))
-    cut = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    # Columns by their tables: `docs` may have others of these names.
+    text, drop = docs["text"], drops["_drop"]
+    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_id"]), "left")
+    kept = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(drop, _key(x)))
+    cut = F.when(drop.isNull(), text).otherwise(F.array_join(kept, "\n"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     n_lines = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(size(_lines(text)))
-    n_removed = F.when(F.col("_drop").isNull(), F.lit(0).cast("long")).otherwise(n_lines - size(kept))
+    n_removed = F.when(drop.isNull(), F.lit(0).cast("long")).otherwise(n_lines - size(kept))
     added = {"n_lines": n_lines, "n_removed": n_removed} if counts else {}
     own = [cut.alias("text") if c == "text" else docs[f"`{c}`"] for c in docs.columns if c not in added]
     return joined.select(*own, *(c.alias(n) for n, c in added.items()))

@@ -113,6 +113,8 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     plan = plan.join(last, plan.source.eqNullSafe(last.source), "left").select(
         plan["*"], F.coalesce("last_slot", F.lit(1 << 16)).alias("last_slot"), "slot_before"
     )
+    # Written, so that its size is known: small plans are broadcast and a hot source stays in its tasks.
+    plan = table(plan, "plan")
     planned = sized.join(plan, sized.source.eqNullSafe(plan.source)).drop(plan.source)
     in_slot = Window.partitionBy("source", "slot").orderBy("order", "doc_id", "size")
     sampled = (

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import ByteWords, byte_groups, mix
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 from tidemark.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -246,6 +246,7 @@ def _together(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """The contract of op7: doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     signed = table(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
             _sign, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import Words, groups, slot
-from tidemark.llm.common import held_out, n_words
+from tidemark.llm.common import held_out, n_words, small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -285,6 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Net | N
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract of op3: doc_id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     net = train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(vars(net) if net else None)
 

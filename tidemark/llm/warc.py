@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path
+from tidemark.llm.common import new_path, small_batches
 
 # Ship these functions with their tasks, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -183,6 +183,7 @@ def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the archives under `folder`."""
+    small_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
     return files.mapInArrow(_parse_files, RECORD)
 
