@@ -67,6 +67,16 @@ def test_repeats_of_no_rows(spark, module, brute, names):
     assert module.remove_repeats(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("module,brute,names", CASES)
+def test_groups_of_texts_without_repeats(spark, module, brute, names):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(120)), "en", "s", 1) for i in range(12)]
+    rows += [(20, rows[0][1], "en", "s", 1), (21, "a b " + rows[1][1][:900], "en", "s", 1)]
+    df = spark.createDataFrame(rows, empty(spark).schema).repartition(9)
+    got = sorted((tuple(r[n] for n in names) for r in module.remove_repeats(df).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_pieces_of_a_long_text_join_up(spark, monkeypatch):
     monkeypatch.setattr(columns, "PIECE", 3000)
     rng = random.Random(8)

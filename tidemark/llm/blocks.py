@@ -104,9 +104,10 @@ def _probes(buckets: int):  # noqa: ANN202 - a function over batches
                     out.append({"bucket": b, "owners": key[row + owners].tobytes(), "counts": counts.tobytes(),
                                 "hashes": entry[mine].tobytes(), "places": shared.tobytes()})
                 mine = np.flatnonzero(anchor)
-                code = _code(h, buckets)
+                code = _code(h[mine], buckets)
                 owners, counts = runs(text[mine])
-                for o, hashes in zip(owners, np.split(code[mine], np.cumsum(counts)[:-1]), strict=True):
+                for o, end, n in zip(owners, np.cumsum(counts), counts, strict=True):
+                    hashes = code[end - n : end]
                     k = int(key[row + o])
                     out.append({"bucket": k % buckets, "others": k.to_bytes(8, "little", signed=True), "hashes": np.unique(hashes).tobytes()})
                 for a in range(0, len(out), 500):
