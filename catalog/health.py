@@ -36,7 +36,7 @@ hl AS (SELECT run_id, count(*) AS sources, count(*) FILTER (ok) AS ok_count, cou
   count(*) FILTER (data) < {MIN_DATA} AS degraded FROM o GROUP BY 1)"""
 STALE_SQL = """st AS (SELECT source, category, newest, budget_hours,
     date_diff('microsecond', newest, TIMESTAMP '2024-01-31 00:00:00') / 3.6e9::DOUBLE AS age_hours
-  FROM (SELECT event_type || '-' || user_id AS source, event_type, max(ts) AS newest FROM events WHERE value >= 20 GROUP BY 1, 2)
+  FROM (SELECT event_type || '-' || user_id AS source, event_type, max(ts) AS newest FROM events GROUP BY 1, 2)
   JOIN (VALUES ('click', 'price', 6.0::DOUBLE), ('view', 'fx', 12.0), ('signup', 'macro', 48.0), ('purchase', 'news', 4.0))
     b(event_type, category, budget_hours) USING (event_type))"""
 
@@ -60,7 +60,7 @@ def runs(spark, folder):
 
 def stale(spark, folder):
     """Every user of an event type is a source in the category of that type."""
-    r = table(spark, folder, "events").filter("value >= 20").select(
+    r = table(spark, folder, "events").select(
         F.concat_ws("-", "event_type", "user_id").alias("source"),
         F.col("event_type").alias("kind"),
         F.col("ts").cast("timestamp").alias("ts"),

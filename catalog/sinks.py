@@ -38,7 +38,7 @@ def _headlines(spark, folder):
         F.col("first_seen").alias("published_at"),
         "first_seen",
         "title",
-        F.substring("title", 1, 12).alias("summary"),
+        F.upper("title").alias("summary"),
         F.col("id").alias("pos"),
         (F.col("id") % 3).alias("part"),
     )
@@ -48,7 +48,7 @@ def _headlines(spark, folder):
 @query(
     "headline_upsert",
     f"""WITH {PAGES_SQL}, b AS (SELECT site AS url, domain, 'feed' || (id % 3) AS source, first_seen AS published_at,
-        first_seen, title, substring(title, 1, 12) AS summary, id % 3 AS gen, id,
+        first_seen, title, upper(title) AS summary, id % 3 AS gen, id,
         list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(title), '(^|[^\\p{{L}}\\p{{N}}_]){k}($|[^\\p{{L}}\\p{{N}}_])') THEN '{k}' END" for k in ("the", "and", "les", "und", "que"))}],
           lambda x : x IS NOT NULL) AS kw FROM h)
     SELECT url, arg_min(domain, (gen, id)) AS domain, arg_min(source, (gen, id)) AS source,
@@ -67,12 +67,12 @@ def _upsert(spark, folder):
 
 @query(
     "upsert_new",
-    f"""WITH {PAGES_SQL} SELECT DISTINCT site AS url FROM h n WHERE id % 3 = 1
+    f"""WITH {PAGES_SQL} SELECT DISTINCT site AS url FROM h n WHERE id % 3 > 0
     AND NOT EXISTS (SELECT 1 FROM h o WHERE o.id % 3 = 0 AND o.site = n.site)""",
 )
 def _upsert_new(spark, folder):
     h = _headlines(spark, folder)
-    merged = upsert(h.filter("part = 0"), h.filter("part = 1"))
+    merged = upsert(h.filter("part = 0"), h.filter("part > 0"))
     return merged.filter("is_new").select("url")
 
 
@@ -92,6 +92,7 @@ def _latest_by_key(spark, folder):
 
 
 CUTOFF = datetime(2024, 1, 10, 9, 30)
+LAST_OF_DAY = datetime(2024, 1, 8, 23, 59, 59, 999999)
 
 
 @query(
@@ -101,5 +102,6 @@ CUTOFF = datetime(2024, 1, 10, 9, 30)
 def _prune(spark, folder):
     path = _fresh(spark, "readings")
     sinks.append_readings(readings(spark, folder).select("id", "series", "ts", "value"), path)
+    sinks.prune(spark, path, LAST_OF_DAY)  # past the last row of its own date
     sinks.prune(spark, path, CUTOFF)
     return spark.read.parquet(path)

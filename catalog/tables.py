@@ -50,14 +50,14 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("id"),
         F.col("source").alias("domain"),
         "lang",
-        F.substring("text", 1, 40).alias("title"),
+        F.col("text").alias("title"),
         "text",
         first_seen.alias("first_seen"),
     )
 
 
 ARTICLES_SQL = (
-    "a AS (SELECT doc_id AS id, source AS domain, lang, substring(text, 1, 40) AS title, text, "
+    "a AS (SELECT doc_id AS id, source AS domain, lang, text AS title, text, "
     "TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS first_seen FROM documents)"
 )
 

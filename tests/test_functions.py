@@ -155,6 +155,6 @@ def test_token_and_call_price(spark):
     assert one(spark, usd) == pytest.approx((1000 * 3 + 100 * 15 + 1000 * 0.3 + 1000 * 3.75) / 1e6)
 
 
-def test_rule_tables_refuse_bulk(spark):
-    with pytest.raises(ValueError, match="may be broadcast"):
-        small_table(spark, [(i,) for i in range(10_001)], "i int")
+def test_large_rule_tables_have_no_hint(spark):
+    hinted = lambda n: "broadcast" in small_table(spark, [(i,) for i in range(n)], "i int")._jdf.queryExecution().logical().toString().lower()
+    assert hinted(10) and not hinted(10_001)

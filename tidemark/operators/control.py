@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import duration_hours, shift_hours
 from tidemark.rules import LEVEL_BAND, MUTE_CAP_HOURS
 
+# The grammar of commands.
 _PRICE = r"(-?[\d,]+(?:\.\d+)?)"
+_BARE_PRICE = r"([\d,]+(?:\.\d+)?)"
 
 
-def first_number(argument: Column) -> Column:
+def first_number(argument: Column, pattern: str = _PRICE) -> Column:
     """First number of an argument, blanks and group commas dropped."""
-    digits = F.regexp_extract(F.replace(argument, F.lit(" "), F.lit("")), _PRICE, 1)
+    digits = F.regexp_extract(F.replace(argument, F.lit(" "), F.lit("")), pattern, 1)
     return F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
 
 
@@ -27,10 +29,10 @@ def level_direction(argument: Column) -> Column:
 
 
 def level_note(argument: Column) -> Column:
-    """What is left of an argument without numbers and direction words; 120 characters."""
+    """What is left of an argument without numbers and direction words."""
     bare = F.regexp_replace(argument, r"[\d,.]+", "")
     words = F.regexp_replace(bare, r"(?i)\b(above|over|below|under)\b", "")
-    return F.substring(F.regexp_replace(words, r"^[\s\-—:]+|[\s\-—:]+$", ""), 1, 120)
+    return F.regexp_replace(words, r"^[\s\-—:]+|[\s\-—:]+$", "")
 
 
 def parse(events: DataFrame, known: DataFrame) -> DataFrame:
@@ -45,7 +47,10 @@ def parse(events: DataFrame, known: DataFrame) -> DataFrame:
     )
     on = lambda *verbs: F.col("verb").isin(*verbs)
     read = F.struct(
-        F.when(on("set", "unset"), first_number(F.col("argument"))).alias("number"),
+        # A dash before the number of an `unset` is no sign.
+        F.when(on("set"), first_number(F.col("argument")))
+        .when(on("unset"), first_number(F.col("argument"), _BARE_PRICE))
+        .alias("number"),
         F.when(on("set"), level_direction(F.col("argument"))).alias("direction"),
         F.when(on("set"), level_note(F.col("argument"))).alias("note"),
         F.when(on("mute"), duration_hours(F.col("argument"))).alias("asked"),

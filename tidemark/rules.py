@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULE_ROWS = 10_000  # a rule table is configuration; refuse to broadcast more
+MAX_RULE_ROWS = 10_000  # a larger rule table has no broadcast hint
 
 
 @dataclass(frozen=True)
@@ -224,14 +224,13 @@ SEASONS = (
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A configuration table with a broadcast hint, given only after its size is checked.
+    """A configuration table, with a broadcast hint if its size allows it.
 
     The hint stays with the table through projections, so the jobs that join it need
     none of their own; a table that comes from elsewhere is joined as Spark sees fit.
     """
-    if len(rows) > MAX_RULE_ROWS:
-        raise ValueError(f"{len(rows)} rule rows; at most {MAX_RULE_ROWS} may be broadcast")
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) <= MAX_RULE_ROWS else out
 
 
 def move_rule_table(spark: SparkSession, rules: tuple[MoveRule, ...]) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import expiry_date, first_date, first_timestamp
@@ -20,34 +20,25 @@ from tidemark.operators.headlines import dedupe_first
 from tidemark.rules import NAV_BAND, RATE_BAND, TONNES_BAND
 from tidemark.sources.markup import meeting_dates, release_date, rows_of
 
-FEED_CAP = 25
-SUMMARY_CHARS = 400
-
 
 def stem() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
 
 
-def scan_observations(spark: SparkSession, path: str, newest: int | None = 2) -> DataFrame:
+def scan_observations(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Dated observations; placeholders (`.`, blank) are skipped.
 
-    With `newest`, that many real prints per series; null keeps all.
+    With `lines`, a file holds one body per line, so that bulk history can be split.
     """
-    raw = spark.read.schema("observations array<struct<date:string,value:string>>").json(
-        path, multiLine=True
-    )
-    prints = (
+    raw = spark.read.schema("observations array<struct<date:string,value:string>>").json(path, multiLine=not lines)
+    return (
         raw.select(stem().alias("series"), F.explode("observations").alias("o"))
         .select("series", F.col("o.date").try_cast("date").alias("day"), clean_number(F.col("o.value")).alias("value"))
         .filter("day IS NOT NULL AND value IS NOT NULL")
     )
-    if newest is None:
-        return prints
-    w = Window.partitionBy("series").orderBy(F.desc("day"))
-    return prints.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= newest).drop("_n")
 
 
-def scan_positions(spark: SparkSession, path: str) -> DataFrame:
+def scan_positions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Weekly long, short and open interest; rows without readable positions are dropped."""
     schema = ", ".join(
         f"{c} string"
@@ -59,7 +50,7 @@ def scan_positions(spark: SparkSession, path: str) -> DataFrame:
             "open_interest_all",
         )
     )
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=not lines)
     whole = lambda c: clean_number(F.col(c)).cast("bigint")
     return raw.select(
         F.col("cftc_contract_market_code").alias("series"),
@@ -116,16 +107,16 @@ def scan_quotes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Articles with a url and a title, in list order per file."""
+def scan_articles(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Articles with a url and a title; `pos` orders them as their files do."""
     raw = spark.read.schema(
         "articles array<struct<url:string,title:string,seendate:string,domain:string>>"
-    ).json(path, multiLine=True)
+    ).json(path, multiLine=not lines)
     return (
-        raw.select(stem().alias("topic"), F.posexplode("articles").alias("pos", "a"))
+        raw.select(stem().alias("topic"), _at().alias("at"), F.posexplode("articles").alias("n", "a"))
         .select(
             "topic",
-            "pos",
+            F.struct("at.file", "at.block", "at.row", "n").alias("pos"),
             F.trim("a.url").alias("url"),
             F.trim("a.title").alias("title"),
             first_timestamp(F.col("a.seendate")).alias("published_at"),
@@ -161,6 +152,15 @@ def scan_contracts(spark: SparkSession, path: str, symbol: str = "GOLD") -> Data
     )
 
 
+def _at() -> Column:
+    """Place of a row: its file, where the split starts, and a number that grows along the split."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their file and a position that grows along the file."""
     return spark.read.text(path).select(
@@ -224,38 +224,30 @@ def _feed_time(text: Column) -> Column:
     )
 
 
-def scan_feed_items(spark: SparkSession, path: str, atom: bool = False, cap: int = FEED_CAP) -> DataFrame:
-    """Items of RSS files, or entries of Atom ones: the first `cap` per feed.
+def scan_feed_items(spark: SparkSession, path: str, atom: bool = False) -> DataFrame:
+    """All items of RSS files, or entries of Atom ones; `pos` orders them as their files do.
 
-    Title and link must be there; the summary keeps 400 characters; the publication
-    time falls back to the update time.
+    Title and link must be there; the publication time falls back to the update time.
     """
     if atom:
         schema = "title string, link struct<_href:string>, summary string, published string, updated string"
-        raw = spark.read.format("xml").schema(schema).option("rowTag", "entry").load(path)
+        raw = spark.read.format("xml").schema(schema).option("rowTag", "entry").load(path).withColumn("_at", _at())
         link, summary = F.col("link._href"), F.col("summary")
         stamp = F.coalesce(_feed_time(F.col("published")), _feed_time(F.col("updated")))
     else:
         schema = "title string, link string, description string, pubDate string"
-        raw = spark.read.format("xml").schema(schema).option("rowTag", "item").load(path)
+        raw = spark.read.format("xml").schema(schema).option("rowTag", "item").load(path).withColumn("_at", _at())
         link, summary = F.col("link"), F.col("description")
         stamp = _feed_time(F.col("pubDate"))
     items = raw.select(
         stem().alias("feed"),
-        F.monotonically_increasing_id().alias("at"),
+        F.struct("_at.*", F.lit(0).alias("n")).alias("pos"),
         F.trim("title").alias("title"),
         F.trim(link).alias("url"),
-        F.substring(F.coalesce(F.trim(summary), F.lit("")), 1, SUMMARY_CHARS).alias("summary"),
+        F.coalesce(F.trim(summary), F.lit("")).alias("summary"),
         stamp.alias("published_at"),
     )
-    w = Window.partitionBy("feed").orderBy("at")
-    return (
-        items.withColumn("pos", F.row_number().over(w))
-        .filter(F.col("pos") <= cap)
-        .filter("title <> '' AND url <> ''")
-        .withColumn("domain", domain_of(F.col("url")))
-        .drop("at")
-    )
+    return items.filter("title <> '' AND url <> ''").withColumn("domain", domain_of(F.col("url")))
 
 
 def scan_calendar(spark: SparkSession, path: str, today: date, releases: bool) -> DataFrame:

@@ -60,7 +60,7 @@ class Registry:
                 if rows == 0 and s.note_when_empty is None:
                     error = "returned nothing"
             except Exception as exc:  # noqa: BLE001 - any failure becomes that source's outcome
-                error = f"{type(exc).__name__}: {str(exc)[:200]}"
+                error = f"{type(exc).__name__}: {exc}"
             readings, headlines = (rows, 0) if s.kind == "readings" else (0, rows)
             notes = int(error is None and rows == 0)
             outcomes.append(

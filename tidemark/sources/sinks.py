@@ -7,7 +7,7 @@ through Spark's committer, so a lost executor costs a task retry and nothing els
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,13 +121,17 @@ def prune(spark: SparkSession, path: str, cutoff: datetime, ts: str = "ts") -> N
     edge = cutoff.date()
     table = spark.read.parquet(path)
     if cutoff > datetime(edge.year, edge.month, edge.day):
-        kept = table.filter((F.col("event_date") == F.lit(edge)) & (F.col(ts) >= F.lit(cutoff)))
-        (
-            kept.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("event_date")
-            .parquet(path)
-        )
+        day = table.filter(F.col("event_date") == F.lit(edge))
+        kept = day.filter(F.col(ts) >= F.lit(cutoff))
+        if kept.isEmpty():  # nothing would be written, so nothing replaced: the whole date goes
+            edge += timedelta(days=1)
+        else:
+            (
+                kept.write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy("event_date")
+                .parquet(path)
+            )
     fs, root = _fs(spark, path)
     for status in fs.listStatus(root):
         name = status.getPath().getName()

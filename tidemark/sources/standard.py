@@ -42,8 +42,6 @@ CATEGORIES = {
     "articles": "news", "feeds": "news", "policy": "news", "fund_navs": "price", "bonds": "india",
     "rate_futures": "macro",
 }
-FEED_CAPS = {"feeds": 25, "policy": 30, "official_sector": 15}
-BOND_CAP = 15
 # --- End of fixed values --------------------------------------------------------
 
 
@@ -77,12 +75,12 @@ def _newest(df: DataFrame) -> DataFrame:
     return df.groupBy(F.col("series").alias("_s")).agg(row.alias("r")).select("r.*")
 
 
-def _news(spark: SparkSession, landing: str, name: str, cap: int) -> DataFrame:
+def _news(spark: SparkSession, landing: str, name: str) -> DataFrame:
     """Articles and feed items of one source, first occurrence of a url."""
     a = files.scan_articles(spark, f"{landing}/{name}_articles").select(
         "url", "title", "domain", F.lit("").alias("summary"), "published_at", F.lit(0).alias("kind"), "topic", "pos"
     )
-    f = files.scan_feed_items(spark, f"{landing}/{name}_feeds", cap=cap).select(
+    f = files.scan_feed_items(spark, f"{landing}/{name}_feeds").select(
         "url", "title", "domain", "summary", "published_at", F.lit(1).alias("kind"), F.col("feed").alias("topic"), "pos"
     )
     return dedupe_first(a.unionByName(f), "url", ["kind", "topic", "pos"])
@@ -150,7 +148,7 @@ def standard_sources(today: date, purity: int = 995) -> Registry:
         )
 
     def official_sector(spark: SparkSession, landing: str) -> DataFrame:
-        news = _news(spark, landing, "official", FEED_CAPS["official_sector"])
+        news = _news(spark, landing, "official")
         # Feeds of the body itself pass whole; the wider sweep needs a term.
         return _headlines(news.filter((F.col("kind") == 1) | any_term(F.col("title"), rules.CENTRAL_BANK_TERMS)))
 
@@ -159,12 +157,12 @@ def standard_sources(today: date, purity: int = 995) -> Registry:
         return _headlines(first, keyword_hits(F.col("title"), rules.CONFLICT_KEYWORDS))
 
     def feeds(spark: SparkSession, landing: str) -> DataFrame:
-        items = files.scan_feed_items(spark, f"{landing}/feeds", cap=FEED_CAPS["feeds"])
+        items = files.scan_feed_items(spark, f"{landing}/feeds")
         kept = relevant_any(items, _text(), rules.NEWS_TERMS)
         return _headlines(dedupe_first(kept, "url", ["feed", "pos"]), keyword_hits(_text(), rules.CONFLICT_KEYWORDS))
 
     def policy(spark: SparkSession, landing: str) -> DataFrame:
-        news = _news(spark, landing, "policy", FEED_CAPS["policy"])
+        news = _news(spark, landing, "policy")
         # Policy words are kept apart from conflict keywords: rule sets tag for themselves.
         return _headlines(relevant_both(news, F.col("title"), rules.GOLD_TERMS, rules.POLICY_TERMS))
 
@@ -179,7 +177,7 @@ def standard_sources(today: date, purity: int = 995) -> Registry:
 
     def bonds(spark: SparkSession, landing: str) -> DataFrame:
         found = relevant_any(files.scan_articles(spark, f"{landing}/bond_articles"), F.col("title"), rules.BOND_TERMS)
-        return _headlines(dedupe_first(found, "url", ["topic", "pos"]).orderBy("topic", "pos").limit(BOND_CAP))
+        return _headlines(dedupe_first(found, "url", ["topic", "pos"]))
 
     def rate_futures(spark: SparkSession, landing: str) -> DataFrame:
         price = files.scan_quotes(spark, f"{landing}/charts").filter(F.col("series") == RATE_FUTURE)
