@@ -11,7 +11,7 @@ from catalog.tables import ARTICLES_SQL, READINGS_SQL, TZ, articles, readings, t
 from tidemark.functions.money import cached_call_usd
 from tidemark.operators import control, filters, ledger
 from tidemark.operators.gate import alert_gate, alerts_per_day, cooldown_only, gated_fires
-from tidemark.operators.levels import level_crossings, level_distance, level_ticks, level_union
+from tidemark.operators.levels import level_crossings, level_distance, level_runs, level_union
 from tidemark.operators.series import latest_reading, tick_series
 from tidemark.operators.triggers import conflict_events, conflict_pairs, move_candidates, severity_rank
 from tidemark.plans.scan import watch
@@ -253,44 +253,57 @@ WATCHED = [
     (3, 100.0, "either", ""), (4, 25.0, "below", "add"), (5, 150.0, "above", ""),
 ]
 LEVEL_COLS = "subscriber bigint, value double, direction string, note string"
-LEVELS_SQL = "lv(subscriber, level, direction) AS (VALUES " + ", ".join(
-    f"({s}::BIGINT, {v}::DOUBLE, '{d}')" for s, v, d, _ in WATCHED
-) + ")"
+CONFIGURED_SQL = "VALUES " + ", ".join(f"({s}::BIGINT, {v}::DOUBLE, '{d}', '{n}')" for s, v, d, n in WATCHED)
 
 
-LEVEL_WALK_SQL = f"""WITH RECURSIVE {LEVELS_SQL},
-    t AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS tick, arg_max(value, ts) AS p
-      FROM events WHERE event_type = 'click' GROUP BY 1),
-    q AS (SELECT *, row_number() OVER (ORDER BY tick) AS n FROM t),
+def level_walk_sql(levels: str) -> str:
+    """Recursive walk of each distinct (series, level, direction) of a query of levels."""
+    return f"""WITH RECURSIVE lv AS (SELECT DISTINCT series, level, direction FROM ({levels})),
+    t AS (SELECT event_type AS series, time_bucket(INTERVAL 30 MINUTE, ts) AS tick, arg_max(value, ts) AS p
+      FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+    q AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY tick) AS n FROM t),
     w AS (
-      SELECT subscriber, level, direction, 0::BIGINT AS n, NULL::TIMESTAMP AS tick, NULL::DOUBLE AS p,
+      SELECT series, level, direction, 0::BIGINT AS n, NULL::TIMESTAMP AS tick, NULL::DOUBLE AS p,
         false AS a, false AS b, 0 AS side FROM lv
       UNION ALL
-      SELECT subscriber, level, direction, n, tick, p,
+      SELECT series, level, direction, n, tick, p,
         CASE WHEN down_clear THEN false ELSE a1 OR fa END, CASE WHEN down_clear THEN false ELSE b1 OR fb END,
         CASE WHEN fa THEN 1 WHEN fb THEN 2 ELSE 0 END
       FROM (SELECT *, NOT fa AND wd AND p <= level AND NOT b1 AS fb,
           NOT fa AND wd AND p > level AND b1 AND p > level * 1.005 AS down_clear
         FROM (SELECT *, CASE WHEN up_clear THEN false ELSE a0 END AS a1,
             CASE WHEN up_clear THEN false ELSE b0 END AS b1
-          FROM (SELECT w.subscriber, w.level, w.direction, q.n, q.tick, q.p, w.a AS a0, w.b AS b0,
+          FROM (SELECT w.series, w.level, w.direction, q.n, q.tick, q.p, w.a AS a0, w.b AS b0,
               w.direction IN ('below', 'either') AS wd,
               w.direction IN ('above', 'either') AND q.p >= w.level AND NOT w.a AS fa,
               w.direction IN ('above', 'either') AND q.p < w.level * 0.995 AND w.a AS up_clear
-            FROM w JOIN q ON q.n = w.n + 1))))
-"""
+            FROM w JOIN q ON q.series = w.series AND q.n = w.n + 1))))
+    """
+
+
+# Configured levels and the largest value of each user, on two series.
+TOPS_SQL = f"""SELECT subscriber, value AS level, direction, series FROM (
+    SELECT subscriber, value, direction FROM ({CONFIGURED_SQL}) c(subscriber, value, direction, note)
+    UNION ALL SELECT user_id, round(max(value), 0), 'either' FROM events GROUP BY 1), (VALUES ('click'), ('view')) s(series)"""
+
+
+def top_levels(spark, folder):
+    tops = table(spark, folder, "events").groupBy(F.col("user_id").alias("subscriber")).agg(F.round(F.max("value"), 0).alias("value"))
+    own = tops.select("subscriber", "value", F.lit("either").alias("direction"))
+    both = small_table(spark, WATCHED, LEVEL_COLS).drop("note").unionByName(own)
+    return both.withColumn("series", F.explode(F.array(F.lit("click"), F.lit("view"))))
 
 
 @query(
     "level_crossings",
-    LEVEL_WALK_SQL
-    + """SELECT subscriber, 'click' AS series, level, tick AS ts, p AS price,
-      CASE side WHEN 1 THEN 'above' ELSE 'below' END AS direction FROM w WHERE side > 0""",
+    level_walk_sql(TOPS_SQL)
+    + f"""SELECT o.subscriber, w.series, w.level, w.tick AS ts, w.p AS price,
+      CASE side WHEN 1 THEN 'above' ELSE 'below' END AS direction
+      FROM w JOIN ({TOPS_SQL}) o ON o.series = w.series AND o.level = w.level AND o.direction = w.direction WHERE side > 0""",
 )
 def _crossings(spark, folder):
-    ticks = tick_series(readings(spark, folder).filter("series = 'click'"), 30)
-    levels = small_table(spark, WATCHED, LEVEL_COLS).withColumn("series", F.lit("click"))
-    return level_crossings(ticks, levels).withColumn("series", F.lit("click"))
+    ticks = tick_series(readings(spark, folder).filter(F.col("series").isin("click", "view")), 30)
+    return level_crossings(ticks, top_levels(spark, folder))
 
 
 def _user_levels(spark, folder):
@@ -308,8 +321,7 @@ def _user_levels(spark, folder):
 
 @query(
     "level_union",
-    f"""WITH c(subscriber, value, direction, note) AS (VALUES {", ".join(
-        f"({s}::BIGINT, {v}::DOUBLE, '{d}', '{n}')" for s, v, d, n in WATCHED)}),
+    f"""WITH c(subscriber, value, direction, note) AS ({CONFIGURED_SQL}),
     x AS (SELECT DISTINCT subscriber, unnest([50.0::DOUBLE, round(top, 0)]) AS value, 'either' AS direction,
       'added' AS note FROM (SELECT user_id AS subscriber, max(value) AS top FROM events GROUP BY 1))
     SELECT subscriber, value, direction, note, 'config' AS origin FROM c
@@ -338,8 +350,8 @@ def _gated_levels(spark, folder):
     """Level and move alerts through one gate; checked by brute force in the tests."""
     ticks = tick_series(readings(spark, folder).filter("series = 'click'"), 30)
     levels = level_union(small_table(spark, WATCHED, LEVEL_COLS), _user_levels(spark, folder))
-    watched = level_ticks(ticks, levels.withColumn("series", F.lit("click")), GATE)
-    fires = gated_fires(candidates(spark, folder), GATE, mutes(spark), level_ticks=watched)
+    watched = level_runs(ticks, levels.withColumn("series", F.lit("click")), GATE)
+    fires = gated_fires(candidates(spark, folder), GATE, mutes(spark), level_runs=watched)
     return fires.withColumn("tick", F.timestamp_seconds("tick"))
 
 

@@ -37,9 +37,8 @@ def _scan(spark, folder):
     pairs = conflict_pairs(
         articles(spark, folder), F.col("text"), alerts.KEYWORDS, alerts.DOMAINS, alerts.CONFLICT, 30
     )
-    ticks = tick_series(r.filter("series = 'click'"), 30)
-    levels = small_table(spark, alerts.WATCHED, alerts.LEVEL_COLS).withColumn("series", F.lit("click"))
-    crossings = level_crossings(ticks, levels).withColumn("series", F.lit("click"))
+    ticks = tick_series(r.filter(F.col("series").isin("click", "view")), 30)
+    crossings = level_crossings(ticks, alerts.top_levels(spark, folder))
     out = trigger_scan(
         moves, conflict_events(pairs, alerts.CONFLICT), crossings, alerts.CONFLICT
     )
@@ -104,9 +103,9 @@ def _facts(spark, folder):
     "levels_report",
     f"""WITH RECURSIVE {READINGS_SQL}, {DAILY_SQL},
     lt AS (SELECT series, arg_max(value, ts) AS value FROM r GROUP BY 1),
-    wk AS ({alerts.LEVEL_WALK_SQL} SELECT * FROM w),
     un AS ({alerts.REGISTRY_SQL["level_union"]}),
-    hit AS (SELECT subscriber, level FROM wk QUALIFY row_number() OVER (PARTITION BY subscriber, level ORDER BY n DESC) = 1
+    wk AS ({alerts.level_walk_sql("SELECT 'click' AS series, value AS level, direction FROM un")} SELECT * FROM w),
+    hit AS (SELECT level, direction FROM wk QUALIFY row_number() OVER (PARTITION BY level, direction ORDER BY n DESC) = 1
       AND (a OR b))
     SELECT NULL::BIGINT AS subscriber, 'price' AS section, series AS key, value AS low, value AS high, '' AS note FROM lt
     UNION ALL SELECT NULL, 'range', series || ' ' || n.n || 'd', min(value), max(value), ''
@@ -117,7 +116,7 @@ def _facts(spark, folder):
     UNION ALL SELECT un.subscriber, 'own', un.direction || ' ' || un.origin, un.value,
       round((un.value / (SELECT value FROM lt WHERE series = 'click') - 1) * 100, 4),
       CASE WHEN hit.level IS NOT NULL THEN 'hit' ELSE '' END
-      FROM un LEFT JOIN hit ON hit.subscriber = un.subscriber AND hit.level = un.value""",
+      FROM un LEFT JOIN hit ON hit.direction = un.direction AND hit.level = un.value""",
 )
 def _levels_report(spark, folder):
     r = readings(spark, folder)
@@ -125,7 +124,7 @@ def _levels_report(spark, folder):
     configured = small_table(spark, alerts.WATCHED, alerts.LEVEL_COLS)
     levels = level_union(configured, alerts._user_levels(spark, folder)).withColumn("series", F.lit("click"))
     ticks = tick_series(r.filter("series = 'click'"), 30)
-    hits = levels_hit(ticks, configured.withColumn("series", F.lit("click")))
+    hits = levels_hit(ticks, levels)
     return levels_report(latest, extremes(daily_series(r, TZ), NOW), level_distance(levels, latest), hits, 50)
 
 

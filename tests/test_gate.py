@@ -10,8 +10,8 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.gate import alert_gate, gated_fires
-from tidemark.operators.levels import level_crossings, level_ticks, level_union, levels_hit
+from tidemark.operators.gate import alert_gate, gated_fires, walked
+from tidemark.operators.levels import level_crossings, level_runs, level_union, levels_hit
 from tidemark.rules import Gate
 
 T0 = datetime(2026, 8, 17, 0, 0, tzinfo=UTC)
@@ -221,28 +221,61 @@ def test_gated_levels_brute_force(spark, seed):
     mutes = [(1, base + 20_000, base + 60_000)]
     want, shots = walk(cands, gate, mutes, levels=sorted(levels, key=lambda x: x[1]), prices=prices)
     lv = spark.createDataFrame([(s, v, d, "", "config") for s, v, d in levels], LEVELS).withColumn("series", F.lit("p"))
-    watched = level_ticks(price_ticks(spark, prices), lv, gate)
+    watched = level_runs(price_ticks(spark, prices), lv, gate)
     df = spark.createDataFrame(cands, COLS)
     m = spark.createDataFrame(
         [(s, datetime.fromtimestamp(a, UTC), datetime.fromtimestamp(b, UTC)) for s, a, b in mutes],
         "subscriber bigint, from_ts timestamp, until_ts timestamp",
     )
-    fires = gated_fires(df, gate, m, level_ticks=watched).filter("level IS NOT NULL").collect()
+    fires = gated_fires(df, gate, m, level_runs=watched).filter("level IS NOT NULL").collect()
     assert sorted((r["subscriber"], r["tick"], r["level"], r["direction"]) for r in fires) == sorted(shots)
-    got = {r["id"]: r["outcome"] for r in alert_gate(df, gate, m, level_ticks=watched).collect()}
+    got = {r["id"]: r["outcome"] for r in alert_gate(df, gate, m, level_runs=watched).collect()}
     assert got == want
     assert shots
 
 
-def test_salting_keeps_every_level(spark, monkeypatch):
+def test_two_series_with_equal_levels_keep_apart(spark):
     base = int(T0.timestamp())
-    ticks = price_ticks(spark, [(base + i * 1800, float(90 + i % 20)) for i in range(40)])
-    rows = [(s, 95.0 + s % 7, "either", "", "config") for s in range(60)]
-    levels = spark.createDataFrame(rows, LEVELS).withColumn("series", F.lit("p"))
-    whole = sorted(tuple(r) for r in level_crossings(ticks, levels).collect())
-    monkeypatch.setattr("tidemark.operators.levels.LEVELS_PER_SALT", 7)
-    assert level_ticks(ticks, levels).count() == 60 * 40
-    assert sorted(tuple(r) for r in level_crossings(ticks, levels).collect()) == whole
+    ticks = price_ticks(spark, [(base, 110.0), (base + 1800, 110.0)], "a").unionByName(
+        price_ticks(spark, [(base, 110.0), (base + 1800, 90.0)], "b")
+    )
+    levels = spark.createDataFrame([(1, 100.0, "above", "", "config", s) for s in "ab"], LEVELS + ", series string")
+    got = sorted((r["series"], r["level"], r["direction"]) for r in level_crossings(ticks, levels).collect())
+    assert got == [("a", 100.0, "above"), ("b", 100.0, "above")]
+    assert [r["series"] for r in levels_hit(ticks, levels).collect()] == ["a"]
+    gate = Gate(cooldown_hours=0, quiet_from=0, quiet_to=0)
+    out = walked(spark.createDataFrame([], COLS), gate, level_runs=level_runs(ticks, levels, gate)).collect()
+    assert sorted(r["series"] for r in out if r["what"] == "fired") == ["a", "b"]
+    assert [(r["series"], r["mask"]) for r in out if r["what"] == "hit"] == [("a", 1)]
+
+
+def test_stored_hits_and_held_levels(spark):
+    base = int(T0.timestamp()) + 6 * 3600
+    ticks = price_ticks(spark, [(base + i * 1800, 101.0) for i in range(10)])
+    levels = spark.createDataFrame([(1, 100.0, "above", "", "config"), (1, 99.0, "above", "", "config")], LEVELS).withColumn("series", F.lit("p"))
+    gate, none = Gate(max_per_day=1), spark.createDataFrame([], COLS)
+    hits = spark.createDataFrame([(1, "p", 99.0, 1), (7, "p", 5.0, 2)], "subscriber bigint, series string, level double, mask int")
+    out = walked(none, gate, level_runs=level_runs(ticks, levels, gate), prior_hits=hits).collect()
+    assert [r["level"] for r in out if r["what"] == "fired"] == [100.0]
+    assert sorted((r["subscriber"], r["level"], r["mask"]) for r in out if r["what"] == "hit") == [(1, 99.0, 1), (1, 100.0, 1), (7, 5.0, 2)]
+    out = walked(none, gate, level_runs=level_runs(ticks, levels, gate)).collect()
+    assert [(r["level"], r["reason"]) for r in out if r["what"] == "held"] == [(100.0, "cooldown")]
+    assert [r["level"] for r in out if r["what"] == "fired"] == [99.0]
+
+
+@pytest.mark.parametrize("shape", ["crossings", "gated"])
+def test_levels_are_joined_by_equality(spark, shape):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ticks = price_ticks(spark, [(i * 1800, float(90 + i % 20)) for i in range(40)])
+        levels = spark.createDataFrame([(s, 95.0 + s % 7, "either", "", "config") for s in range(60)], LEVELS).withColumn("series", F.lit("p"))
+        df = level_crossings(ticks, levels) if shape == "crossings" else alert_gate(spark.createDataFrame([], COLS), Gate(), level_runs=level_runs(ticks, levels, Gate()))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert plan.count("MapInArrow") == 1
 
 
 def test_level_union_prefers_config(spark):
@@ -264,6 +297,6 @@ def test_walker_travels_without_the_package(tmp_path):
     from tidemark.operators.walk import _walker
 
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    code = "import sys; from pyspark import cloudpickle; assert list(cloudpickle.loads(sys.stdin.buffer.read())(iter([])))"
-    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(_walker(3)), cwd=tmp_path, env=env, check=False, capture_output=True)
+    code = "import sys; from pyspark import cloudpickle; assert list(cloudpickle.loads(sys.stdin.buffer.read())(iter([]))) == []"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(_walker(3, 1800)), cwd=tmp_path, env=env, check=False, capture_output=True)
     assert done.returncode == 0, done.stderr.decode()

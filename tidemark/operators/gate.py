@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import in_daily_window, local_day, minute_of_day, tick_of
-from tidemark.operators.walk import LEVEL_COLS, walk
+from tidemark.operators.walk import RUN_COLS, walk
 from tidemark.rules import Gate
 
 KEY = ["subscriber", "tick", "trigger"]
@@ -60,15 +60,6 @@ def _contenders(candidates: DataFrame, gate: Gate) -> DataFrame:
     )
 
 
-def _cooling_ticks(fires: DataFrame, tick_minutes: int) -> DataFrame:
-    """(subscriber, tick, trigger) after a fire and inside its cooldown."""
-    width = tick_minutes * 60
-    first = F.col("tick") + width
-    last = F.col("tick") + F.col("cooldown") - 1
-    ticks = F.when(first <= last, F.sequence(first, last, F.lit(width).cast("bigint")))
-    return fires.select("subscriber", "trigger", F.explode(ticks).alias("tick")).distinct()
-
-
 def _prepared(candidates: DataFrame, gate: Gate) -> DataFrame:
     quiet = in_daily_window(
         minute_of_day(F.timestamp_seconds("tick"), gate.tz), gate.quiet_from, gate.quiet_to
@@ -80,25 +71,31 @@ def _prepared(candidates: DataFrame, gate: Gate) -> DataFrame:
     )
 
 
-def gated_fires(
+def walked(
     candidates: DataFrame,
     gate: Gate,
     mutes: DataFrame | None = None,
     prior: DataFrame | None = None,
-    level_ticks: DataFrame | None = None,
+    level_runs: DataFrame | None = None,
+    prior_hits: DataFrame | None = None,
 ) -> DataFrame:
-    """The fired rows alone: subscriber, tick, trigger, id, level, direction.
+    """What the walk says: `fired` rows, levels that are `held` back with the reason, and
+    levels left `hit` with the mask of their sides, which the next run takes as `prior_hits`.
 
-    `level_ticks`, from `levels.level_ticks` with the same gate, holds the price at every
-    tick for each watched level; ticks and levels bound it.
+    `level_runs` comes from `levels.level_runs` with the same gate.
     """
     contenders = _contenders(_prepared(candidates, gate).filter(~F.col("_quiet")), gate)
-    if level_ticks is not None:
-        watched = level_ticks.withColumn("cooldown", cooldown_column(gate))
-        shared = [*KEY, "id", "severity", "cooldown", *LEVEL_COLS]
+    if level_runs is not None:
+        watched = level_runs.withColumn("cooldown", cooldown_column(gate))
+        shared = [*KEY, "id", "severity", "cooldown", *RUN_COLS]
         contenders = contenders.unionByName(watched.select(*shared), allowMissingColumns=True)
-    fired = walk(contenders, gate.tz, gate.max_per_day, prior, mutes).filter("what = 'fired'")
-    return fired.select("subscriber", "tick", "trigger", "id", "level", "direction")
+    return walk(contenders, gate.tz, gate.max_per_day, gate.tick_minutes, prior, mutes, prior_hits)
+
+
+def gated_fires(candidates: DataFrame, gate: Gate, *args: DataFrame | None, **more: DataFrame | None) -> DataFrame:
+    """The fired rows alone, arguments as for `walked`."""
+    fired = walked(candidates, gate, *args, **more).filter("what = 'fired'")
+    return fired.select("subscriber", "tick", "trigger", "id", "series", "level", "direction")
 
 
 def alert_gate(
@@ -106,32 +103,39 @@ def alert_gate(
     gate: Gate,
     mutes: DataFrame | None = None,
     prior: DataFrame | None = None,
-    level_ticks: DataFrame | None = None,
+    level_runs: DataFrame | None = None,
+    prior_hits: DataFrame | None = None,
 ) -> DataFrame:
     """Add `tick`, `outcome` (fired, disabled, muted, quiet, cooldown, budget).
 
     Candidates: subscriber, trigger, ts, severity, id. `prior` holds earlier fires
     (subscriber, tick, trigger). Nothing is written: committing the fired rows is
-    the caller's step, so a dry run is the same call. Candidates are read twice, so
-    an expensive scan should be written to a table first.
+    the caller's step, so a dry run is the same call. The walk runs once; a fired row
+    carries the end of its cooldown, and both marks of a tick come from it.
     """
     if not gate.enabled:
         tick = F.timestamp_seconds(tick_of(F.col("ts"), gate.tick_minutes))
         return candidates.withColumn("tick", tick).withColumn("outcome", F.lit("disabled"))
     rows = _prepared(candidates, gate)
-    fires = gated_fires(candidates, gate, mutes, prior, level_ticks).withColumn(
-        "cooldown", cooldown_column(gate)
-    )
-    earlier = fires.select("subscriber", "tick", "trigger", "cooldown")
+    fires = walked(candidates, gate, mutes, prior, level_runs, prior_hits).filter("what = 'fired'")
+    own = F.when(F.col("level").isNull(), F.col("id"))
+    marked = fires.select(*KEY, own.alias("id"), "cooled", F.lit(True).alias("now"))
     if prior is not None:
-        earlier = earlier.unionByName(
-            prior.select("subscriber", "tick", "trigger").withColumn("cooldown", cooldown_column(gate))
-        )
-    cooling = _cooling_ticks(earlier, gate.tick_minutes)
+        earlier = prior.select(*KEY).withColumn("cooled", F.col("tick") + cooldown_column(gate))
+        marked = marked.unionByName(earlier.withColumn("now", F.lit(False)), allowMissingColumns=True)
+    width = F.lit(gate.tick_minutes * 60).cast("bigint")
+    after = F.when(
+        F.col("tick") + width < F.col("cooled"), F.sequence(F.col("tick") + width, F.col("cooled") - 1, width)
+    ).otherwise(F.array().cast("array<bigint>"))
+    spans = F.concat(
+        F.when(F.col("now") & F.col("id").isNotNull(), F.array(F.struct("tick", "id"))).otherwise(
+            F.array().cast("array<struct<tick:bigint,id:bigint>>")
+        ),
+        F.transform(after, lambda t: F.struct(t.alias("tick"), F.lit(None).cast("bigint").alias("id"))),
+    )
     marks = (
-        fires.filter(F.col("level").isNull())
-        .select(*KEY, "id")
-        .unionByName(cooling.withColumn("id", F.lit(None).cast("bigint")))
+        marked.select("subscriber", "trigger", F.explode(spans).alias("m"))
+        .select("subscriber", "trigger", "m.tick", "m.id")
         .groupBy(*KEY)
         .agg(F.collect_list("id").alias("_ids"), F.count_if(F.col("id").isNull()).alias("_cooling"))
     )

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import in_daily_window, local_day_number, minute_of_day
 from tidemark.functions.numbers import change_pct
 from tidemark.operators.walk import walk
-from tidemark.rules import Gate
+from tidemark.rules import REARM_MARGIN_PCT, Gate
 
-LEVELS_PER_SALT = 20_000
+SALTS = 16
+BUCKETS = 256  # price buckets of a series
+BLOCK = 60  # ticks in a row of a run, at most 62
+SETTLED = 4  # a level fires, re-arms and fires again within so many ticks on one side
 LEVEL_TRIGGER = "inr_price_levels"
 LEVEL_SEVERITY = 10.0  # a level someone set outranks a configured threshold
 # A gate that lets everything pass.
@@ -27,71 +30,155 @@ def level_union(configured: DataFrame, added: DataFrame) -> DataFrame:
     return both.groupBy("subscriber", "value").agg(pick.alias("l")).select("subscriber", "value", "l.*")
 
 
-def level_ticks(ticks: DataFrame, levels: DataFrame, gate: Gate = FREE) -> DataFrame:
-    """Price of the watched series at every tick for each level.
+def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """(series, level, tick, until, price, follow): runs of ticks on one side of a level.
 
-    What depends on the tick alone (its local day, whether it is quiet) is worked out
-    once per tick, before the levels multiply the rows.
-    Many levels may watch one series, so the equality join is salted where that is so:
-    a series gets one salt per `LEVELS_PER_SALT` levels, its ticks, few by nature, are
-    repeated for each, and its levels spread over them.
+    The sides are: under the level by more than the margin, just under, at it, just over,
+    over by more than the margin; while the price stays on one, a level acts alike. A run
+    begins at the first tick of a series and wherever the price changes sides. Those ticks
+    are found by an equality join on price buckets of the series: a tick lies in the
+    buckets between the price before it and its own, a level in those of its margins.
+    `levels` holds distinct (series, level). `follow` has the ticks of a run after its first,
+    until no level changes any more.
     """
-    salts = levels.groupBy("series").agg(
-        F.ceil(F.count("*") / F.lit(LEVELS_PER_SALT)).cast("int").alias("_salts")
+    along = Window.partitionBy("series").orderBy("tick")
+    priced = ticks.select(
+        "series", "tick", F.col("value").alias("price"),
+        F.lag("value").over(along).alias("before"),
+        F.array(*[F.lead("tick", k).over(along) for k in range(1, SETTLED)]).alias("follow"),
+    )
+    span = ticks.groupBy("series").agg(
+        F.min("value").alias("bottom"), F.max("value").alias("top"),
+        F.min("tick").alias("start"), F.max("tick").alias("last"),
+    )
+    step = F.greatest((F.col("top") - F.col("bottom")) / BUCKETS, F.lit(1e-9))
+    place = lambda c: F.floor((c - F.col("bottom")) / step).cast("int")
+    # The salt is part of the key, so that a series given as a constant leaves one.
+    salted = levels.withColumn("_salt", F.pmod(F.xxhash64("level"), F.lit(SALTS)).cast("int"))
+    spread = span.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    margin = F.col("level") * F.lit(REARM_MARGIN_PCT) / F.lit(100.0)
+    banded = salted.join(spread, ["series", "_salt"]).select(
+        "series", "level", "start", "last", "bottom", "top", (F.col("level") - margin).alias("low"), (F.col("level") + margin).alias("high")
     )
-    minute = minute_of_day(F.timestamp_seconds("tick"), gate.tz)
-    spread = ticks.join(salts, "series").select(
-        "series",
-        "tick",
-        F.col("value").alias("price"),
-        local_day_number(F.col("tick"), gate.tz).alias("day"),
-        in_daily_window(minute, gate.quiet_from, gate.quiet_to).alias("blocked"),
-        F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"),
+
+    def side(price: Column) -> Column:
+        return (
+            F.when(price < F.col("low"), 0).when(price < F.col("level"), 1).when(price == F.col("level"), 2)
+            .when(price <= F.col("high"), 3).otherwise(4)
+        )
+
+    inside = F.greatest(F.col("low"), F.col("bottom")) <= F.least(F.col("high"), F.col("top"))
+    near = banded.filter(inside).select(
+        "series", "level", "low", "high",
+        F.posexplode(F.sequence(place(F.greatest("low", "bottom")), place(F.least("high", "top")))).alias("_nth", "bucket"),
+    )
+    lower, upper = F.least("price", "before"), F.greatest("price", "before")
+    moves = (
+        priced.filter(F.col("before").isNotNull() & (F.col("price") != F.col("before")))
+        .join(span, "series")
+        .select("series", "tick", "price", "before", "follow", F.posexplode(F.sequence(place(lower), place(upper))).alias("_at", "bucket"))
+    )
+    crossed = (
+        near.join(moves, ["series", "bucket"])
+        # Of the buckets both lie in, the first one counts.
+        .filter("_nth = 0 OR _at = 0")
+        .filter(side(F.col("price")) != side(F.col("before")))
+        .select("series", "level", "tick", "price", "follow")
+    )
+    first = priced.filter(F.col("before").isNull()).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    begun = salted.join(first, ["series", "_salt"]).select("series", "level", "tick", "price", "follow")
+    by_level = Window.partitionBy("series", "level").orderBy("tick")
+    ends = F.lead("tick").over(by_level)
+    runs = begun.unionByName(crossed).withColumn("until", ends)
+    own = F.filter("follow", lambda t: t.isNotNull() & (F.col("until").isNull() | (t < F.col("until"))))
+    return runs.withColumn("follow", own)
+
+
+def level_runs(ticks: DataFrame, levels: DataFrame, gate: Gate) -> DataFrame:
+    """Rows for the gate's walk: the runs of each subscriber's levels, cut into blocks of
+    `BLOCK` ticks and local days, their ticks as bits. A run in which a level can't fire
+    is its first ticks alone, at which the level may re-arm.
+
+    `levels`: subscriber, series, value, direction, origin. What depends on series, level
+    and direction alone is worked out once; subscribers join by equality at the end.
+    """
+    width = gate.tick_minutes * 60
+    named = levels.withColumnRenamed("value", "level")
+    wanted = named.select("series", "level", "direction").distinct()
+    runs = price_runs(ticks, wanted.select("series", "level").distinct()).join(wanted, ["series", "level"])
+    fires = ((F.col("direction") != "below") & (F.col("price") >= F.col("level"))) | (
+        (F.col("direction") != "above") & (F.col("price") <= F.col("level"))
+    )
+    block = lambda c: F.floor(c / (BLOCK * width)).cast("bigint")
+    offset = ((F.col("tick") - block(F.col("tick")) * BLOCK * width) / width).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), offset)
+    quiet = in_daily_window(minute_of_day(F.timestamp_seconds("tick"), gate.tz), gate.quiet_from, gate.quiet_to)
+    grid = (
+        ticks.select("series", "tick", bit.alias("bit"), quiet.alias("quiet"), local_day_number(F.col("tick"), gate.tz).alias("day"))
+        .groupBy("series", block(F.col("tick")).alias("block"), "day")
+        .agg(F.bit_or("bit").alias("bits"), F.coalesce(F.bit_or(F.when(~F.col("quiet"), F.col("bit"))), F.lit(0).cast("bigint")).alias("open"), F.max("tick").alias("newest"))
     )
-    named = levels.join(salts, "series").select(
-        "subscriber",
-        "series",
-        F.col("value").alias("level"),
-        "direction",
-        F.when(F.col("origin") == "config", 0).otherwise(1).alias("_p"),
-        F.pmod(F.hash("subscriber", "value"), F.col("_salts")).alias("_salt"),
+    last = grid.groupBy("series").agg(F.max("block").alias("last_block"))
+    shape = ["series", "level", "direction", "price"]
+    able = (
+        runs.filter(fires)
+        .join(last, "series")
+        .withColumn("block", F.explode(F.sequence(block(F.col("tick")), F.coalesce(block(F.col("until") - 1), F.col("last_block")))))
+        .join(grid, ["series", "block"])
     )
-    return named.join(spread, ["series", "_salt"]).select(
-        "subscriber",
-        "series",
-        F.lit(LEVEL_TRIGGER).alias("trigger"),
-        "tick",
-        "level",
-        "direction",
-        "price",
-        "day",
-        "blocked",
+    base = F.col("block") * BLOCK * width
+    cut = lambda c: F.least(F.greatest((c - base) / width, F.lit(0)), F.lit(BLOCK)).cast("int")
+    ones = lambda n: F.call_function("shiftleft", F.lit(-1).cast("bigint"), n)
+    mask = F.bitwise_not(ones(cut(F.coalesce("until", F.lit(2**62))))).bitwiseAND(ones(cut(F.col("tick"))))
+    able = able.select(
+        *shape, "day", base.alias("tick"), F.col("bits").bitwiseAND(mask).alias("bits"), F.col("open").bitwiseAND(mask).alias("open")
+    ).filter("bits <> 0")
+    still = runs.filter(~fires).select(
+        *shape, local_day_number(F.col("tick"), gate.tz).alias("day"), "tick", F.lit(1).cast("bigint").alias("bits"), F.lit(0).cast("bigint").alias("open")
+    )
+    return named.join(able.unionByName(still), ["series", "level", "direction"]).select(
+        "subscriber", F.lit(LEVEL_TRIGGER).alias("trigger"), *shape, "day", "tick", "bits", "open",
         F.lit(LEVEL_SEVERITY).alias("severity"),
         # Configured levels come before added ones, then by value.
-        (F.col("_p") * F.lit(10**15) + F.round(F.col("level") * 10_000)).cast("bigint").alias("id"),
-    )
-
-
-def _ungated(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Level rows walked with no cooldown and no budget, one series at a time."""
-    named = levels if "origin" in levels.columns else levels.withColumn("origin", F.lit("config"))
-    rows = level_ticks(ticks, named).withColumn("cooldown", F.lit(0).cast("bigint"))
-    return walk(rows, FREE.tz, FREE.max_per_day)
+        (F.when(F.col("origin") == "config", 0).otherwise(1) * F.lit(10**15) + F.round(F.col("level") * 10_000)).cast("bigint").alias("id"),
+    )
+
+
+def _ungated(ticks: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(levels with a key, walk of each key): every distinct (series, level, direction) is
+    walked once, over the first ticks of each run; later ones change nothing."""
+    key = F.xxhash64("series", "level", "direction")
+    named = levels.withColumnRenamed("value", "level").withColumn("_key", key)
+    wanted = named.select("series", "level", "direction", "_key").distinct()
+    runs = price_runs(ticks, wanted.select("series", "level").distinct()).join(wanted, ["series", "level"])
+    one = F.lit(1).cast("bigint")
+    rows = runs.select(
+        F.col("_key").alias("subscriber"), "series", "level", "direction", "price", F.lit(LEVEL_TRIGGER).alias("trigger"),
+        F.explode(F.concat(F.array("tick"), "follow")).alias("tick"), one.alias("bits"), one.alias("open"),
+        F.lit(LEVEL_SEVERITY).alias("severity"), one.alias("id"), F.lit(0).cast("bigint").alias("cooldown"),
+    )
+    return named, walk(rows, FREE.tz, FREE.max_per_day).withColumnRenamed("subscriber", "_key")
 
 
 def level_crossings(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     """Crossings of each level, without a gate.
 
-    A level fires once, then stays silent until the price has retreated past the
-    margin. The levels of a subscriber watch one series.
+    A level fires once, then stays silent until the price has retreated past the margin.
+    `levels`: subscriber, series, value, direction.
     """
-    fired = _ungated(ticks, levels).filter("what = 'fired'")
-    return fired.select("subscriber", "level", F.timestamp_seconds("tick").alias("ts"), "price", "direction")
+    named, walked = _ungated(ticks, levels)
+    fired = walked.filter("what = 'fired'").select("_key", "series", "tick", F.col("direction").alias("side"))
+    at = fired.join(ticks.select("series", "tick", F.col("value").alias("price")), ["series", "tick"])
+    return at.join(named.select("subscriber", "level", "_key"), "_key").select(
+        "subscriber", "series", "level", F.timestamp_seconds("tick").alias("ts"), "price", F.col("side").alias("direction")
+    )
 
 
 def levels_hit(ticks: DataFrame, levels: DataFrame) -> DataFrame:
-    """Levels that have fired and not re-armed since, on either side."""
-    return _ungated(ticks, levels).filter("what = 'hit'").select("subscriber", "level")
+    """(subscriber, series, level) that have fired and not re-armed since, on either side."""
+    named, walked = _ungated(ticks, levels)
+    hit = walked.filter("what = 'hit'").select("_key", "mask")
+    return named.select("subscriber", "series", "level", "_key").join(hit, "_key").drop("_key")
 
 
 def level_distance(levels: DataFrame, latest: DataFrame) -> DataFrame:
