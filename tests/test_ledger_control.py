@@ -39,9 +39,27 @@ def test_spend_guard_brute_force(spark, seed):
     assert got == want and set(want.values()) == {"per_run", "daily", "allowed"}
 
 
+def test_spend_guard_starts_from_what_is_booked(spark):
+    day = date(2026, 8, 1)
+    prices = Prices(daily_cap_micro=100)
+    calls = [(i, day, 30, 25) for i in range(5)] + [(9, date(2026, 8, 2), 30, 25)]
+    df = spark.createDataFrame(calls, "call_id bigint, day date, projected bigint, cost bigint")
+    prior = spark.createDataFrame([(day, 20), (day, 15)], "day date, cost_micro bigint")
+    got = {r["call_id"]: r["outcome"] for r in ledger.spend_guard(df, prices, prior=prior).collect()}
+    assert got == {0: "allowed", 1: "allowed", 2: "daily", 3: "daily", 4: "daily", 9: "allowed"}
+
+
+def test_calls_without_cost_gather_nowhere(spark):
+    calls = [(i, date(2026, 8, 1), 0 if i % 100 else 40, 0 if i % 100 else 40) for i in range(5000)]
+    df = spark.createDataFrame(calls, "call_id bigint, day date, projected bigint, cost bigint")
+    out = ledger.spend_guard(df, Prices(daily_cap_micro=100))
+    assert out.groupBy("outcome").count().orderBy("outcome").collect() == [("allowed", 4952), ("daily", 48)]
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_control_events(spark):
     said = [
-        (1, "/set 1,18,000 above - trim"), (1, "/set 118000 below"), (1, "/unset 118000"), (1, "/set 118000 under later"),
+        (1, "/set 1,18,000 above - trim"), (1, "/set 118000 below"), (1, "/unset - 118000"), (1, "/set 118000 under later"),
         (1, "/set 5"), (1, "/mute 90m"), (1, "/mute soon"), (2, "/mute 99h"), (2, "/set 90000"), (3, "/mute 4h"), (3, "/unmute"),
         (9, "/set 90000"), (2, "hello"),
     ]

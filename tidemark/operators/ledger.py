@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import sys
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.money import call_micro, token_estimate
 from tidemark.rules import Prices
 
+# Ship the walker with its task, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def priced_calls(calls: DataFrame, prices: Prices) -> DataFrame:
     """Add the projected and the actual cost of each call.
@@ -38,16 +46,39 @@ def merge_ledger(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     )
 
 
-def spend_guard(calls: DataFrame, prices: Prices, rows_per_part: int = 1_000_000) -> DataFrame:
+def _guard(cap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of allowed calls, from rows sorted by day and call; an amount on the books comes first."""
+        today, spent = None, 0
+        for batch in batches:
+            allowed = []
+            for day, call_id, projected, cost in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if day != today:
+                    today, spent = day, 0
+                if call_id is None:
+                    spent += cost
+                elif spent + projected <= cap:
+                    spent += cost
+                    allowed.append(call_id)
+            yield pa.RecordBatch.from_arrays([pa.array(allowed, pa.int64())], names=["call_id"])
+
+    return run
+
+
+def spend_guard(
+    calls: DataFrame, prices: Prices, rows_per_part: int = 1_000_000, prior: DataFrame | None = None
+) -> DataFrame:
     """Add `outcome`: allowed, per_run or daily. Refused calls add nothing.
 
+    `prior` (day, cost_micro) is what earlier runs have spent on each day.
+
     Walking a whole day in one task is avoided by an exact cut. What is left of the
     cap only shrinks, so once a call of some projected cost is refused, every later
     one of that cost is too: the allowed calls of one projection are its first ones.
     A call can therefore be allowed only if the actual costs of the earlier calls of
     the same projection leave room for it. That is checked inside slices of about
-    `rows_per_part` rows first, so that no task sees a hot day whole, and what survives
-    is bounded by the cap over the cheapest call. Only survivors are walked in order.
+    `rows_per_part` rows first, so that no task sees a hot day whole. The survivors are
+    streamed in order past one running total, so even calls that cost nothing gather nowhere.
     """
     fits = calls.filter(F.col("projected") <= prices.per_run_cap_micro)
     room = F.lit(prices.daily_cap_micro) - F.col("projected")
@@ -64,25 +95,12 @@ def spend_guard(calls: DataFrame, prices: Prices, rows_per_part: int = 1_000_000
         "_part", F.pmod(F.xxhash64("call_id"), parts)
     )
     survivors = cut(cut(sliced, "day", "projected", "_part").drop("_spent"), "day", "projected")
-    queue = survivors.groupBy("day").agg(
-        F.sort_array(F.collect_list(F.struct("call_id", "projected", "cost"))).alias("queue")
-    )
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("spent"), F.array().cast("array<bigint>").alias("allowed")
-    )
-
-    def step(state: Column, call: Column) -> Column:
-        ok = state["spent"] + call["projected"] <= F.lit(prices.daily_cap_micro)
-        return F.struct(
-            F.when(ok, state["spent"] + call["cost"]).otherwise(state["spent"]).alias("spent"),
-            F.when(ok, F.concat(state["allowed"], F.array(call["call_id"])))
-            .otherwise(state["allowed"])
-            .alias("allowed"),
-        )
-
-    allowed = queue.select(
-        F.explode(F.aggregate("queue", start, step)["allowed"]).alias("call_id")
-    ).withColumn("_ok", F.lit(True))
+    queue = survivors.select("day", "call_id", "projected", "cost")
+    if prior is not None:
+        spent = prior.groupBy("day").agg(F.sum("cost_micro").alias("cost"))
+        queue = queue.unionByName(spent, allowMissingColumns=True)
+    ordered = queue.repartition("day").sortWithinPartitions("day", F.asc_nulls_first("call_id"))
+    allowed = ordered.mapInArrow(_guard(prices.daily_cap_micro), "call_id bigint").withColumn("_ok", F.lit(True))
     return calls.join(allowed, "call_id", "left").select(
         *calls.columns,
         F.when(F.col("_ok"), F.lit("allowed"))

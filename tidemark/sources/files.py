@@ -68,8 +68,8 @@ _CHART = (
 )
 
 
-def _charts(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(_CHART).json(path, multiLine=True)
+def _charts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    raw = spark.read.schema(_CHART).json(path, multiLine=not lines)
     return raw.select(stem().alias("file"), F.explode("chart.result").alias("r")).select(
         F.coalesce("r.meta.symbol", "file").alias("series"),
         F.col("r.meta").alias("meta"),
@@ -78,24 +78,24 @@ def _charts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def scan_bars(spark: SparkSession, path: str) -> DataFrame:
+def scan_bars(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row per bar with a close."""
     pairs = F.arrays_zip(F.col("stamps").alias("t"), F.col("closes").alias("c"))
     return (
-        _charts(spark, path)
+        _charts(spark, path, lines)
         .select("series", F.explode(pairs).alias("bar"))
         .select("series", F.timestamp_seconds("bar.t").alias("ts"), F.col("bar.c").alias("value"))
         .filter("value IS NOT NULL AND ts IS NOT NULL")
     )
 
 
-def scan_quotes(spark: SparkSession, path: str) -> DataFrame:
+def scan_quotes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Last and previous price per chart; the official previous close wins over bars."""
     closes = F.filter("closes", lambda c: c.isNotNull())
     last = F.coalesce(F.try_element_at(closes, F.lit(-1)), F.col("meta.regularMarketPrice"))
     previous = F.coalesce(F.col("meta.chartPreviousClose"), F.try_element_at(closes, F.lit(-2)))
     return (
-        _charts(spark, path)
+        _charts(spark, path, lines)
         .select(
             "series",
             F.timestamp_seconds(F.try_element_at("stamps", F.lit(-1))).alias("ts"),
