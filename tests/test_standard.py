@@ -21,22 +21,22 @@ def test_whole_run(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(body if isinstance(body, str) else json.dumps(body), encoding="utf-8")
 
-    for i, (symbol, last) in enumerate([("XAUUSD=X", 3400.0), ("GC=F", 3403.0), ("USDINR=X", 87.5), ("DX-Y.NYB", 98.0), ("ZQ=F", 96.25)]):
+    for i, (symbol, last) in enumerate([("XAUUSD=X", 2535.0), ("GC=F", 2537.0), ("USDINR=X", 84.0), ("DX-Y.NYB", 101.5), ("ZQ=F", 95.75)]):
         put(f"charts/{i}.json", chart(symbol, [last * 0.99, last], [100, 200], chartPreviousClose=last * 0.98))
-    put("observations/DFII10.json", {"observations": [{"date": "2026-08-15", "value": "1.78"}, {"date": "2026-08-14", "value": "1.90"}]})
-    put("rates/r.html", "<table><tr><td>Gold 995</td><td>1,06,420</td></tr></table>")
+    put("observations/DFII10.json", {"observations": [{"date": "2027-03-12", "value": "2.31"}, {"date": "2027-03-11", "value": "2.45"}]})
+    put("rates/r.html", "<table><tr><td>Gold 995</td><td>80,990</td></tr></table>")
     put("contracts/m.json", {"d": ROWS})
-    put("fund_archive/f.csv", "Preamble\nDate,Tonnes\n15-Aug-2026,905.82\n14-Aug-2026,904.93\n")
-    put("meetings/m.html", "<div>August</div><div>18-19</div>")
-    put("releases/c.html", "<tr><td>July 2026</td><td>December 19, 2026</td></tr>")
-    art = lambda t, u: {"title": t, "url": u, "seendate": "20260817T053000Z"}
-    put("articles/a.json", {"articles": [art("Missile strike near border", "https://apnews.com/1"), art("Again", "https://apnews.com/1")]})
-    put("policy_articles/p.json", {"articles": [art("India raises import duty on gold", "https://x.com/1"), art("Import duty on steel", "https://x.com/2")]})
+    put("fund_archive/f.csv", "Preamble\nDate,Tonnes\n20-May-2027,712.40\n19-May-2027,711.15\n")
+    put("meetings/m.html", "<div>March</div><div>16-17</div>")
+    put("releases/c.html", "<tr><td>June 2027</td><td>July 19, 2027</td></tr>")
+    art = lambda t, u: {"title": t, "url": u, "seendate": "20270212T041500Z"}
+    put("articles/a.json", {"articles": [art("Airstrike reported, embargo feared", "https://apnews.com/1"), art("Again", "https://apnews.com/1")]})
+    put("policy_articles/p.json", {"articles": [art("Customs duty on gold lifted", "https://x.com/1"), art("Customs duty on timber", "https://x.com/2")]})
     put("policy_feeds/p.xml", "<rss><channel><item><title>Gold scheme</title><link>https://y.com/1</link></item></channel></rss>")
     put("bond_articles/b.json", {"articles": [art("Nothing here", "https://z.com/1")]})
-    put("navs/n.txt", "1;a;-;SBI Gold ETF;92.0140;15-Aug-2026\n2;a;-;UTI Gold ETF;88.7701;15-Aug-2026\n")
+    put("navs/n.txt", "1;a;-;Cedar Gold ETF;64.9;20-May-2027\n2;a;-;Dogwood Gold ETF;60.08;20-May-2027\n")
 
-    runs = standard_sources(date(2026, 8, 17)).run(spark, str(land), str(tmp_path / "out"), "r1")
+    runs = standard_sources(date(2027, 3, 15)).run(spark, str(land), str(tmp_path / "out"), "r1")
     ok = {r["source"]: r for r in runs.collect()}
     failed = {n for n, r in ok.items() if not r["ok"]}
     assert failed == {"silver", "positions", "official_sector", "feeds"}, {n: ok[n]["error"] for n in failed}
@@ -49,11 +49,11 @@ def test_whole_run(spark, tmp_path):
         stored.withColumn("id", F.monotonically_increasing_id()).withColumnRenamed("source_name", "source")
     )
     values = {r["series"]: r["value"] for r in picked.collect()}
-    assert values["gold_usd_oz"] == 3400.0 and values["implied_policy_rate"] == 3.75 and values["us_event"] == 2.0
-    assert values["ibja_inr_per_10g"] == 106420.0 and values["mcx_gold_inr_per_10g"] == 106880.0
-    assert values["real_yield_10y"] == 1.78 and values["gld_tonnes_delta"] == 0.89
-    assert abs(values["india_gold_etf_median_nav"] - (92.014 + 88.7701) / 2) < 1e-4
+    assert values["gold_usd_oz"] == 2535.0 and values["implied_policy_rate"] == 4.25 and values["us_event"] == 2.0
+    assert values["ibja_inr_per_10g"] == 80990.0 and values["mcx_gold_inr_per_10g"] == 91740.5
+    assert values["real_yield_10y"] == 2.31 and values["gld_tonnes_delta"] == 1.25
+    assert abs(values["india_gold_etf_median_nav"] - (64.9 + 60.08) / 2) < 1e-4
     extra = stored.filter("series = 'real_yield_10y'").first()["extra"]
-    assert json.loads(extra) == {"change_bp": -12.0}
+    assert json.loads(extra) == {"change_bp": -14.0}
     news = spark.read.parquet(str(tmp_path / "out" / "headlines")).filter("source_name = 'articles'").first()
-    assert news["keywords"] == ["strike", "missile"] and news["domain"] == "apnews.com"
+    assert news["keywords"] == ["airstrike", "embargo"] and news["domain"] == "apnews.com"
