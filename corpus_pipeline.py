@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, linespread, mixing, oddsketch
-from tidemark.llm.common import read, table
+from tidemark.llm.common import read, small, table
 
 #: A text is rejected if no language holds this share of its words, by mean probability.
 LEAST_SCORE = 0.4
@@ -39,7 +39,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates."""
     found = table(oddsketch.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "kept"), "groups")
-    kept = found.filter("kept").select("_id").distinct()
+    kept = small(table(found.filter("kept").select("_id").distinct(), "kept"))
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     repeated = not found.groupBy("_id").count().filter("count > 1").isEmpty()
     if not repeated:

@@ -42,6 +42,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys that may be broadcast: some tens of megabytes.
+SMALL_ROWS = 1_000_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, with a broadcast hint if it has few rows.
+
+    The texts it is joined with then stay where they are. Beyond that the join shuffles.
+    """
+    return F.broadcast(keys) if keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else keys
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

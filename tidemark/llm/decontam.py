@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import Words, groups, mix
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import small, small_batches, table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -214,5 +214,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the rows that hold a passage of the benchmark."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    bad = small(table(leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct(), "leaks"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leak"]), "left_anti")

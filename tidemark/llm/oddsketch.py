@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import ByteWords, byte_groups, mix
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import small, small_batches, table
 from tidemark.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     where = banded.drop("band").join(buckets.select("bucket"), "bucket")
     slim = one.select("class", "k1", "k2", F.col("n_shingles").alias("n"), "sketch")
     members = table(where.join(slim, "class").select("bucket", "class", "n", "sketch", "k1", "k2"), "members")
-    wanted = members.select("class", "k1", "k2").distinct()
+    wanted = small(table(members.select("class", "k1", "k2").distinct(), "wanted"))
     texts = docs.select(F.col("doc_id").cast("long").alias("class"), "text").join(wanted, "class")
     sets = texts.select("class", "k1", "k2", "text").mapInArrow(_sets, "class bigint, shingles binary").dropDuplicates(["class"])
     sets = table(sets, "sets")
