@@ -89,7 +89,7 @@ RUN = "2024-01-20"
     "data_gaps",
     f"""WITH {RUNS_SQL}, {STALE_SQL}
     SELECT 'failed' AS kind, source, error AS detail FROM runs WHERE run_id = '{RUN}' AND NOT ok
-    UNION ALL SELECT 'stale', source, format('newest reading is {{:.1f}}h old, past its {{:.0f}}h freshness budget',
+    UNION ALL SELECT 'stale', source, format('last value {{:.1f}} hours ago, allowed are {{:.0f}}',
       age_hours, budget_hours) FROM st WHERE age_hours > budget_hours""",
 )
 def _gaps(spark, folder):
@@ -99,7 +99,7 @@ def _gaps(spark, folder):
 @query(
     "run_notes",
     f"""WITH {RUNS_SQL} SELECT run_id, source, n_notes || ' tiny values' AS note FROM runs WHERE n_notes > 0
-    UNION ALL SELECT run_id, source, 'DATA UNAVAILABLE: spike' FROM runs WHERE NOT ok""",
+    UNION ALL SELECT run_id, source, 'no data: spike' FROM runs WHERE NOT ok""",
 )
 def _notes(spark, folder):
     r = runs(spark, folder)

@@ -67,7 +67,7 @@ ORDER = [("view", 1, "Views"), ("click", 2, "Clicks"), ("purchase", 3, "Purchase
     tk AS (SELECT *, row_number() OVER (PARTITION BY is_new ORDER BY id) AS rank FROM mk
       QUALIFY rank <= CASE WHEN is_new THEN 25 ELSE 10 END),
     gp AS (SELECT 'failed' AS kind, source, error AS detail FROM runs WHERE run_id = '2024-01-20' AND NOT ok
-      UNION ALL SELECT 'stale', source, format('newest reading is {{:.1f}}h old, past its {{:.0f}}h freshness budget',
+      UNION ALL SELECT 'stale', source, format('last value {{:.1f}} hours ago, allowed are {{:.0f}}',
       age_hours, budget_hours) FROM st WHERE age_hours > budget_hours),
     lb AS (SELECT subscriber, max(ts) AS ts, arg_max(mode, ts) AS mode FROM b WHERE mode <> 'alert' GROUP BY 1)
     SELECT section, CAST(ord AS INTEGER) AS ord, key, text FROM (SELECT * FROM rd

@@ -7,9 +7,12 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from catalog import alerts
 from catalog.base import query
 from catalog.tables import READINGS_SQL, PAGES_SQL, pages, readings
 from tidemark.operators.headlines import tagged, upsert
+from tidemark.plans.watch import move_watch, watch_run
+from tidemark.rules import small_table
 from tidemark.session import shared_folder
 from tidemark.sources import sinks
 
@@ -105,3 +108,26 @@ def _prune(spark, folder):
     sinks.prune(spark, path, LAST_OF_DAY)  # past the last row of its own date
     sinks.prune(spark, path, CUTOFF)
     return spark.read.parquet(path)
+
+
+SPLIT, START, END = datetime(2024, 1, 15, 10), datetime(2024, 1, 1), datetime(2024, 3, 1)
+
+
+@query(
+    "watch_run",
+    alerts.gate_sql(3, True, alerts.WATCH_SQL, alerts.MOVE_TRIGGERS)
+    + """SELECT p.id, p.subscriber, p.trigger, p.tick FROM p JOIN walk w ON w.id = p.id AND w.subscriber = p.subscriber
+      WHERE w.o = 'fired'""",
+)
+def _watch_run(spark, folder):
+    """Two runs over successive halves of the events give what one run over all gives."""
+    home = _fresh(spark, "watch")
+    r = readings(spark, folder).select("id", "series", "ts", "value")
+    rules = [x for x in alerts.RULES if x.enabled]
+    jobs = {x.trigger: move_watch(x, alerts.MOVE_TRIGGERS.index(x.trigger), 8) for x in rules}
+    who = small_table(spark, alerts.SUBSCRIPTIONS, "subscriber bigint, trigger string")
+    for run, (a, b) in enumerate([(START, SPLIT), (SPLIT, END)]):
+        sinks.append_readings(r.filter((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b))), f"{home}/readings")
+        watch_run(spark, home, run, a, b, jobs, alerts.WATCH_GATE, who, alerts.mutes(spark))
+    log = spark.read.parquet(f"{home}/alert_log")
+    return log.select("id", "subscriber", "trigger", F.timestamp_seconds("tick").alias("tick"))

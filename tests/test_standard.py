@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.health import source_health
 from tidemark.operators.series import priority_value
-from tidemark.sources.standard import standard_sources
+from tidemark.sources.standard import standard_notes, standard_sources
 from tests.test_sources import ROWS, chart
 
 
@@ -24,6 +24,7 @@ def test_whole_run(spark, tmp_path):
     for i, (symbol, last) in enumerate([("XAUUSD=X", 2535.0), ("GC=F", 2537.0), ("USDINR=X", 84.0), ("DX-Y.NYB", 101.5), ("ZQ=F", 95.75)]):
         put(f"charts/{i}.json", chart(symbol, [last * 0.99, last], [100, 200], chartPreviousClose=last * 0.98))
     put("observations/DFII10.json", {"observations": [{"date": "2027-03-12", "value": "2.31"}, {"date": "2027-03-11", "value": "2.45"}]})
+    put("observations/FEDFUNDS.json", {"observations": [{"date": "2027-03-10", "value": "4.40"}, {"date": "2027-02-10", "value": "4.50"}]})
     put("rates/r.html", "<table><tr><td>Gold 995</td><td>80,990</td></tr></table>")
     put("contracts/m.json", {"d": ROWS})
     put("fund_archive/f.csv", "Preamble\nDate,Tonnes\n20-May-2027,712.40\n19-May-2027,711.15\n")
@@ -53,6 +54,10 @@ def test_whole_run(spark, tmp_path):
     assert values["ibja_inr_per_10g"] == 80990.0 and values["mcx_gold_inr_per_10g"] == 91740.5
     assert values["real_yield_10y"] == 2.31 and values["gld_tonnes_delta"] == 1.25
     assert abs(values["india_gold_etf_median_nav"] - (64.9 + 60.08) / 2) < 1e-4
+    assert values["implied_cut_probability_pct"] == 60.0
+    assert abs(values["gold_spot_future_divergence_pct"] - (2537.0 / 2535.0 - 1) * 100) < 1e-9
+    notes = {(r["source"], r["note"]) for r in standard_notes(spark, str(land)).collect()}
+    assert notes == {("bonds", "bond mentions: 0, signal: none"), ("policy", "duty named: Customs duty on gold lifted"), ("policy", "duty named: Customs duty on timber")}
     extra = stored.filter("series = 'real_yield_10y'").first()["extra"]
     assert json.loads(extra) == {"change_bp": -14.0}
     news = spark.read.parquet(str(tmp_path / "out" / "headlines")).filter("source_name = 'articles'").first()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import hours_between, shift_hours
 from tidemark.functions.numbers import change_pct
 from tidemark.operators.asof import as_of
+from tidemark.rules import CHANGE_FLOOR_PCT, MIN_SOURCES_WITH_DATA
 
 
 def asof_age(readings: DataFrame, limits: DataFrame, today: date) -> DataFrame:
@@ -35,7 +36,7 @@ def has_data(ok: Column, n_readings: Column, n_headlines: Column) -> Column:
     return ok & ((n_readings > 0) | (n_headlines > 0))
 
 
-def source_health(runs: DataFrame, min_with_data: int) -> DataFrame:
+def source_health(runs: DataFrame, min_with_data: int = MIN_SOURCES_WITH_DATA) -> DataFrame:
     """Counts and name lists per run; degraded when too few sources carry data.
 
     Rows collapse to one per (run, source) first, so a list holds source names, which
@@ -95,7 +96,7 @@ def data_gaps(runs: DataFrame, stale: DataFrame, run_id: str) -> DataFrame:
         F.lit("stale").alias("kind"),
         "source",
         F.format_string(
-            "newest reading is %.1fh old, past its %.0fh freshness budget", "age_hours", "budget_hours"
+            "last value %.1f hours ago, allowed are %.0f", "age_hours", "budget_hours"
         ).alias("detail"),
     )
     return failed.unionByName(old)
@@ -106,13 +107,13 @@ def notes_of(runs: DataFrame, notes: DataFrame) -> DataFrame:
     down = runs.filter(~F.col("ok")).select(
         "run_id",
         "source",
-        F.concat(F.lit("DATA UNAVAILABLE: "), F.coalesce("error", F.lit("stale"))).alias("note"),
+        F.concat(F.lit("no data: "), F.coalesce("error", F.lit("stale"))).alias("note"),
     )
     return notes.select("run_id", "source", "note").unionByName(down)
 
 
 def quiet_since(
-    runs: DataFrame, briefs: DataFrame, readings: DataFrame, names: list[str], floor_pct: float
+    runs: DataFrame, briefs: DataFrame, readings: DataFrame, names: list[str], floor_pct: float = CHANGE_FLOOR_PCT
 ) -> DataFrame:
     """Whether no watched series moved since the last morning brief.
 

@@ -6,13 +6,14 @@ Everything here is pure: it returns candidates and commits nothing.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import tick_of
 from tidemark.functions.text import keyword_hits
-from tidemark.operators.asof import rolling_baseline
+from tidemark.operators.asof import rolling_baseline, window_baseline
 from tidemark.operators.filters import allowed
 from tidemark.rules import ConflictRule
 
@@ -48,7 +49,19 @@ def move_candidates(readings: DataFrame, rules: DataFrame, width: Column | None
         .agg(F.collect_list(F.struct("trigger", "kind", "window_hours", "threshold")).alias("_rules"))
     )
     watched = readings.select("series", "ts", "id", "value").join(per_series, "series")
-    based = rolling_baseline(watched, "_rules", width).withColumn("_base", F.col("baseline.value"))
+    return _moved(rolling_baseline(watched, "_rules", width))
+
+
+def fresh_moves(readings: DataFrame, rules: DataFrame, since: datetime) -> DataFrame:
+    """`move_candidates` of the readings from `since` on; earlier ones are only looked back to."""
+    wanted = rules.filter("enabled").select("series", "trigger", "kind", "window_hours", "threshold")
+    known = readings.filter(F.col("value").isNotNull()).join(wanted.select("series").distinct(), "series", "left_semi")
+    new = known.filter(F.col("ts") >= F.lit(since)).select("series", "ts", "id", "value").join(wanted, "series")
+    return _moved(window_baseline(new, known.select("series", "ts", "id", "value")))
+
+
+def _moved(based: DataFrame) -> DataFrame:
+    based = based.withColumn("_base", F.col("baseline.value"))
     moved = based.withColumn("_move", move_of(F.col("kind"), F.col("value"), F.col("_base")))
     return (
         moved.filter(F.abs("_move") >= F.col("threshold"))

@@ -14,8 +14,8 @@ from tidemark.rules import ConflictRule, Gate
 def trigger_scan(moves: DataFrame, conflicts: DataFrame, crossings: DataFrame, rule: ConflictRule) -> DataFrame:
     """Candidates of all triggers in one shape.
 
-    Each trigger is its own branch of the union and yields nothing when its data is
-    missing, so one broken rule does not lose the others.
+    A trigger whose data is missing yields nothing. This is one plan, so a branch that
+    fails fails all; `plans.watch` runs each rule as a job of its own.
     """
     unit = (
         F.when(F.col("kind") == "pct", F.lit("%"))

@@ -243,3 +243,21 @@ def move_rule_table(spark: SparkSession, rules: tuple[MoveRule, ...]) -> DataFra
         "trigger string, series string, kind string, window_hours double, "
         "threshold double, enabled boolean",
     )
+
+
+def budget_table(spark: SparkSession) -> DataFrame:
+    return small_table(spark, list(STALENESS_HOURS.items()), "category string, budget_hours double")
+
+
+def limit_table(spark: SparkSession) -> DataFrame:
+    """How old an observation of a kind of series may be without being dated in a brief."""
+    return small_table(spark, list(ASOF_LIMIT_DAYS.items()), "kind string, limit_days int")
+
+
+def order_table(spark: SparkSession) -> DataFrame:
+    rows = [(series, place, label) for place, (series, label) in enumerate(PRESENTATION_ORDER, 1)]
+    return small_table(spark, rows, "series string, place int, label string")
+
+
+def season_table(spark: SparkSession) -> DataFrame:
+    return small_table(spark, [(s.name, s.start, s.end, s.point) for s in SEASONS], "name string, start date, end date, point boolean")

@@ -14,13 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import rules
+from tidemark.functions.money import divergence_pct
 from tidemark.functions.numbers import in_band
 from tidemark.functions.text import any_term, keyword_hits
 from tidemark.operators.filters import relevant_any, relevant_both, scheme_filter
-from tidemark.operators.headlines import dedupe_first
+from tidemark.operators.headlines import dedupe_first, flagged, term_signals
 from tidemark.operators.series import basis_point_change, exact_median, flow_delta, front_month, net_position
+from tidemark.plans.derived import implied_odds
 from tidemark.sources import files, markup
 from tidemark.sources.registry import Registry
+from tidemark.sources.sinks import exists
 
 # --- Fixed values: symbols and series of the market feeds, with their units ----
 QUOTES = {
@@ -30,6 +33,7 @@ QUOTES = {
     "silver": (("SI=F", "silver_usd_oz", "USD/oz"),),
 }
 RATE_FUTURE = "ZQ=F"
+EFFECTIVE_RATE = "FEDFUNDS"
 YIELDS = {
     "DFII10": "real_yield_10y",
     "DGS10": "nominal_yield_10y",
@@ -86,6 +90,15 @@ def _news(spark: SparkSession, landing: str, name: str) -> DataFrame:
     return dedupe_first(a.unionByName(f), "url", ["kind", "topic", "pos"])
 
 
+def _divergence(quotes: DataFrame) -> DataFrame:
+    """How far the future is from spot, if both legs are there; wide gaps say so."""
+    leg = lambda k: F.max_by(F.when(F.col("series") == QUOTES["spot"][k][0], F.col("last")), F.when(F.col("series") == QUOTES["spot"][k][0], F.col("ts")))
+    both = quotes.agg(leg(0).alias("spot"), leg(1).alias("future"), F.max("ts").alias("ts"))
+    gap = both.withColumn("gap", divergence_pct(F.col("spot"), F.col("future"))).filter("gap IS NOT NULL")
+    wide = gap.withColumn("uncertain", F.col("gap") > rules.CROSS_CHECK_PCT)
+    return _readings(wide, F.lit("gold_spot_future_divergence_pct"), F.col("gap"), "%", F.col("ts"), ["uncertain"])
+
+
 def _text() -> Column:
     return F.concat_ws(" ", "title", "summary")
 
@@ -98,10 +111,11 @@ def standard_sources(today: date, purity: int = 995) -> Registry:
             quotes = files.scan_quotes(spark, f"{landing}/charts")
             named = F.create_map(*[F.lit(x) for s, metric, _u in QUOTES[name] for x in (s, metric)])
             kept = quotes.filter(F.col("series").isin(*[s for s, _m, _u in QUOTES[name]]))
-            return _readings(
+            out = _readings(
                 kept, F.try_element_at(named, F.col("series")), F.col("last"), QUOTES[name][0][2], F.col("ts"),
                 ["previous", "change_pct"],
             )
+            return out.unionByName(_divergence(kept)) if name == "spot" else out
 
         return job
 
@@ -182,7 +196,19 @@ def standard_sources(today: date, purity: int = 995) -> Registry:
     def rate_futures(spark: SparkSession, landing: str) -> DataFrame:
         price = files.scan_quotes(spark, f"{landing}/charts").filter(F.col("series") == RATE_FUTURE)
         kept = price.filter(in_band(F.col("last"), rules.FUTURES_BAND))
-        return _readings(kept, F.lit("implied_policy_rate"), F.round(100.0 - F.col("last"), 4), "%", F.col("ts"), ["last"])
+        rate = _readings(kept, F.lit("implied_policy_rate"), F.round(100.0 - F.col("last"), 4), "%", F.col("ts"), ["last"])
+        observed = f"{landing}/observations"
+        if not exists(spark, observed):
+            return rate
+        # The effective rate in force; without one there is no share of a cut.
+        prints = files.scan_observations(spark, observed).filter(F.col("series") == EFFECTIVE_RATE)
+        effective = _newest(prints).select(F.col("value").alias("effective"))
+        legs = kept.select(F.col("last").alias("price"), "ts", F.lit(1).alias("_k")).join(effective.withColumn("_k", F.lit(1)), "_k")
+        odds = implied_odds(legs)
+        share = _readings(
+            odds, F.lit("implied_cut_probability_pct"), F.col("cut_probability"), "%", F.col("ts"), ["expected_cut_bp", "effective"]
+        )
+        return rate.unionByName(share)
 
     jobs = {
         "spot": quote_job("spot"), "physical": physical, "fx": quote_job("fx"), "dollar": quote_job("dollar"),
@@ -203,3 +229,21 @@ def standard_sources(today: date, purity: int = 995) -> Registry:
     for name, job in jobs.items():
         reg.source(name, CATEGORIES[name], "headlines" if name in news else "readings", quiet.get(name))(job)
     return reg
+
+
+def standard_notes(spark: SparkSession, landing: str) -> DataFrame:
+    """(source, note): what the bond mentions say, and the policy titles that name a duty.
+
+    A landing folder that is missing has no notes.
+    """
+    out = spark.createDataFrame([], "source string, note string")
+    if exists(spark, f"{landing}/bond_articles"):
+        found = files.scan_articles(spark, f"{landing}/bond_articles").withColumn("source", F.lit("bonds"))
+        said = term_signals(found, F.col("title"), rules.BOND_TERMS, rules.ISSUANCE_TERMS, rules.PAUSE_TERMS, "source")
+        line = F.concat(F.lit("bond mentions: "), F.col("mentions").cast("string"), F.lit(", signal: "), "signal")
+        out = out.unionByName(said.select("source", line.alias("note")))
+    if exists(spark, f"{landing}/policy_articles") and exists(spark, f"{landing}/policy_feeds"):
+        found = _news(spark, landing, "policy").withColumn("source", F.lit("policy"))
+        duty = flagged(found, F.col("title"), rules.DUTY_TERMS, ["source"], ["kind", "topic", "pos"])
+        out = out.unionByName(duty.select("source", F.concat(F.lit("duty named: "), "title").alias("note")))
+    return out
