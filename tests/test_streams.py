@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from tidemark.operators.gate import alert_gate
 from tidemark.operators.series import daily_series
 from tidemark.operators.triggers import conflict_events, conflict_pairs
 from tidemark.rules import ConflictRule, Gate
-from tidemark.streaming.gates import gate_batches, split_late
+from tidemark.streaming.gates import flush, gate_batches
 from tidemark.streaming.windows import conflict_stream, daily_stream
 
 T0 = datetime(2026, 8, 17)
@@ -123,10 +123,31 @@ def test_gate_batch_replay_changes_nothing(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/fires").collect()) == once
 
 
-def test_late_rows_are_kept_aside(spark):
-    df = readings(spark, 50)
-    seen = spark.createDataFrame([(T0 + timedelta(days=3),)], "ts timestamp")
-    ok, late = split_late(df, seen, 24)
-    assert ok.count() + late.count() == 50
-    assert {r["ts"] < T0 + timedelta(days=2) for r in late.collect()} == {True}
-    assert split_late(df, seen.filter("false"), 24)[1].count() == 0
+def test_rows_in_any_order_are_judged_in_whole_ticks(spark, tmp_path):
+    df, gate, out = candidates(spark, 400), Gate(cooldowns={"a": 2.0}), f"{tmp_path}/out"
+    want = {r["id"]: r["outcome"] for r in alert_gate(df, gate).collect()}
+    judge = gate_batches(gate, out, lateness_minutes=240)
+    # Rows arrive up to four hours after their time.
+    arrival = F.col("ts") + F.expr("make_interval(0, 0, 0, 0, 0, pmod(id * 37, 240), 0)")
+    step = F.floor((F.unix_seconds(arrival) - F.lit(int(T0.replace(tzinfo=UTC).timestamp()))) / (6 * 3600))
+    timed = df.withColumn("step", step).persist()
+    last = timed.agg(F.max("step")).first()[0]
+    for i in range(last + 1):
+        judge(timed.filter(F.col("step") == i).drop("step"), i)
+    flush(spark, gate, out, df.schema.simpleString()[7:-1], last + 1)
+    timed.unpersist()
+    rows = spark.read.parquet(f"{out}/decisions").collect()
+    assert len(rows) == len(want) and {r["id"]: r["outcome"] for r in rows} == want
+    assert spark.read.parquet(f"{out}/late").count() == 0
+
+
+def test_late_rows_are_kept_aside(spark, tmp_path):
+    df, out = candidates(spark, 50), f"{tmp_path}/out"
+    judge = gate_batches(Gate(), out, lateness_minutes=0)
+    judge(df.filter(F.col("ts") >= F.lit(T0 + timedelta(days=1))), 0)
+    judge(df.filter(F.col("ts") < F.lit(T0 + timedelta(days=1))), 1)
+    flush(spark, Gate(), out, df.schema.simpleString()[7:-1], 2)
+    late = {r["id"] for r in spark.read.parquet(f"{out}/late").collect()}
+    judged = {r["id"] for r in spark.read.parquet(f"{out}/decisions").collect()}
+    assert late == {r["id"] for r in df.filter(F.col("ts") < F.lit(T0 + timedelta(days=1))).collect()}
+    assert late | judged == set(range(50)) and not late & judged
