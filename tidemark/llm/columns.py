@@ -137,7 +137,7 @@ def _deal(buckets: int):  # noqa: ANN202 - a function over batches
         is met again in its group of texts, of which then one entry is dealt."""
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, texts in byte_groups(batch.column(2).to_pylist(), 8 * PIECE):
+            for row, texts in byte_groups(batch.column(2).to_pylist(), 4 * PIECE):
                 text, at, anchor, more, h, content = segments(texts)
                 if not len(text):
                     continue
