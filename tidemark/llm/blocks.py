@@ -37,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 35
 ANCHOR = (WINDOW + 1) // 2
-GROUP = 2 << 20  # bytes of text handled at a time
+GROUP = 1 << 20  # bytes of text handled at a time
 _BASE = 0x100000001B3
 PACKED = "bucket int, owners binary, others binary, counts binary, hashes binary, places binary"
 _PACKED = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("owners", "others", "counts", "hashes", "places")])

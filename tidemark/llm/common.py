@@ -13,8 +13,9 @@ from tidemark.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows in a batch between Spark and Python. Texts are longer than the rows its default is meant for.
-BATCH_ROWS = 2000
+#: Rows in a batch between Spark and Python. Texts are longer than the rows its default is meant for:
+#: its buffers, on both sides outside the heap, would take hundreds of megabytes.
+BATCH_ROWS = 250
 
 
 def small_batches(spark: SparkSession) -> None:
