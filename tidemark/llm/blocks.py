@@ -11,7 +11,8 @@ of a million documents costs one entry for each group of texts, not a million sq
 Words are told apart by 64-bit hashes; a probe carries 30 bits within its bucket, which
 only widens the candidates; a window is judged by 63 bits within its bucket.
 
-Texts that occur more than once are repeated as a whole: one row of each stands for them.
+Texts that occur more than once are repeated as a whole: one row of each stands for them,
+the others do not move. Answers go back packed by the bucket of their texts.
 Nulls, empty texts and texts of fewer than 35 words lose nothing. A null doc_id is carried
 along. Repeated rows are copies of each other. Empty tables give no rows; extra columns
 are ignored.
@@ -25,13 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chars import ByteWords, byte_groups, mix
-from tidemark.llm.common import small_batches, table
-from tidemark.llm.packed import bucket_of, by_bucket, column, cut, n_buckets, repeated, runs, whole
+from tidemark.llm.common import small, small_batches, table
+from tidemark.llm.packed import REPLY, Answers, beside, bucket_of, by_bucket, column, cut, n_buckets, repeated, replies, runs, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,8 +41,10 @@ WINDOW = 35
 ANCHOR = (WINDOW + 1) // 2
 GROUP = 1 << 20  # bytes of text handled at a time
 _BASE = 0x100000001B3
-PACKED = "bucket int, owners binary, others binary, counts binary, hashes binary, places binary"
-_PACKED = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("owners", "others", "counts", "hashes", "places")])
+PACKED = "bucket int, owners binary, others binary, counts binary, hashes binary, places binary, local boolean"
+_PACKED = pa.schema(
+    [("bucket", pa.int32())] + [(n, pa.binary()) for n in ("owners", "others", "counts", "hashes", "places")] + [("local", pa.bool_())]
+)
 
 
 def rolling(h: np.ndarray, width: int) -> np.ndarray:
@@ -74,7 +78,7 @@ def _probes(buckets: int):  # noqa: ANN202 - a function over batches
         """k1, k2, text -> packed probes, the lowest bit set where a reference block starts,
         the next where the block is known to be met again; and anchors found in the group."""
         for batch in batches:
-            key = batch.column(0).to_numpy()
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, texts in byte_groups(batch.column(2).to_pylist(), GROUP):
                 words = ByteWords(texts)
                 text, at, own = _starts(words.counts, ANCHOR)
@@ -101,15 +105,13 @@ def _probes(buckets: int):  # noqa: ANN202 - a function over batches
                     mine = i[~anchor[i]]
                     owners, counts = runs(text[mine])
                     shared = entry[i[anchor[i]]]
-                    out.append({"bucket": b, "owners": key[row + owners].tobytes(), "counts": counts.tobytes(),
-                                "hashes": entry[mine].tobytes(), "places": shared.tobytes()})
+                    out.append({"bucket": b, "owners": k1[row + owners].tobytes(), "others": k2[row + owners].tobytes(), "counts": counts.tobytes(),
+                                "hashes": entry[mine].tobytes(), "places": shared.tobytes(), "local": False})
                 mine = np.flatnonzero(anchor)
-                code = _code(h[mine], buckets)
-                owners, counts = runs(text[mine])
-                for o, end, n in zip(owners, np.cumsum(counts), counts, strict=True):
-                    hashes = code[end - n : end]
-                    k = int(key[row + o])
-                    out.append({"bucket": k % buckets, "others": k.to_bytes(8, "little", signed=True), "hashes": np.unique(hashes).tobytes()})
+                k = row + text[mine]
+                told = replies(k1[k], k2[k], _code(h[mine], buckets), buckets)
+                out += [{"bucket": r["bucket"], "owners": r["owners"], "others": r["others"], "counts": r["counts"], "hashes": r["answers"], "local": True}
+                        for r in told.to_pylist()]
                 for a in range(0, len(out), 500):
                     yield _emit(out[a : a + 500])
 
@@ -121,39 +123,34 @@ def _code(h: np.ndarray, buckets: int) -> np.ndarray:
     return (bucket_of(h, buckets).astype(np.uint64) << np.uint64(30)) | (h & np.uint64(0x3FFFFFFF))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed probes of a bucket -> (k1, anchors): blocks that are met at another place."""
-    rows = whole(batches)
-    if rows is None:
-        return
-    local = rows.filter(rows.column("others").is_valid())
-    keys = column(local, "others", np.int64)
-    if len(keys):
-        yield pa.RecordBatch.from_arrays([pa.array(keys), local.column("hashes").combine_chunks()], names=["k1", "anchors"])
-    rows = rows.filter(rows.column("others").is_null())
-    if not rows.num_rows:
-        return
-    bucket = np.uint64(rows.column("bucket")[0].as_py())
-    owner = np.repeat(column(rows, "owners", np.int64), column(rows, "counts", np.int32))
-    own, shared = column(rows, "hashes", np.uint32), column(rows, "places", np.uint32)
-    entry = np.concatenate([own, shared])
-    order = np.argsort(entry >> np.uint32(2), kind="stable")
-    value = entry[order]
-    first = np.flatnonzero(np.concatenate([[True], (value[1:] >> np.uint32(2)) != (value[:-1] >> np.uint32(2))]))
-    size = np.diff(np.append(first, len(value)))
-    met = ((size > 1) | (np.bitwise_or.reduceat(value, first) & np.uint32(2) > 0)) & (np.bitwise_or.reduceat(value, first) & np.uint32(1) > 0)
-    hit = order[np.repeat(met, size)]
-    hit = hit[hit < len(own)]
-    hit = hit[np.lexsort((own[hit], owner[hit]))]
-    code = (bucket << np.uint64(30)) | (own[hit] >> np.uint32(2)).astype(np.uint64)
-    owners, counts = runs(owner[hit])
-    if len(owners):
-        for a in range(0, len(owners), 10_000):
-            ends = np.cumsum(counts)
-            parts = np.split(code[(ends[a] - counts[a]) : ends[min(a + 10_000, len(ends)) - 1]], np.cumsum(counts[a : a + 10_000])[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(owners[a : a + 10_000]), pa.array([x.tobytes() for x in parts], pa.binary())], names=["k1", "anchors"]
-            )
+def _anchors(buckets: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed probes of a bucket -> packed answers: blocks that are met at another place."""
+        rows = whole(batches)
+        if rows is None:
+            return
+        local = rows.filter(rows.column("local"))
+        for b in local.select(["bucket", "owners", "others", "counts", "hashes"]).to_batches():
+            yield pa.RecordBatch.from_arrays(b.columns, names=["bucket", "owners", "others", "counts", "answers"])
+        rows = rows.filter(pc.invert(rows.column("local")))
+        if not rows.num_rows:
+            return
+        bucket, counts = np.uint64(rows.column("bucket")[0].as_py()), column(rows, "counts", np.int32)
+        o1, o2 = (np.repeat(column(rows, n, np.int64), counts) for n in ("owners", "others"))
+        own, shared = column(rows, "hashes", np.uint32), column(rows, "places", np.uint32)
+        entry = np.concatenate([own, shared])
+        order = np.argsort(entry >> np.uint32(2), kind="stable")
+        value = entry[order]
+        first = np.flatnonzero(np.concatenate([[True], (value[1:] >> np.uint32(2)) != (value[:-1] >> np.uint32(2))]))
+        size = np.diff(np.append(first, len(value)))
+        either = np.bitwise_or.reduceat(value, first)
+        met = ((size > 1) | (either & np.uint32(2) > 0)) & (either & np.uint32(1) > 0)
+        hit = order[np.repeat(met, size)]
+        hit = np.sort(hit[hit < len(own)])
+        code = (bucket << np.uint64(30)) | (own[hit] >> np.uint32(2)).astype(np.uint64)
+        yield replies(o1[hit], o2[hit], code, buckets)
+
+    return run
 
 
 STATE = "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, state int, copies bigint, kept_sha256 string, text string, starts binary"
@@ -165,16 +162,16 @@ def _extend(buckets: int):  # noqa: ANN202
 
         state 0: nothing repeats; 1: a copy, all of it goes; 2: to be judged by windows.
         """
+        anchors = Answers(np.uint64)
         for batch in batches:
-            copies, lead = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            anchors = batch.column(6)
-            raw = batch.column(3).to_pylist()
+            part = anchors.take(batch).select(["doc_id", "k1", "k2", "text", "copies"])
+            k1, k2, copies = (part.column(i).to_numpy() for i in (1, 2, 4))
+            raw = part.column(3).to_pylist()
             for row, texts in byte_groups(raw, GROUP):
                 words = ByteWords(texts)
-                flagged = np.zeros(len(words.hash) + 1, dtype=np.int32)
-                text, at, _ = _starts(words.counts, ANCHOR)
+                _, at, _ = _starts(words.counts, ANCHOR)
                 code = np.zeros(len(words.hash), np.uint64)
-                code[at] = _code(rolling(words.hash, ANCHOR), buckets)[at] if len(at) else 0
+                code[at] = _code(rolling(words.hash, ANCHOR)[at], buckets) if len(at) else 0
                 base = np.cumsum(words.counts) - words.counts
                 n, state, sha, starts = [], [], [], []
                 for i, data in enumerate(texts):
@@ -183,11 +180,9 @@ def _extend(buckets: int):  # noqa: ANN202
                     bits = None
                     if copies[k] > 1 and size >= WINDOW:
                         state.append(1)
-                        if lead[k]:  # speaks for all copies
-                            bits = np.ones(size - WINDOW + 1, dtype=bool)
-                    elif size >= WINDOW and anchors[k].is_valid:
-                        mine = code[base[i] : base[i] + size - ANCHOR + 1]
-                        hit = np.isin(mine, np.concatenate([np.frombuffer(x, np.uint64) for x in anchors[k].as_py()]))
+                        bits = np.ones(size - WINDOW + 1, dtype=bool)  # this row speaks for all copies
+                    elif size >= WINDOW and len(told := anchors.of(int(k1[k]), int(k2[k]))):
+                        hit = np.isin(code[base[i] : base[i] + size - ANCHOR + 1], told)
                         # A window may repeat if one of its rolling blocks is an anchor.
                         total = np.concatenate([[0], np.cumsum(hit)])
                         bits = (total[WINDOW - ANCHOR + 1 :] - total[: size - WINDOW + 1]) > 0
@@ -197,9 +192,9 @@ def _extend(buckets: int):  # noqa: ANN202
                         state.append(0)
                     sha.append(hashlib.sha256(b" ".join(data.split()) if state[-1] == 0 else b"").hexdigest())
                     starts.append(None if bits is None else np.packbits(bits).tobytes())
-                part = batch.slice(row, len(texts))
+                own = part.slice(row, len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(state, pa.int32()), part.column(4), pa.array(sha),
+                    [own.column(0), own.column(1), own.column(2), pa.array(n, pa.int64()), pa.array(state, pa.int32()), own.column(4), pa.array(sha),
                      pa.array([t if b is not None else None for t, b in zip(raw[row : row + len(texts)], starts, strict=True)], pa.string()),
                      pa.array(starts, pa.binary())],
                     names=["doc_id", "k1", "k2", "n_words", "state", "copies", "kept_sha256", "text", "starts"],
@@ -243,45 +238,60 @@ def _windows(buckets: int):  # noqa: ANN202
     return run
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed windows of a bucket -> (k1, k2, places) of windows that start anywhere else too."""
-    rows = whole(batches)
-    if rows is None:
-        return
-    counts, h = column(rows, "counts", np.int32), column(rows, "hashes", np.uint64)
-    o1, o2 = column(rows, "owners", np.int64), column(rows, "others", np.int64)
-    hit = repeated(h >> np.uint64(1)) | (h & np.uint64(1) > 0)
-    owner = np.repeat(np.arange(len(counts)), counts)[hit]
-    places = column(rows, "places", np.uint32)[hit]
-    owners, n = runs(owner)
-    for a in range(0, len(owners), 10_000):
-        ends = np.cumsum(n)
-        parts = np.split(places[ends[a] - n[a] : ends[min(a + 10_000, len(n)) - 1]], np.cumsum(n[a : a + 10_000])[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(o1[owners[a : a + 10_000]]), pa.array(o2[owners[a : a + 10_000]]), pa.array([x.tobytes() for x in parts], pa.binary())],
-            names=["k1", "k2", "places"],
-        )
+def _judge(buckets: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed windows of a bucket -> packed places of windows that start anywhere else too."""
+        rows = whole(batches)
+        if rows is None:
+            return
+        counts, h = column(rows, "counts", np.int32), column(rows, "hashes", np.uint64)
+        o1, o2 = (np.repeat(column(rows, n, np.int64), counts) for n in ("owners", "others"))
+        hit = repeated(h >> np.uint64(1)) | (h & np.uint64(1) > 0)
+        yield replies(o1[hit], o2[hit], column(rows, "places", np.uint32)[hit], buckets)
+
+    return run
+
+
+def _left(words: list[bytes], gone: np.ndarray) -> tuple[int, str]:
+    """(words removed, hash of the others)."""
+    left = np.flatnonzero(~gone)
+    return len(words) - len(left), hashlib.sha256(b" ".join([words[i] for i in left])).hexdigest()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, places -> what is left of each text."""
+    """Texts with the places of their repeated windows -> what is left of each text."""
+    places = Answers(np.uint32)
+    for batch in batches:
+        part = places.take(batch).select(["doc_id", "k1", "k2", "text"])
+        out = []
+        for k1, k2, text in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            words = text.encode("utf-8", "surrogatepass").split()
+            edge = np.zeros(len(words) + 1, dtype=np.int64)
+            at = np.unique(places.of(k1, k2)).astype(np.int64)
+            edge[at] += 1
+            np.subtract.at(edge, at + WINDOW, 1)
+            out.append((len(words), *_left(words, np.cumsum(edge[:-1]) > 0)))
+        yield _result(part.column(0), out)
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Further copies of a text: all of it goes if it is long enough."""
     for batch in batches:
-        n, removed, sha = [], [], []
-        for text, places in zip(batch.column(1), batch.column(2), strict=True):
-            words = text.as_py().encode("utf-8", "surrogatepass").split()
-            gone = np.zeros(len(words) + 1, dtype=np.int64)
-            if places.is_valid:
-                at = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in places.as_py()]))
-                gone[at] += 1
-                np.subtract.at(gone, at + WINDOW, 1)
-            left = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
-            n.append(len(words))
-            removed.append(len(words) - len(left))
-            sha.append(hashlib.sha256(b" ".join([words[i] for i in left])).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256"],
-        )
+        out = []
+        for text in batch.column(1).to_pylist():
+            words = text.encode("utf-8", "surrogatepass").split()
+            out.append((len(words), *_left(words, np.full(len(words), len(words) >= WINDOW))))
+        yield _result(batch.column(0), out)
+
+
+RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+
+
+def _result(ids: pa.Array, rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    n, removed, sha = zip(*rows, strict=True) if rows else ([], [], [])
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"]
+    )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -292,25 +302,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(3), text).alias("k2"), text.alias("text")
     )
-    probes = keyed.select("k1", "k2", "text").mapInArrow(_probes(buckets), PACKED)
-    found = by_bucket(probes, buckets).mapInArrow(_anchors, "k1 bigint, anchors binary")
-    anchors = table(found, "anchors").groupBy(F.col("k1").alias("a1")).agg(F.collect_set("anchors").alias("anchors"))
     copies = keyed.groupBy(F.col("k1").alias("c1"), F.col("k2").alias("c2")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("lead"))
-    copies = copies.filter("copies > 1")
-    known = (
-        keyed.join(anchors, F.col("k1") == F.col("a1"), "left")
-        .join(copies, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-        .select("doc_id", "k1", "k2", "text", F.coalesce("copies", F.lit(1)).alias("copies"),
-                F.col("lead").eqNullSafe(F.col("doc_id")).alias("lead"), "anchors")
-    )
-    state = table(known.mapInArrow(_extend(buckets), STATE), "state")
+    copies = small(table(copies.filter("copies > 1"), "copies"))
+    known = keyed.join(copies, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    first = F.col("c1").isNull() | F.col("lead").eqNullSafe(F.col("doc_id"))
+    one = known.filter(first).select("doc_id", "k1", "k2", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    more = known.filter(~first).select("doc_id", "text").mapInArrow(_copies, RESULT)
+
+    probes = one.select("k1", "k2", "text").mapInArrow(_probes(buckets), PACKED)
+    anchors = table(by_bucket(probes, buckets).mapInArrow(_anchors(buckets), REPLY), "anchors")
+    state = table(beside(one, anchors, buckets).mapInArrow(_extend(buckets), STATE), "state")
     speak = state.filter(F.col("starts").isNotNull())
     windows = speak.select("k1", "k2", "text", "starts", "copies").mapInArrow(_windows(buckets), PACKED)
-    judged = by_bucket(windows, buckets).mapInArrow(_judge, "k1 bigint, k2 bigint, places binary")
-    places = judged.groupBy("k1", "k2").agg(F.collect_list("places").alias("places"))
-    parts = state.filter("state = 2").select("doc_id", "k1", "k2", "text").join(places, ["k1", "k2"], "left")
-    cut_texts = parts.select("doc_id", "text", "places").mapInArrow(_remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
-    rest = state.filter("state < 2").select(
-        "doc_id", "n_words", F.when(F.col("state") == 1, F.col("n_words")).otherwise(F.lit(0)).cast("long").alias("n_removed"), "kept_sha256"
-    )
-    return rest.unionByName(cut_texts)
+    places = by_bucket(windows, buckets).mapInArrow(_judge(buckets), REPLY)
+    parts = state.filter("state = 2").select("doc_id", "k1", "k2", "text")
+    cut_texts = beside(parts, places, buckets).mapInArrow(_remove, RESULT)
+    gone = F.when(F.col("state") == 1, F.col("n_words")).otherwise(F.lit(0)).cast("long")
+    rest = state.filter("state < 2").select("doc_id", "n_words", gone.alias("n_removed"), "kept_sha256")
+    return rest.unionByName(cut_texts).unionByName(more)

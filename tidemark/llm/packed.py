@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -66,3 +67,56 @@ def repeated(h: np.ndarray) -> np.ndarray:
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
+
+
+REPLY = "bucket int, owners binary, others binary, counts binary, answers binary"
+_REPLY = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("owners", "others", "counts", "answers")])
+
+
+def replies(k1: np.ndarray, k2: np.ndarray, answer: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Answers for texts (k1, k2), packed by the bucket of the text: one row for each bucket.
+
+    Entries of one text come one after the other.
+    """
+    out = []
+    for b, i in cut(np.mod(k1, buckets)):
+        first = np.flatnonzero(np.concatenate([[True], (k1[i][1:] != k1[i][:-1]) | (k2[i][1:] != k2[i][:-1])]))
+        counts = np.diff(np.append(first, len(i))).astype(np.int32)
+        out.append({"bucket": b, "owners": k1[i][first].tobytes(), "others": k2[i][first].tobytes(), "counts": counts.tobytes(), "answers": answer[i].tobytes()})
+    return pa.RecordBatch.from_pylist(out, schema=_REPLY)
+
+
+def beside(texts: DataFrame, answers: DataFrame, buckets: int) -> DataFrame:
+    """Texts (with k1) and the packed answers for them in the same partitions, answers first."""
+    both = answers.withColumn("kind", F.lit(0)).unionByName(
+        texts.withColumn("bucket", F.pmod("k1", F.lit(buckets)).cast("int")).withColumn("kind", F.lit(1)), allowMissingColumns=True
+    )
+    return both.repartitionById(buckets, "bucket").sortWithinPartitions("kind")
+
+
+class Answers:
+    """The answers of a partition, collected from the rows that come before its texts."""
+
+    def __init__(self, kind: type) -> None:
+        self.kind, self.rows, self.ready = kind, [], None
+
+    def take(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Keep the answers of a batch and return its texts."""
+        kind = batch.column(batch.schema.get_field_index("kind")).to_numpy()
+        n = int((kind == 0).sum())
+        if n:
+            self.rows.append(batch.slice(0, n).select(["owners", "others", "counts", "answers"]))
+        return batch.slice(n)
+
+    def of(self, k1: int, k2: int) -> np.ndarray:
+        if self.ready is None:
+            names = ["owners", "others", "counts", "answers"]
+            rows = pa.Table.from_batches(self.rows) if self.rows else pa.table({n: pa.array([], pa.binary()) for n in names})
+            counts = column(rows, "counts", np.int32)
+            a, b = (np.repeat(column(rows, n, np.int64), counts) for n in ("owners", "others"))
+            order = np.argsort(a, kind="stable")
+            self.ready = a[order], b[order], column(rows, "answers", self.kind)[order]
+            self.rows = []
+        a, b, answer = self.ready
+        low, high = np.searchsorted(a, [k1, k1 + 1]) if k1 < np.iinfo(np.int64).max else (np.searchsorted(a, k1), len(a))
+        return answer[low:high][b[low:high] == k2]
