@@ -106,6 +106,7 @@ def shift_hours(ts: Column, hours: Column) -> Column:
 
 def duration_hours(text: Column) -> Column:
     """`4h`, `90m`, `2`, `1.5h` as hours; null where unreadable."""
+    # Fixed value: the grammar of durations.
     pattern = r"^(\d+(?:\.\d+)?)(h|hr|hrs|hour|hours|m|min|mins|minute|minutes)?$"
     bare = F.regexp_replace(F.lower(F.trim(text)), " ", "")
     amount = F.regexp_extract(bare, pattern, 1).try_cast("double")

@@ -67,6 +67,7 @@ def links(pages: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 def meeting_dates(text: Column, today: Column, span_days: int = 400) -> Column:
     """Array of decision days: `Month d1-d2` takes d2 in the first year that fits."""
+    # Fixed value: how calendar pages write a meeting.
     pattern = r"(?i)((?:" + "|".join(MONTHS) + r")\s+\d{1,2}\s*[-–]\s*\d{1,2})"
     parts = r"^(\w+)\s+\d{1,2}\s*[-–]\s*(\d{1,2})$"
 
