@@ -129,3 +129,25 @@ def test_rolling_hash_of_blocks():
     words = chars.ByteWords([(" ".join(f"v{i % 7}" for i in range(100))).encode()]).hash
     h = blocks.rolling(words, blocks.WINDOW)
     assert h[0] == h[7] and h[0] != h[1] and h[3] == h[3 + 7 * 8]
+
+
+def test_an_anchor_in_a_third_of_the_rows_is_in_no_single_sort(spark, monkeypatch):
+    monkeypatch.setattr(columns, "CHUNK", 6000)
+    sort = columns.repeated_windows
+
+    def bounded(data, *rest):
+        assert len(data) <= 5 * 6000
+        return sort(data, *rest)
+
+    monkeypatch.setattr(columns, "repeated_windows", bounded)
+    rng = random.Random(21)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, long_passage, rows = noise(200), noise(700), []
+    for i in range(270):
+        middle = (passage, long_passage, noise(150))[0 if i % 3 == 0 else 1 if i % 9 == 1 else 2]
+        rows.append((i, noise(400) + middle + noise(400), "en", "s", 1))
+    rows += [(300 + i, noise(9) + rows[3 * i][1][150 + 7 * i : 650 + 7 * i] + noise(300), "en", "s", 1) for i in range(20)]
+    df = spark.createDataFrame(rows, empty(spark).schema).repartition(4)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = sorted((tuple(r[n] for n in names) for r in columns.remove_repeats(df).collect()), key=str)
+    assert got == brute_bytes(rows)

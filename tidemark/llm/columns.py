@@ -17,6 +17,10 @@ costs the number of segments, not the size of the collection. A window repeats i
 common prefix with a neighbour reaches 400 bytes. Segments are written to the shared
 folder in the order of anchors and read in sequence, a bounded number at a time.
 
+An anchor with more than `CHUNK` bytes of segments is hot, and no task holds it: its segments
+are dealt by content, and its windows are told apart by two 64-bit hashes of their 400 bytes.
+Windows met twice in a piece are settled there, one of them is dealt on by its hash.
+
 Nulls, empty texts and texts under 400 bytes lose nothing. A null doc_id is carried along;
 repeated rows are copies of each other and lose everything if long enough. Empty tables
 give no rows; extra columns are ignored. Segments and anchors are told apart by 64 bits.
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.chars import byte_groups, mix
 from tidemark.llm.common import small_batches, table
-from tidemark.llm.packed import bucket_of, by_bucket, column, cut, n_buckets, runs, whole
+from tidemark.llm.packed import REPLY, bucket_of, by_bucket, column, cut, n_buckets, replies, runs, whole
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -45,24 +49,34 @@ LENGTH = 400
 ANCHOR = 128
 REACH = LENGTH - ANCHOR  # largest distance of an anchor from the start of its window
 PIECE = 1 << 20  # bytes handled at a time
-CHUNK = 8 << 20  # bytes of segments sorted together, but for an anchor with more
+CHUNK = 8 << 20  # bytes of segments sorted together; an anchor with more is hot
+HOT_WINDOWS = 1 << 20  # windows of hot segments in a bucket
 _BASE = 0x100000001B3
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_OTHER_BASE = 0x9E3779B97F4A7C15
+_OTHER_INVERSE = pow(_OTHER_BASE, -1, 1 << 64)
 # A segment: start of its first window, distance of the anchor, windows less one.
 PLACE = np.dtype([("at", "<u4"), ("anchor", "<u2"), ("more", "<u2")])
-PACKED = "bucket int, owners binary, others binary, counts binary, hashes binary, contents binary, places binary, local boolean"
+HOT = 1 << 15  # bit of `more` of a segment under a hot anchor
+SPAN = np.dtype([("a", "<u4"), ("b", "<u4")])  # starts of the first window and of the one after the last
+PACKED = "bucket int, owners binary, others binary, counts binary, hashes binary, contents binary, places binary, local boolean, hot boolean"
 _PACKED = pa.schema(
-    [("bucket", pa.int32())] + [(n, pa.binary()) for n in ("owners", "others", "counts", "hashes", "contents", "places")] + [("local", pa.bool_())]
-)
+    [("bucket", pa.int32())] + [(n, pa.binary()) for n in ("owners", "others", "counts", "hashes", "contents", "places")]
+    + [("local", pa.bool_()), ("hot", pa.bool_())]
+)
 _tables: dict[str, np.ndarray] = {}
 
 
+def _powers_of(base: int, n: int) -> np.ndarray:
+    step = np.full(n, base, dtype=np.uint64)
+    step[0] = 1
+    return np.cumprod(step, dtype=np.uint64)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not _tables or len(_tables["up"]) < n:
         for name, base in (("up", _BASE), ("down", _INVERSE)):
-            step = np.full(n, base, dtype=np.uint64)
-            step[0] = 1
-            _tables[name] = np.cumprod(step, dtype=np.uint64)
+            _tables[name] = _powers_of(base, n)
         _tables["spread"] = mix(np.arange(1, 257, dtype=np.uint64))
     return _tables["up"], _tables["down"], _tables["spread"]
 
@@ -159,20 +173,63 @@ def _deal(buckets: int):  # noqa: ANN202 - a function over batches
                     i = keep[part]
                     owners, counts = runs(text[i])
                     out.append({"bucket": b, "owners": k1[row + owners].tobytes(), "others": k2[row + owners].tobytes(), "counts": counts.tobytes(),
-                                "hashes": h[i].tobytes(), "contents": content[i].tobytes(), "places": place[i].tobytes(), "local": False})
+                                "hashes": h[i].tobytes(), "contents": content[i].tobytes(), "places": place[i].tobytes(), "local": False, "hot": False})
                 rest = np.flatnonzero(again & ~lead)
                 owners, counts = runs(text[rest])
                 ends = np.cumsum(counts)
                 for o, e, c in zip(owners, ends, counts, strict=True):
                     i = rest[e - c : e]
                     out.append({"bucket": int(k1[row + o]) % buckets, "owners": k1[row + o : row + o + 1].tobytes(),
-                                "others": k2[row + o : row + o + 1].tobytes(), "places": place[i].tobytes(), "local": True})
+                                "others": k2[row + o : row + o + 1].tobytes(), "places": place[i].tobytes(), "local": True, "hot": False})
                 for a in range(0, len(out), 500):
                     yield pa.RecordBatch.from_pylist(out[a : a + 500], schema=_PACKED)
 
     return run
 
 
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed segments -> (anchor, bytes, windows) of anchors with several contents in one group of texts.
+
+    What is left out is one segment of each group of texts at most.
+    """
+    for batch in batches:
+        found = []
+        for h, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            name, back, n = np.unique(np.frombuffer(h, np.int64), return_inverse=True, return_counts=True)
+            windows = np.bincount(back, np.frombuffer(place, PLACE)["more"] + 1.0).astype(np.int64)
+            several = n > 1
+            found.append((name[several], (windows + n * (LENGTH - 1))[several], windows[several]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["anchor", "bytes", "windows"])
+
+
+def _deal_hot(hot: np.ndarray, buckets: int):  # noqa: ANN202 - a function over batches
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed segments -> the same, those of hot anchors by their content and marked."""
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                h = np.frombuffer(row["hashes"] or b"", np.uint64)
+                is_hot = np.isin(h, hot)
+                if not is_hot.any():
+                    out.append(row)
+                    continue
+                o1, o2 = np.frombuffer(row["owners"], np.int64), np.frombuffer(row["others"], np.int64)
+                content, place = np.frombuffer(row["contents"], np.uint64), np.frombuffer(row["places"], PLACE)
+                text = np.repeat(np.arange(len(o1)), np.frombuffer(row["counts"], np.int32))
+                at = np.flatnonzero(is_hot)
+                parts = [(b, at[part], True) for b, part in cut(bucket_of(mix(content[at] >> np.uint64(1)), buckets))]
+                rest = np.flatnonzero(~is_hot)
+                for b, i, mark in [*parts, (row["bucket"], rest, False)] if len(rest) else parts:
+                    owners, counts = runs(text[i])
+                    out.append({"bucket": b, "owners": o1[owners].tobytes(), "others": o2[owners].tobytes(), "counts": counts.tobytes(),
+                                "hashes": h[i].tobytes(), "contents": content[i].tobytes(), "places": place[i].tobytes(), "local": False, "hot": mark})
+            for a in range(0, len(out), 500):
+                yield pa.RecordBatch.from_pylist(out[a : a + 500], schema=_PACKED)
+
+    return run
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed segments of a bucket -> (k1, k2, repeated, compare) places."""
     rows = whole(batches)
@@ -191,6 +248,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, h = column(rows, "counts", np.int32), column(rows, "hashes", np.uint64)
     content, place = column(rows, "contents", np.uint64), column(rows, "places", PLACE)
     o1, o2 = (np.repeat(column(rows, n, np.int64), counts) for n in ("owners", "others"))
+    entries = np.fromiter((len(x) // 8 for x in rows.column("hashes").to_pylist()), dtype=np.int64, count=rows.num_rows)
+    hot = np.repeat(rows.column("hot").to_numpy().astype(bool), entries)
+    marked = place.copy()
+    marked["more"][hot] |= HOT
     order = np.lexsort((content, h))
     x, y = h[order], content[order] >> np.uint64(1)
     new_anchor = np.ones(len(x), dtype=bool)
@@ -201,7 +262,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(first, len(x)))
     again = (size > 1) | (np.bitwise_or.reduceat(content[order], first) & np.uint64(1) > 0)
     anchor = np.cumsum(new_anchor)[first] - 1
-    several = np.bincount(anchor)[anchor] > 1
+    several = (np.bincount(anchor)[anchor] > 1) | hot[order[first]]  # other contents of a hot anchor are elsewhere
     repeated, compare = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
     repeated[order] = np.repeat(again, size)
     compare[order[first[several]]] = True
@@ -214,7 +275,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = [g[0] for g in now]
         yield pa.RecordBatch.from_arrays(
             [pa.array(o1[head]), pa.array(o2[head]), pa.array([place[g[repeated[g]]].tobytes() or None for g in now], pa.binary()),
-             pa.array([place[g[compare[g]]].tobytes() or None for g in now], pa.binary())], names=names,
+             pa.array([marked[g[compare[g]]].tobytes() or None for g in now], pa.binary())], names=names,
         )
 
 
@@ -363,6 +424,8 @@ def _slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k1, k2, text, compare in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             data = text.encode("utf-8", "surrogatepass")
             for at, distance, more in np.unique(np.frombuffer(compare, PLACE)).tolist():
+                if more & HOT:
+                    continue
                 anchor = data[at + distance : at + distance + ANCHOR]
                 name = int.from_bytes(hashlib.blake2b(anchor, digest_size=8).digest(), "little", signed=True)
                 for column_, value in zip(out, (name, k1, k2, at, distance, data[at : at + more + LENGTH]), strict=True):
@@ -379,6 +442,136 @@ def _slices(out: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
 
+def window_hashes(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window that starts at one of the given places."""
+    up, down, spread = _power_tables(len(data) + 1)
+    if len(_tables.get("other_up", ())) <= len(data):
+        _tables["other_up"], _tables["other_down"] = _powers_of(_OTHER_BASE, len(data) + 1), _powers_of(_OTHER_INVERSE, len(data) + 1)
+    symbol = np.frombuffer(data, np.uint8)
+    total = np.zeros(len(symbol) + 1, dtype=np.uint64)
+    out = []
+    for value, up_, down_ in ((spread, up, down), (mix(spread + np.uint64(1)), _tables["other_up"], _tables["other_down"])):
+        np.cumsum(value[symbol] * up_[: len(symbol)], out=total[1:])
+        out.append(mix((total[at + LENGTH] - total[at]) * down_[at]))
+    return out[0], out[1]
+
+
+def _hot_windows(buckets: int):  # noqa: ANN202 - a function over batches
+    def deal(held: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        k1, k2, at = (np.array([x[i] for x in held], dtype=np.int64) for i in range(3))
+        size = np.fromiter((len(x[3]) for x in held), dtype=np.int64, count=len(held))
+        windows = size - LENGTH + 1
+        of = np.repeat(np.arange(len(held)), windows)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        h, other = window_hashes(b"".join(x[3] for x in held), (np.cumsum(size) - size)[of] + step)
+        other = other & ~np.uint64(1)
+        order = np.lexsort((other, h))
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(h)))
+        again, lead = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
+        again[order] = np.repeat(n > 1, n)
+        lead[order[first]] = True
+        other = other | again.astype(np.uint64)
+        start = (at[of] + step).astype(np.uint32)
+        # A lead that is met again is settled too; the entry dealt on tells the others.
+        i = np.flatnonzero(again)
+        edge = np.ones(len(i), dtype=bool)
+        edge[1:] = (of[i][1:] != of[i][:-1]) | (step[i][1:] != step[i][:-1] + 1)
+        a = np.flatnonzero(edge)
+        span = np.empty(len(a), dtype=SPAN)
+        span["a"], span["b"] = start[i[a]], start[i[np.append(a[1:], len(i)) - 1]] + 1 if len(a) else 0
+        out = []
+        rows = [(b, of[i[a[part]]], None, span[part]) for b, part in cut(np.mod(k1[of[i[a]]], buckets))]
+        keep = np.flatnonzero(lead)
+        rows += [(b, of[keep[part]], keep[part], start[keep[part]]) for b, part in cut(bucket_of(h[keep], buckets))]
+        for b, owner, j, places in rows:
+            owners, counts = runs(owner)
+            out.append({"bucket": b, "owners": k1[owners].tobytes(), "others": k2[owners].tobytes(), "counts": counts.tobytes(),
+                        "hashes": None if j is None else h[j].tobytes(), "contents": None if j is None else other[j].tobytes(),
+                        "places": places.tobytes(), "local": j is None, "hot": True})
+        for a in range(0, len(out), 500):
+            yield pa.RecordBatch.from_pylist(out[a : a + 500], schema=_PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """k1, k2, text, compare -> windows of hot segments packed by bucket; those met twice in a piece as spans of texts."""
+        held, size = [], 0
+        for batch in batches:
+            for k1, k2, text, compare in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                place = np.unique(np.frombuffer(compare, PLACE))
+                place = place[place["more"] & HOT > 0]
+                data = text.encode("utf-8", "surrogatepass") if len(place) else b""
+                for at, _, more in place.tolist():
+                    held.append((k1, k2, at, data[at : at + more - HOT + LENGTH]))
+                    size += more - HOT + LENGTH
+                    if size >= PIECE:
+                        yield from deal(held)
+                        held, size = [], 0
+        if held:
+            yield from deal(held)
+
+    return run
+
+
+def _count_windows(buckets: int):  # noqa: ANN202 - a function over batches
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed windows of a bucket -> spans of repeated windows, packed by the bucket of their texts."""
+        held = []
+        for batch in batches:
+            local = batch.filter(batch.column(7))
+            if local.num_rows:  # settled before
+                yield pa.RecordBatch.from_arrays([local.column(i) for i in (0, 1, 2, 3, 6)], names=["bucket", "owners", "others", "counts", "answers"])
+            held.append(batch.filter(pc.invert(batch.column(7))))
+        rows = whole(held)
+        if rows is None:
+            return
+        counts, h, other = column(rows, "counts", np.int32), column(rows, "hashes", np.uint64), column(rows, "contents", np.uint64)
+        start = column(rows, "places", np.uint32)
+        o1, o2 = (np.repeat(column(rows, n, np.int64), counts) for n in ("owners", "others"))
+        order = np.lexsort((other, h))
+        x, y = h[order], other[order] >> np.uint64(1)
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(x)))
+        repeated = np.repeat((n > 1) | (np.bitwise_or.reduceat(other[order], first) & np.uint64(1) > 0), n)
+        i = order[repeated]
+        i = i[np.lexsort((start[i], o2[i], o1[i]))]
+        span = np.empty(len(i), dtype=SPAN)
+        span["a"], span["b"] = start[i], start[i] + 1
+        if len(i):
+            yield replies(o1[i], o2[i], span, buckets)
+
+    return run
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed spans of the texts of a bucket -> (k1, k2, runs of repeated windows)."""
+    rows = whole(batches)
+    if rows is None:
+        return
+    counts, span = column(rows, "counts", np.int32), column(rows, "answers", SPAN)
+    o1, o2 = (np.repeat(column(rows, n, np.int64), counts) for n in ("owners", "others"))
+    order = np.lexsort((span["a"], o2, o1))
+    o1, o2, span = o1[order], o2[order], span[order]
+    text = np.ones(len(span), dtype=bool)
+    text[1:] = (o1[1:] != o1[:-1]) | (o2[1:] != o2[:-1])
+    new = text.copy()
+    new[1:] |= span["a"][1:] != span["b"][:-1]
+    first = np.flatnonzero(new)
+    merged = np.empty(len(first), dtype=SPAN)
+    merged["a"], merged["b"] = span["a"][first], span["b"][np.append(first[1:], len(span)) - 1]
+    edges = np.append(np.flatnonzero(text[first]), len(first))
+    for a in range(0, len(edges) - 1, 10_000):
+        now = edges[a : a + 10_001]
+        head = first[now[:-1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(o1[head]), pa.array(o2[head]), pa.array([merged[i:j].tobytes() for i, j in zip(now, now[1:], strict=False)], pa.binary())],
+            names=["k1", "k2", "spans"],
+        )
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text, repeated, spans -> what is left of each text."""
     for batch in batches:
@@ -412,7 +605,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(3), text).alias("k2"), text.alias("text")
     )
-    dealt = keyed.select("k1", "k2", "text").mapInArrow(_deal(buckets), PACKED)
+    dealt = table(keyed.select("k1", "k2", "text").mapInArrow(_deal(buckets), PACKED), "dealt")
+    weights = dealt.filter("not local").select("hashes", "places").mapInArrow(_weigh, "anchor bigint, bytes bigint, windows bigint")
+    # Anchors of over CHUNK bytes each: a few for each GB of the input.
+    hot = weights.groupBy("anchor").agg(F.sum("bytes").alias("bytes"), F.sum("windows").alias("windows")).filter(F.col("bytes") > CHUNK).collect()
+    if hot:
+        dealt = dealt.mapInArrow(_deal_hot(np.array([r["anchor"] for r in hot], np.int64).view(np.uint64), buckets), PACKED)
     counted = table(by_bucket(dealt, buckets).mapInArrow(_count, "k1 bigint, k2 bigint, repeated binary, compare binary"), "counted")
     places = counted.groupBy(F.col("k1").alias("p1"), F.col("k2").alias("p2")).agg(
         F.collect_set("repeated").alias("repeated"), F.collect_set("compare").alias("compare")
@@ -429,7 +627,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sliced = state.filter(F.col("compare").isNotNull()).select("k1", "k2", "text", "compare")
     rows = sliced.mapInArrow(_slice, "anchor bigint, k1 bigint, k2 bigint, at bigint, distance int, segment binary")
     rows = rows.repartition("anchor").sortWithinPartitions("anchor")
-    found = rows.mapInArrow(_sort_columns, "k1 bigint, k2 bigint, spans binary").groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"))
+    found = rows.mapInArrow(_sort_columns, "k1 bigint, k2 bigint, spans binary")
+    if hot:
+        many = max(buckets, -(-sum(r["windows"] for r in hot) // HOT_WINDOWS))
+        windows = by_bucket(sliced.mapInArrow(_hot_windows(many), PACKED), many).mapInArrow(_count_windows(many), REPLY)
+        found = found.unionByName(by_bucket(windows, many).mapInArrow(_spans, "k1 bigint, k2 bigint, spans binary"))
+    found = found.groupBy("k1", "k2").agg(F.collect_list("spans").alias("spans"))
     parts = state.filter("state = 2").select("doc_id", "k1", "k2", "text", "repeated").join(found, ["k1", "k2"], "left")
     cut_texts = parts.select("doc_id", "text", "repeated", "spans").mapInArrow(
         _remove, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
