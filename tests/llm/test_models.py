@@ -190,6 +190,23 @@ def test_passages_of_items_are_found_and_clean_texts_left(spark):
     assert decontam.leaks(docs, bench.limit(0)).collect() == [] and decontam.leaks(docs.limit(0), bench).collect() == []
 
 
+def test_the_end_of_a_long_item_is_a_leak(spark):
+    for n in (1, 59, 60, 61, 85, 119, 120, 121, 150):
+        starts = decontam._starts(n)
+        assert {w for at in starts for w in range(at, min(n, at + decontam.PART))} == set(range(n))
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2000)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    words = say(85)
+    items = [(1, f"{' '.join(words[:40])}. {' '.join(words[40:70])}? {' '.join(words[70:])}."), *((i, " ".join(say(40)) + ".") for i in range(2, 12))]
+    noise = lambda: " ".join(say(120))
+    rows = [(1, f"{noise()} {' '.join(words[25:])} {noise()}"), (2, f"{noise()} {' '.join(words[25:70])} {noise()}"), (3, noise())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], empty(spark).schema)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.leaks(docs, bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["answer_overlap"]) for r in got] == [(1, 1, 1.0)]
+
+
 @tables
 def test_every_item_quoted_in_a_document_is_a_leak(spark):
     docs, bench = read(spark, FOLDER, "documents").collect(), read(spark, FOLDER, "benchmark").collect()

@@ -1,6 +1,7 @@
 """Benchmark decontamination: passages query a BM25 index of test items by block-max bounds.
 
-The index holds test items, cut into parts of at most `PART` words. A term's impact on a
+The index holds test items, cut into parts of at most `PART` words; the last part of a longer
+item holds its last `PART` words, so each word is in a part. A term's impact on a
 part is its BM25 weight over the part's score against itself, so 1 means that a passage
 holds all terms of the part and one threshold fits parts of any length. Postings are
 grouped in blocks of `BLOCK` parts with the largest impact of each term in each block.
@@ -69,6 +70,11 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return np.unique(mix(h[:-1] * np.uint64(31) + h[1:]))
 
 
+def _starts(n: int) -> list[int]:
+    """First words of the parts of an item; the last part overlaps the one before it."""
+    return sorted({*range(0, n - PART + 1, PART), max(0, n - PART)})
+
+
 def build(items: list[tuple[int, str]]) -> Index:
     parts, pairs = [], []
     for item, text in sorted(items):
@@ -77,7 +83,7 @@ def build(items: list[tuple[int, str]]) -> Index:
         if not hashes:
             continue
         words = np.concatenate(hashes)
-        for at in range(0, max(1, len(words) - PART // 2), PART):
+        for at in _starts(len(words)):
             piece = words[at : at + PART]
             split = len(words) - len(hashes[-1]) - at if len(hashes) > 1 else 0
             if not 0 < split < len(piece):  # one sentence, or a part that ends before the last
