@@ -207,6 +207,27 @@ def test_the_end_of_a_long_item_is_a_leak(spark):
     assert [(r["doc_id"], r["item_id"], r["answer_overlap"]) for r in got] == [(1, 1, 1.0)]
 
 
+def test_the_index_has_a_bound_and_shards_change_no_score(spark, monkeypatch):
+    rng = random.Random(13)
+    say = lambda n, of: " ".join(rng.choice(of) for _ in range(n))
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20_000)]
+    few = vocab[:300]
+    items = [(i, f"{say(20, vocab)} {say(8, few)}. {say(rng.randrange(3, 50), vocab)}.") for i in range(2500)]
+    held = sum(x.nbytes for x in vars(decontam.build(items)).values() if isinstance(x, np.ndarray))
+    assert held <= 150 * sum(len(t.split()) for _, t in items)
+    items, rows = items[:150], []
+    for i in range(60):
+        words = items[i][1].split()
+        rows.append((i, f"{say(100, vocab)} {' '.join(words[: len(words) - i % 2])} {say(100, few)}"))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], empty(spark).schema)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = []
+    for size in (64 << 20, 200 * 1024):
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        found.append({(r["doc_id"], r["item_id"]): (round(r["score"], 9), r["n_passages"]) for r in decontam.leaks(docs, bench).collect()})
+    assert {(i, i) for i in range(60)} <= set(found[0]) and found[0] == found[1]
+
+
 @tables
 def test_every_item_quoted_in_a_document_is_a_leak(spark):
     docs, bench = read(spark, FOLDER, "documents").collect(), read(spark, FOLDER, "benchmark").collect()
