@@ -129,6 +129,28 @@ def test_sketches_estimate_high_similarities():
         assert 1 + m / (4 * k) * np.log(1 - 2 * bits / m) == pytest.approx(share, abs=0.13)
 
 
+def test_near_duplicates_on_five_words(spark, monkeypatch):
+    rng = random.Random(17)
+    texts = []
+    for edits in (2, 3):  # of 112 words, three edits leave 97 of 121 shingles of four words and 93 of 123 of five
+        base = [f"v{edits}x{i}" for i in range(112)]
+        w = base[:]
+        for at in (20, 55, 90)[:edits]:
+            w[at] = f"e{edits}x{at}"
+        texts += [" ".join(base), " ".join(w)]
+    rng.shuffle(texts)
+    rows = near_rows() + [(1000 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(4)
+    four = brute(rows)
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    monkeypatch.setattr("tests.llm.test_pairs.shingles", lambda t: five(words(t)))
+    want = brute(rows)
+    assert {r[0] for r in want if r[3]} > {r[0] for r in four if r[3]}
+    got = oddsketch.near_duplicates(df, 5).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+
+
 VECTORS = "vec_id bigint, embedding array<float>, label int, kept string"
 
 

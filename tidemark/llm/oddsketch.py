@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash bands, odd sketches and exact confirmation.
 
-A document's set holds the hashes of its distinct four-word shingles. Equal sets form a
-class, so copies are compared once. Classes are banded by MinHash (32 bands of 4 values: a
+A document's set holds the hashes of its distinct shingles, of four words unless another
+width is given. Equal sets form a class, so copies are compared once. Classes are banded by MinHash (32 bands of 4 values: a
 pair at the threshold shares no band in about one case of 20 million). The 128 MinHash
 values are also folded into an odd sketch, a bitmap in which each (place, value) flips one
 bit; the bits in which two sketches differ estimate the similarity closely when it is
@@ -91,40 +91,46 @@ def signatures(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, band, np.packbits(flips.reshape(n, SKETCH_BITS).astype(np.uint8), axis=1)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, n_shingles, k1, k2, bands, sketch."""
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for row, group in byte_groups(texts):
-            h, sizes = shingle_sets(group)
-            full = np.flatnonzero(sizes)
-            keys, bands, sketch = np.zeros((len(group), 2), np.uint64), np.zeros((len(group), BANDS), np.uint64), [None] * len(group)
-            if len(full):
-                keys[full], bands[full], odd = signatures(h, sizes[full])
-                for i, x in zip(full, odd, strict=True):
-                    sketch[i] = x.tobytes()
-            flat = pa.array(bands.view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(row, len(group)), pa.array(sizes, pa.int64()), pa.array(keys[:, 0].view(np.int64)),
-                 pa.array(keys[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1) * BANDS, pa.int32()), flat),
-                 pa.array(sketch, pa.binary())],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
-            )
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class, k1, k2, text -> class, shingles, for texts that have the class's set."""
-    for batch in batches:
-        k1, k2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        for row, group in byte_groups(batch.column(3).to_pylist()):
-            h, sizes = shingle_sets(group)
-            ids, sets = [], []
-            for i, x in enumerate(np.split(h, np.cumsum(sizes)[:-1])):
-                one, two = (mix(x + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64) for s in (1, 2))
-                if len(x) and one == k1[row + i] and two == k2[row + i]:
-                    ids.append(batch.column(0)[row + i].as_py())
-                    sets.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["class", "shingles"])
+def _sign(width: int):  # noqa: ANN202 - a function over batches
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, text -> doc_id, n_shingles, k1, k2, bands, sketch."""
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for row, group in byte_groups(texts):
+                h, sizes = shingle_sets(group, width)
+                full = np.flatnonzero(sizes)
+                keys, bands, sketch = np.zeros((len(group), 2), np.uint64), np.zeros((len(group), BANDS), np.uint64), [None] * len(group)
+                if len(full):
+                    keys[full], bands[full], odd = signatures(h, sizes[full])
+                    for i, x in zip(full, odd, strict=True):
+                        sketch[i] = x.tobytes()
+                flat = pa.array(bands.view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(group)), pa.array(sizes, pa.int64()), pa.array(keys[:, 0].view(np.int64)),
+                     pa.array(keys[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1) * BANDS, pa.int32()), flat),
+                     pa.array(sketch, pa.binary())],
+                    names=["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"],
+                )
+
+    return run
+
+
+def _sets(width: int):  # noqa: ANN202 - a function over batches
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """class, k1, k2, text -> class, shingles, for texts that have the class's set."""
+        for batch in batches:
+            k1, k2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for row, group in byte_groups(batch.column(3).to_pylist()):
+                h, sizes = shingle_sets(group, width)
+                ids, sets = [], []
+                for i, x in enumerate(np.split(h, np.cumsum(sizes)[:-1])):
+                    one, two = (mix(x + np.uint64(s)).sum(dtype=np.uint64).astype(np.int64) for s in (1, 2))
+                    if len(x) and one == k1[row + i] and two == k2[row + i]:
+                        ids.append(batch.column(0)[row + i].as_py())
+                        sets.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["class", "shingles"])
+
+    return run
 
 
 def _most_bits() -> int:
@@ -244,12 +250,12 @@ def _together(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """The contract of op7: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """The contract of op7: doc_id, n_shingles, component_id, kept, on shingles of `width` words."""
     small_batches(docs.sparkSession)
     signed = table(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            _sign, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
+            _sign(width), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
         ),
         "signed",
     )
@@ -280,7 +286,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = table(where.join(slim, "class").select("bucket", "class", "n", "sketch", "k1", "k2"), "members")
     wanted = small(table(members.select("class", "k1", "k2").distinct(), "wanted"))
     texts = docs.select(F.col("doc_id").cast("long").alias("class"), "text").join(wanted, "class")
-    sets = texts.select("class", "k1", "k2", "text").mapInArrow(_sets, "class bigint, shingles binary").dropDuplicates(["class"])
+    sets = texts.select("class", "k1", "k2", "text").mapInArrow(_sets(width), "class bigint, shingles binary").dropDuplicates(["class"])
     sets = table(sets, "sets")
     members = members.drop("k1", "k2")
 
