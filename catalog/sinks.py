@@ -41,7 +41,7 @@ def _headlines(spark, folder):
         F.col("first_seen").alias("published_at"),
         "first_seen",
         "title",
-        F.upper("title").alias("summary"),
+        F.concat(F.lit("about "), "title").alias("summary"),
         F.col("id").alias("pos"),
         (F.col("id") % 3).alias("part"),
     )
@@ -51,7 +51,7 @@ def _headlines(spark, folder):
 @query(
     "headline_upsert",
     f"""WITH {PAGES_SQL}, b AS (SELECT site AS url, domain, 'feed' || (id % 3) AS source, first_seen AS published_at,
-        first_seen, title, upper(title) AS summary, id % 3 AS gen, id,
+        first_seen, title, 'about ' || title AS summary, id % 3 AS gen, id,
         list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(title), '(^|[^\\p{{L}}\\p{{N}}_]){k}($|[^\\p{{L}}\\p{{N}}_])') THEN '{k}' END" for k in ("the", "and", "les", "und", "que"))}],
           lambda x : x IS NOT NULL) AS kw FROM h)
     SELECT url, arg_min(domain, (gen, id)) AS domain, arg_min(source, (gen, id)) AS source,
