@@ -21,6 +21,8 @@ from tidemark.llm.common import read, small, table
 
 #: A text is rejected if no language holds this share of its words, by mean probability.
 LEAST_SCORE = 0.4
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +39,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
-    found = table(oddsketch.near_duplicates(docs).select(F.col("doc_id").alias("_id"), "kept"), "groups")
+    """Keep the document with the smallest id of each group of near duplicates, by shingles of five words."""
+    found = table(oddsketch.near_duplicates(docs, SHINGLE).select(F.col("doc_id").alias("_id"), "kept"), "groups")
     kept = small(table(found.filter("kept").select("_id").distinct(), "kept"))
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
     repeated = not found.groupBy("_id").count().filter("count > 1").isEmpty()
     if not repeated:
         return out
     # Rows with one id are told apart by their text.
-    return out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    mark = "_text" + "_" * max(map(len, docs.columns))
+    return out.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
