@@ -43,13 +43,13 @@ def test_components(spark, shape):
     assert all(got.get(n, n) == want[n] for n in want)
 
 
-def shingles(text):
+def shingles(text, width=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def brute(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def brute(rows, width=4):
+    sets = {i: shingles(t, width) for i, t in rows}
     ids = sorted(sets)
     links = [
         (a, b) for n, a in enumerate(ids) for b in ids[n + 1 :]
@@ -129,7 +129,7 @@ def test_sketches_estimate_high_similarities():
         assert 1 + m / (4 * k) * np.log(1 - 2 * bits / m) == pytest.approx(share, abs=0.13)
 
 
-def test_near_duplicates_on_five_words(spark, monkeypatch):
+def test_near_duplicates_on_five_words(spark):
     rng = random.Random(17)
     texts = []
     for edits in (2, 3):  # of 112 words, three edits leave 97 of 121 shingles of four words and 93 of 123 of five
@@ -142,10 +142,7 @@ def test_near_duplicates_on_five_words(spark, monkeypatch):
     rows = near_rows() + [(1000 + i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(4)
     four = brute(rows)
-    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    five = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    monkeypatch.setattr("tests.llm.test_pairs.shingles", lambda t: five(words(t)))
-    want = brute(rows)
+    want = brute(rows, 5)
     assert {r[0] for r in want if r[3]} > {r[0] for r in four if r[3]}
     got = oddsketch.near_duplicates(df, 5).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
@@ -239,7 +236,8 @@ def test_pipeline_matches_a_plain_version(spark):
         drop = {x for x, s in sites.items() if len(s) >= linespread.MIN_SITES and keeper[x] != i}
         texts[i] = "\n".join(x for x in r["text"].split("\n") if x.strip(" ") not in drop)
     texts = {i: t for i, t in texts.items() if t.strip(" ")}
-    kept = {i for i, _, _, k in brute(list(texts.items())) if k}
+    kept = {i for i, _, _, k in brute(list(texts.items()), corpus_pipeline.SHINGLE) if k}
+    assert corpus_pipeline.SHINGLE == 5
     plain = lambda t: " ".join(re.findall(r"[^\W\d_]+", t.lower()))
     items = [plain(r["text"]) for r in read(spark, FOLDER, "benchmark").collect()]
     clean = {i for i in kept if not any(f" {q} " in f" {plain(texts[i])} " for q in items)}
