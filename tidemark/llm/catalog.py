@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import blocks, columns, decontam, flatgraph, langid, linespread, mixing, oddsketch, toxicity, warc
+from tidemark.llm import blocks, columns, decontam, flatgraph, langid, linespread, mixing, oddsketch, prefixtrie, toxicity, warc
 from tidemark.llm.common import read
 from tidemark.llm.sql import SQL
 
@@ -23,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_anchors": lambda s, d: blocks.remove_repeats(read(s, d, "documents")),
     "op9_bm25_leaks": lambda s, d: decontam.leaks(read(s, d, "documents"), read(s, d, "benchmark")),
     "op10_flat_graph": lambda s, d: flatgraph.near_vectors(read(s, d, "embeddings")),
+    "op11_tree_contraction": lambda s, d: prefixtrie.shared_heads(read(s, d, "conversations")),
 }

@@ -62,8 +62,40 @@ SELECT page_id, payload_bytes, payload_digest, url,
 FROM p LEFT JOIN k USING (payload_digest)
 """
 
+TRIE = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS donor, count(*) AS own, xor(4294967295, list_reduce(
+           flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295::BIGINT)) % 6 AS h
+  FROM t GROUP BY conv_id),
+m AS (SELECT c.*, least(c.h, coalesce(g.own, 0)) AS taken FROM c LEFT JOIN c g ON g.conv_id = c.donor),
+r AS (
+  SELECT m.conv_id, t.p AS depth, role, text FROM m JOIN t ON t.conv_id = m.donor AND t.p <= m.taken
+  UNION ALL SELECT m.conv_id, t.p - m.h + m.taken, role, text FROM m JOIN t ON t.conv_id = m.conv_id AND t.p > m.h),
+paths AS (
+  SELECT conv_id, depth, length(text) AS chars, list([role, text]) OVER w AS key,
+         list([role, text]) OVER w [:depth - 1] AS above, depth = max(depth) OVER (PARTITION BY conv_id) AS last
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+  UNION ALL SELECT conv_id, 0, 0, CAST([] AS VARCHAR[][]), NULL, NOT EXISTS (SELECT 1 FROM r WHERE r.conv_id = m.conv_id) FROM m),
+nodes AS (
+  SELECT depth, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends
+  FROM paths GROUP BY depth, key),
+kids AS (SELECT above AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (key)),
+under AS (SELECT key[:d] AS key, sum((n_children = 0)::INT) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(depth + 1)) AS d FROM own) GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children,
+       u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM own n LEFT JOIN nodes p ON p.key = n.above AND n.depth > 0 JOIN under u ON u.key = n.key
+"""
+
 SQL: dict[str, str] = {
     "op2_line_spread": LINE_SPREAD,
     "op4_water_filling": MIXING,
     "op5_warc_transactions": WARC,
+    "op11_tree_contraction": TRIE,
 }
