@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import blocks, bpe, columns, decontam, flatgraph, langid, linespread, mixing, oddsketch, prefixtrie, toxicity, warc
+from tidemark.llm import bitslices, blocks, bpe, columns, decontam, flatgraph, langid, linespread, mixing, oddsketch, prefixtrie, toxicity, warc
 from tidemark.llm.common import read
 from tidemark.llm.sql import SQL
 
@@ -25,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bm25_leaks": lambda s, d: decontam.leaks(read(s, d, "documents"), read(s, d, "benchmark")),
     "op10_flat_graph": lambda s, d: flatgraph.near_vectors(read(s, d, "embeddings")),
     "op11_tree_contraction": lambda s, d: prefixtrie.shared_heads(read(s, d, "conversations")),
+    "op12_bit_slices": lambda s, d: bitslices.search(read(s, d, "documents"), read(s, d, "benchmark")),
     "op13_prefix_tokens": lambda s, d: bpe.digests(read(s, d, "documents"), public_tokenizers.path("word_bpe_49k.json")),
 }
