@@ -14,7 +14,7 @@ from tidemark.operators.headlines import tagged, upsert
 from tidemark.plans.watch import move_watch, watch_run
 from tidemark.rules import small_table
 from tidemark.session import shared_folder
-from tidemark.sources import sinks
+from tidemark.sources import sinks, versions
 
 
 def _fresh(spark, name: str) -> str:
@@ -48,24 +48,53 @@ def _headlines(spark, folder):
     return tagged(p, F.col("title"), ("the", "and", "les", "und", "que"))
 
 
-@query(
-    "headline_upsert",
-    f"""WITH {PAGES_SQL}, b AS (SELECT site AS url, domain, 'feed' || (id % 3) AS source, first_seen AS published_at,
+UPSERT_SQL = f"""WITH {PAGES_SQL}, b AS (SELECT site AS url, domain, 'feed' || (id % 3) AS source, first_seen AS published_at,
         first_seen, title, 'about ' || title AS summary, id % 3 AS gen, id,
         list_filter([{", ".join(f"CASE WHEN regexp_matches(lower(title), '(^|[^\\p{{L}}\\p{{N}}_]){k}($|[^\\p{{L}}\\p{{N}}_])') THEN '{k}' END" for k in ("the", "and", "les", "und", "que"))}],
           lambda x : x IS NOT NULL) AS kw FROM h)
     SELECT url, arg_min(domain, (gen, id)) AS domain, arg_min(source, (gen, id)) AS source,
       arg_min(published_at, (gen, id)) AS published_at, arg_min(first_seen, (gen, id)) AS first_seen,
       arg_max(title, (gen, id)) AS title, arg_max(summary, (gen, id)) AS summary,
-      array_to_string(arg_max(kw, (gen, id)), ',') AS keywords FROM b GROUP BY 1""",
-)
+      array_to_string(arg_max(kw, (gen, id)), ',') AS keywords FROM b GROUP BY 1"""
+
+
+@query("headline_upsert", UPSERT_SQL)
 def _upsert(spark, folder):
     path = _fresh(spark, "headlines")
     h = _headlines(spark, folder)
     for part in range(3):
-        sinks.upsert_headlines(spark, path, h.filter(F.col("part") == part).drop("part"), buckets=8)
-    out = spark.read.parquet(path).drop("bucket")
-    return out.withColumn("keywords", F.array_join("keywords", ","))
+        sinks.upsert_headlines(spark, path, h.filter(F.col("part") == part).drop("part"))
+    return sinks.headlines(spark, path).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query("headline_compacted", UPSERT_SQL)
+def _compacted(spark, folder):
+    """The same batches with compactions after the first and the second, and a repeated one."""
+    path = _fresh(spark, "headlines")
+    h = _headlines(spark, folder)
+    for part in range(3):
+        batch = h.filter(F.col("part") == part).drop("part")
+        sinks.upsert_headlines(spark, path, batch, version=part)
+        if part < 2:
+            sinks.compact_headlines(spark, path, bucket_rows=50)
+            versions.vacuum(spark, path)
+        sinks.upsert_headlines(spark, path, batch, version=part)
+    return sinks.headlines(spark, path).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@query(
+    "headlines_since",
+    f"""WITH {PAGES_SQL} SELECT site AS url, arg_min(first_seen, (id % 3, id)) AS first_seen FROM h GROUP BY 1
+    HAVING arg_min(first_seen, (id % 3, id)) >= TIMESTAMP '2024-01-01 06:00:00'""",
+)
+def _since(spark, folder):
+    """Urls first stored from a day on, though batches come out of order."""
+    path = _fresh(spark, "headlines")
+    h = _headlines(spark, folder)
+    for part in range(3):
+        sinks.upsert_headlines(spark, path, h.filter(F.col("part") == part).drop("part"))
+    sinks.compact_headlines(spark, path)
+    return sinks.headlines(spark, path, datetime(2024, 1, 1, 6)).select("url", "first_seen")
 
 
 @query(
@@ -79,6 +108,9 @@ def _upsert_new(spark, folder):
     return merged.filter("is_new").select("url")
 
 
+LATEST = "user_id bigint, ts timestamp, event_type string, value double"
+
+
 @query(
     "latest_by_key",
     """SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value
@@ -90,8 +122,10 @@ def _latest_by_key(spark, folder):
         F.substring("source", 2, 20).cast("bigint").alias("user_id"), "ts", F.col("series").alias("event_type"), "value", "id"
     )
     for part in range(2):
-        sinks.replace_latest(spark, path, r.filter(F.col("id") % 2 == part).drop("id"), "user_id", "ts", buckets=8)
-    return spark.read.parquet(path).drop("bucket")
+        sinks.replace_latest(spark, path, r.filter(F.col("id") % 2 == part).drop("id"), "user_id", "ts")
+        if part == 0:
+            sinks.compact_latest(spark, path, LATEST, "user_id", "ts")
+    return sinks.latest(spark, path, LATEST, "user_id", "ts")
 
 
 CUTOFF = datetime(2024, 1, 10, 9, 30)

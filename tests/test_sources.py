@@ -179,10 +179,10 @@ def test_upsert_keeps_first_and_overwrites_rest(spark, tmp_path):
     path = f"{tmp_path}/h"
     cols = "url string, domain string, source string, published_at timestamp, first_seen timestamp, title string, summary string, keywords array<string>, pos bigint"
     t = datetime(2026, 8, 17)
-    sinks.upsert_headlines(spark, path, spark.createDataFrame([("u1", "d", "s1", t, t, "old", "", ["a"], 0), ("u2", "d", "s1", t, t, "keep", "", [], 1)], cols), 4)
+    sinks.upsert_headlines(spark, path, spark.createDataFrame([("u1", "d", "s1", t, t, "old", "", ["a"], 0), ("u2", "d", "s1", t, t, "keep", "", [], 1)], cols))
     later = t + timedelta(days=1)
-    sinks.upsert_headlines(spark, path, spark.createDataFrame([("u1", "e", "s2", later, later, "new", "x", ["b"], 0), ("u3", "f", "s3", later, later, "n1", "", [], 1), ("u3", "g", "s4", later, later, "n2", "", [], 2)], cols), 4)
-    got = {r["url"]: r for r in spark.read.parquet(path).collect()}
+    sinks.upsert_headlines(spark, path, spark.createDataFrame([("u1", "e", "s2", later, later, "new", "x", ["b"], 0), ("u3", "f", "s3", later, later, "n1", "", [], 1), ("u3", "g", "s4", later, later, "n2", "", [], 2)], cols))
+    got = {r["url"]: r for r in sinks.headlines(spark, path).collect()}
     assert (got["u1"]["title"], got["u1"]["domain"], got["u1"]["first_seen"], got["u1"]["keywords"]) == ("new", "d", t, ["b"])
     assert got["u2"]["title"] == "keep" and (got["u3"]["title"], got["u3"]["domain"]) == ("n2", "f")
 

@@ -22,7 +22,7 @@ from tidemark.operators.levels import level_runs
 from tidemark.operators.series import tick_series
 from tidemark.operators.triggers import conflict_events, conflict_pairs, fresh_moves
 from tidemark.rules import ConflictRule, Gate, MoveRule, move_rule_table
-from tidemark.sources.sinks import exists, prune
+from tidemark.sources.sinks import exists, headlines, prune
 
 #: A rule gets (session, home, from, to) and returns trigger, ts, severity, id.
 Rule = Callable[[SparkSession, str, datetime, datetime], DataFrame]
@@ -51,10 +51,15 @@ def move_watch(rule: MoveRule, place: int = 0, places: int = 1) -> Rule:
 
 
 def conflict_watch(rule: ConflictRule, keywords: tuple[str, ...], domains: tuple[str, ...], tick_minutes: int) -> Rule:
-    """Meetings of independent sources at the ticks of the run; ids are the ticks."""
+    """Meetings of independent sources at the ticks of the run; ids are the ticks.
+
+    Reads the headlines that can cover a tick of the run, and no older ones.
+    """
 
     def run(spark: SparkSession, home: str, since: datetime, until: datetime) -> DataFrame:
-        news = spark.read.parquet(f"{home}/headlines").withColumn("id", F.xxhash64("url"))
+        reach = since - timedelta(hours=rule.window_hours)
+        news = headlines(spark, f"{home}/headlines", reach).filter(F.col("first_seen") < F.lit(until))
+        news = news.withColumn("id", F.xxhash64("url"))
         pairs = conflict_pairs(news, F.col("title"), keywords, domains, rule, tick_minutes)
         new = F.col("tick").between(_epoch(since), _epoch(until) - 1)
         met = conflict_events(pairs.filter(new), rule)

@@ -1,7 +1,9 @@
-"""Tables as partitioned parquet: append, merge and prune.
+"""Tables as parquet: append, merge and prune.
 
-A merge reads and rewrites only the partitions that its batch touches. Writes go
-through Spark's committer, so a lost executor costs a task retry and nothing else.
+Headlines and latest rows are kept as versions (`versions.py`): a batch writes its own keys.
+The ledger is small and merged by month: a merge reads and rewrites only the partitions that
+its batch touches. Writes go through Spark's committer, so a lost executor costs a task
+retry and nothing else.
 """
 
 from __future__ import annotations
@@ -12,11 +14,9 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.headlines import upsert
 from tidemark.operators.ledger import merge_ledger
 from tidemark.schema import HEADLINES, SPEND
-
-BUCKETS = 64
+from tidemark.sources import versions
 
 
 def _fs(spark: SparkSession, path: str):  # noqa: ANN202 - a Hadoop FileSystem and Path
@@ -68,17 +68,49 @@ def merge_into(
     )
 
 
-def _bucket(key: str, buckets: int):  # noqa: ANN202 - Column
-    return F.pmod(F.hash(key), F.lit(buckets))
+FIXED = ["domain", "source", "published_at", "first_seen"]
+MOVING = ["title", "summary", "keywords"]
+
+
+def _first_and_last(rows: DataFrame, order: str) -> DataFrame:
+    """One row a url: what is fixed from its first row, what moves from its last."""
+    first, last = F.min_by(F.struct(*FIXED), order), F.max_by(F.struct(*MOVING), order)
+    return rows.groupBy("url").agg(first.alias("f"), last.alias("m")).select("url", "f.*", "m.*")
+
+
+def upsert_headlines(spark: SparkSession, path: str, batch: DataFrame, version: int | None = None) -> int:
+    """Keep what was first stored, overwrite title, summary and keywords.
+
+    Writes one row for each url of the batch as a version of the table; `pos` orders the batch.
+    """
+    return versions.append(_first_and_last(batch, "pos"), path, version)
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    return _first_and_last(rows, versions.VERSION)
 
 
-def upsert_headlines(spark: SparkSession, path: str, batch: DataFrame, buckets: int = BUCKETS) -> None:
-    """Keep what was first stored, overwrite title, summary and keywords; hashed by url."""
+def headlines(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
+    """The stored headlines; those first seen at `since` or later, if given.
 
-    def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-        return upsert(stored, fresh).drop("is_new").withColumn("bucket", _bucket("url", buckets))
+    Then only urls with a version from that time on are put together. A url that came again
+    but was stored earlier is among them, and is left out by its first version.
+    """
+    if since is None:
+        return _resolved(versions.stored(spark, path, HEADLINES, "url"))
+    late = F.col("first_seen") >= F.lit(since)
+    urls = versions.stored(spark, path, HEADLINES, "url").filter(late).select("url")
+    return _resolved(versions.stored(spark, path, HEADLINES, "url", urls)).filter(late)
+
+
+def new_headlines(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+    """Urls of a batch that are not stored yet."""
+    known = versions.stored(spark, path, HEADLINES, "url", batch.select("url"))
+    return batch.select("url").distinct().join(known.select("url"), "url", "left_anti")
 
-    merge_into(spark, path, batch.withColumn("bucket", _bucket("url", buckets)), "bucket", merge, HEADLINES)
+
+def compact_headlines(spark: SparkSession, path: str, bucket_rows: int = versions.BUCKET_ROWS) -> None:
+    versions.compact(spark, path, HEADLINES, "url", _resolved, "first_seen", bucket_rows)
 
 
 def add_spend(spark: SparkSession, path: str, fresh: DataFrame) -> None:
@@ -92,18 +124,22 @@ def add_spend(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     merge_into(spark, path, fresh.withColumn("month", month), "month", merge, SPEND)
 
 
-def replace_latest(
-    spark: SparkSession, path: str, batch: DataFrame, key: str, ts: str, buckets: int = BUCKETS
-) -> None:
-    """One row per key, the newest by `ts`."""
-    cols = batch.columns
-    schema = ", ".join(f"{n} {t}" for n, t in batch.dtypes)
+def replace_latest(spark: SparkSession, path: str, batch: DataFrame, key: str, ts: str, version: int | None = None) -> int:
+    """One row per key, the newest by `ts`; at equal times the later batch. Writes the batch's keys as a version."""
+    return versions.append(latest_by_key(batch, key, ts), path, version)
+
+
+def _newest(key: str, ts: str) -> versions.Resolve:
+    return lambda rows: latest_by_key(rows, key, ts, versions.VERSION).drop(versions.VERSION)
+
+
+def latest(spark: SparkSession, path: str, schema: str, key: str, ts: str, keys: DataFrame | None = None) -> DataFrame:
+    """The newest stored row of each key, or of each of `keys`."""
+    return _newest(key, ts)(versions.stored(spark, path, schema, key, keys))
 
-    def merge(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-        both = stored.select(*cols).unionByName(fresh.select(*cols))
-        return latest_by_key(both, key, ts).withColumn("bucket", _bucket(key, buckets))
 
-    merge_into(spark, path, batch.withColumn("bucket", _bucket(key, buckets)), "bucket", merge, schema)
+def compact_latest(spark: SparkSession, path: str, schema: str, key: str, ts: str, bucket_rows: int = versions.BUCKET_ROWS) -> None:
+    versions.compact(spark, path, schema, key, _newest(key, ts), None, bucket_rows)
 
 
 def latest_by_key(df: DataFrame, key: str, ts: str, tie: str | None = None) -> DataFrame:
