@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import bucket_width, rolling_baseline, window_baseline
+from tidemark.operators.asof import busy_days, cut_in_buckets, rolling_baseline, window_baseline
 from tidemark.operators.series import daily_series, exact_median, extremes, latest_reading, net_position
 from tidemark.operators.triggers import move_candidates
 from tidemark.rules import MoveRule, move_rule_table
@@ -24,8 +24,8 @@ def readings(spark, rows):
     )
 
 
-@pytest.mark.parametrize("width", [1_000_000, 3_600_000_000, None])
-def test_window_baseline_brute_force(spark, width):
+@pytest.mark.parametrize("bucket_rows", [1, 10, 50, None])
+def test_window_baseline_brute_force(spark, bucket_rows):
     rng = random.Random(7)
     # One series holds most rows and several share an instant.
     rows = [("hot", T0 + timedelta(seconds=rng.randrange(4000)), float(i)) for i in range(300)]
@@ -33,11 +33,11 @@ def test_window_baseline_brute_force(spark, width):
     rows += [("cold", T0, None)]
     df = readings(spark, rows)
     probes = df.withColumn("window_hours", F.lit(0.25))
-    wide = None if width is None else F.lit(width).cast("bigint")
-    out = window_baseline(probes, df, wide).collect()
+    busy = None if bucket_rows is None else busy_days(df, ["series"], "ts", bucket_rows)
+    out = window_baseline(probes, df, busy).collect()
     assert len(out) == len(rows)
     same = df.withColumn("windows", F.array(F.struct(F.lit(0.25).alias("window_hours"), F.lit("x").alias("tag"))))
-    by_scan = {r["id"]: r["baseline"] for r in rolling_baseline(same, "windows", wide).collect()}
+    by_scan = {r["id"]: r["baseline"] for r in rolling_baseline(same, "windows", busy).collect()}
     assert by_scan == {r["id"]: r["baseline"] for r in out if r["value"] is not None}
     data = [(s, t, i, v) for i, (s, t, v) in enumerate(rows) if v is not None]
     for r in out:
@@ -59,12 +59,24 @@ def test_baseline_examples(spark):
     assert base([(4, 90.0), (1, 110.0)], T0)["value"] == 90.0  # the bound itself counts
 
 
-def test_bucket_width_follows_the_densest_hour(spark):
-    rows = [("hot", T0 + timedelta(seconds=i), 1.0) for i in range(1000)]
-    df = readings(spark, rows)
-    width = lambda n: spark.range(1).select(bucket_width(df, ["series"], "ts", n).alias("w")).first()["w"]
-    assert width(2_000_000) == 86_400_000_000
-    assert width(100) == 360_000_000
+def test_a_spike_cuts_its_own_day_and_series_alone(spark):
+    calm = [(s, T0 + timedelta(hours=h), 1.0) for s in ("a", "b") for h in range(0, 24 * 10, 6)]
+    spike = [("a", T0 + timedelta(days=3, seconds=3.6 * i), 1.0) for i in range(1000)]
+
+    def buckets(rows, bucket_rows=100):
+        df = readings(spark, rows)
+        cut = cut_in_buckets(df, ["series"], "ts", busy_days(df, ["series"], "ts", bucket_rows))
+        found = cut.groupBy("series", "_bucket").count().collect()
+        return {s: {r["_bucket"]: r["count"] for r in found if r["series"] == s} for s in ("a", "b")}
+
+    before, after = buckets(calm), buckets(calm + spike)
+    assert after["b"] == before["b"] and len(before["b"]) == 11
+    # All other days of the series stay whole; those of the spike hold no more rows than asked for.
+    day = 86_400_000_000
+    hot = {b // day for b, n in after["a"].items() if before["a"].get(b) != n}
+    assert len(hot) == 1 and set(before["a"]) - set(after["a"]) <= {d * day for d in hot}
+    assert max(after["a"].values()) <= 102 and len(after["a"]) <= len(before["a"]) + 15
+    assert busy_days(readings(spark, calm), ["series"], "ts").isEmpty()
 
 
 def test_daily_series_uses_local_days(spark):

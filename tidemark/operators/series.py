@@ -162,10 +162,8 @@ def align(readings: DataFrame, names: list[str], minutes: int) -> DataFrame:
         *[F.max(F.when(F.col("series") == n, F.col("value"))).alias(f"_{n}") for n in names]
     )
     stamped = wide.withColumn("ts", F.timestamp_seconds("tick"))
-    one_day = F.lit(86_400_000_000).cast("bigint")  # ticks bound the rows per day
-    return carry_forward(stamped, [], "ts", ["tick"], {n: f"_{n}" for n in names}, width=one_day).select(
-        "ts", *names
-    )
+    # Ticks bound the rows of a day.
+    return carry_forward(stamped, [], "ts", ["tick"], {n: f"_{n}" for n in names}).select("ts", *names)
 
 
 def priority_value(readings: DataFrame) -> DataFrame:

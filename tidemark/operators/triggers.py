@@ -36,7 +36,7 @@ def _rounded(kind: Column, move: Column) -> Column:
     return out
 
 
-def move_candidates(readings: DataFrame, rules: DataFrame, width: Column | None = None) -> DataFrame:
+def move_candidates(readings: DataFrame, rules: DataFrame, busy: DataFrame | None = None) -> DataFrame:
     """Readings that moved at least the threshold of a rule for their series.
 
     The rule fires on the unrounded move; severity, in multiples of the threshold,
@@ -49,7 +49,7 @@ def move_candidates(readings: DataFrame, rules: DataFrame, width: Column | None
         .agg(F.collect_list(F.struct("trigger", "kind", "window_hours", "threshold")).alias("_rules"))
     )
     watched = readings.select("series", "ts", "id", "value").join(per_series, "series")
-    return _moved(rolling_baseline(watched, "_rules", width))
+    return _moved(rolling_baseline(watched, "_rules", busy))
 
 
 def fresh_moves(readings: DataFrame, rules: DataFrame, since: datetime) -> DataFrame:
