@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.gate import alert_gate, gated_fires, walked
-from tidemark.operators.levels import level_crossings, level_runs, level_union, levels_hit
+from tidemark.operators.levels import level_crossings, level_runs, level_union, levels_hit, price_edges
 from tidemark.rules import Gate
 
 T0 = datetime(2026, 8, 17, 0, 0, tzinfo=UTC)
@@ -195,6 +195,21 @@ def test_level_crossings_brute_force(spark, direction):
     assert len(want) > 5
 
 
+def test_a_price_far_from_all_others_moves_no_bucket(spark):
+    rng = random.Random(4)
+    base, values = int(T0.timestamp()), [round(90 + i * 0.2, 1) for i in range(100)]
+    prices = [(base + i * 1800, round(rng.uniform(90, 110), 1)) for i in range(200)]
+    prices[77] = (prices[77][0], 1e9)
+    free = Gate(max_per_day=10**6, cooldown_hours=0, quiet_from=0, quiet_to=0, cooldowns={})
+    _, want = walk([], free, levels=[(1, v, "either") for v in [*values, 1e9]], prices=prices)
+    levels = spark.createDataFrame([(1, v, "either", "", "config") for v in [*values, 1e9]], LEVELS).withColumn("series", F.lit("p"))
+    got = level_crossings(price_ticks(spark, prices), levels).collect()
+    assert sorted((r["subscriber"], int(r["ts"].replace(tzinfo=UTC).timestamp()), r["level"], r["direction"]) for r in got) == sorted(want)
+    edges = price_edges(levels.select("series", F.col("value").alias("level"))).first()["edges"]
+    held = Counter(sum(e <= v for e in edges) for v in values)
+    assert max(held.values()) <= 3  # of 101 levels over 64 buckets
+
+
 def test_level_example(spark):
     base = int(T0.timestamp())
     levels = spark.createDataFrame([(1, 100_000.0, "above", "", "config")], LEVELS).withColumn("series", F.lit("p"))

@@ -11,7 +11,7 @@ from tidemark.operators.walk import walk
 from tidemark.rules import REARM_MARGIN_PCT, Gate
 
 SALTS = 16
-BUCKETS = 256  # price buckets of a series
+BUCKETS = 64  # price buckets of a series, at most
 BLOCK = 60  # ticks in a row of a run, at most 62
 SETTLED = 4  # a level fires, re-arms and fires again within so many ticks on one side
 LEVEL_TRIGGER = "inr_price_levels"
@@ -30,6 +30,16 @@ def level_union(configured: DataFrame, added: DataFrame) -> DataFrame:
     return both.groupBy("subscriber", "value").agg(pick.alias("l")).select("subscriber", "value", "l.*")
 
 
+def price_edges(levels: DataFrame) -> DataFrame:
+    """(series, edges): prices that part the levels of a series evenly.
+
+    They come from a sketch of the levels, so that a price far from all others moves no edge, and
+    a series has no more edges than levels.
+    """
+    shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    return levels.groupBy("series").agg(F.array_distinct(F.percentile_approx("level", shares)).alias("edges"))
+
+
 def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     """(series, level, tick, until, price, follow): runs of ticks on one side of a level.
 
@@ -37,7 +47,8 @@ def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     over by more than the margin; while the price stays on one, a level acts alike. A run
     begins at the first tick of a series and wherever the price changes sides. Those ticks
     are found by an equality join on price buckets of the series: a tick lies in the
-    buckets between the price before it and its own, a level in those of its margins.
+    buckets between the price before it and its own, a level in those of its margins, and the
+    first tick in buckets below all others, over which the levels are dealt once more.
     `levels` holds distinct (series, level). `follow` has the ticks of a run after its first,
     until no level changes any more.
     """
@@ -47,19 +58,15 @@ def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
         F.lag("value").over(along).alias("before"),
         F.array(*[F.lead("tick", k).over(along) for k in range(1, SETTLED)]).alias("follow"),
     )
-    span = ticks.groupBy("series").agg(
-        F.min("value").alias("bottom"), F.max("value").alias("top"),
-        F.min("tick").alias("start"), F.max("tick").alias("last"),
+    edges = price_edges(levels)
+    place = lambda c: F.size(F.filter("edges", lambda e: e <= c))
+    margin = F.abs("level") * F.lit(REARM_MARGIN_PCT) / F.lit(100.0)
+    deal = -1 - F.pmod(F.xxhash64("level"), F.lit(SALTS)).cast("int")
+    banded = levels.join(edges, "series").select("series", "level", (F.col("level") - margin).alias("low"), (F.col("level") + margin).alias("high"), "edges")
+    near = banded.select(
+        "series", "level", "low", "high",
+        F.posexplode(F.concat(F.array(deal), F.sequence(place(F.col("low")), place(F.col("high"))))).alias("_nth", "bucket"),
     )
-    step = F.greatest((F.col("top") - F.col("bottom")) / BUCKETS, F.lit(1e-9))
-    place = lambda c: F.floor((c - F.col("bottom")) / step).cast("int")
-    # The salt is part of the key, so that a series given as a constant leaves one.
-    salted = levels.withColumn("_salt", F.pmod(F.xxhash64("level"), F.lit(SALTS)).cast("int"))
-    spread = span.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    margin = F.col("level") * F.lit(REARM_MARGIN_PCT) / F.lit(100.0)
-    banded = salted.join(spread, ["series", "_salt"]).select(
-        "series", "level", "start", "last", "bottom", "top", (F.col("level") - margin).alias("low"), (F.col("level") + margin).alias("high")
-    )
 
     def side(price: Column) -> Column:
         return (
@@ -67,29 +74,20 @@ def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
             .when(price <= F.col("high"), 3).otherwise(4)
         )
 
-    inside = F.greatest(F.col("low"), F.col("bottom")) <= F.least(F.col("high"), F.col("top"))
-    near = banded.filter(inside).select(
-        "series", "level", "low", "high",
-        F.posexplode(F.sequence(place(F.greatest("low", "bottom")), place(F.least("high", "top")))).alias("_nth", "bucket"),
-    )
-    lower, upper = F.least("price", "before"), F.greatest("price", "before")
+    through = F.sequence(place(F.least("price", "before")), place(F.greatest("price", "before")))
+    met = F.when(F.col("before").isNull(), F.sequence(F.lit(-SALTS), F.lit(-1))).otherwise(through)
     moves = (
-        priced.filter(F.col("before").isNotNull() & (F.col("price") != F.col("before")))
-        .join(span, "series")
-        .select("series", "tick", "price", "before", "follow", F.posexplode(F.sequence(place(lower), place(upper))).alias("_at", "bucket"))
+        priced.filter(F.col("before").isNull() | (F.col("price") != F.col("before")))
+        .join(edges, "series")
+        .select("series", "tick", "price", "before", "follow", F.posexplode(met).alias("_at", "bucket"))
     )
-    crossed = (
-        near.join(moves, ["series", "bucket"])
-        # Of the buckets both lie in, the first one counts.
-        .filter("_nth = 0 OR _at = 0")
-        .filter(side(F.col("price")) != side(F.col("before")))
-        .select("series", "level", "tick", "price", "follow")
+    # Of the buckets both lie in, the first one counts.
+    crosses = (F.col("_nth") == 1) | (F.col("_at") == 0)
+    begun = near.join(moves, ["series", "bucket"]).filter(
+        (F.col("bucket") < 0) | (crosses & (side(F.col("price")) != side(F.col("before"))))
     )
-    first = priced.filter(F.col("before").isNull()).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    begun = salted.join(first, ["series", "_salt"]).select("series", "level", "tick", "price", "follow")
     by_level = Window.partitionBy("series", "level").orderBy("tick")
-    ends = F.lead("tick").over(by_level)
-    runs = begun.unionByName(crossed).withColumn("until", ends)
+    runs = begun.select("series", "level", "tick", "price", "follow", F.lead("tick").over(by_level).alias("until"))
     own = F.filter("follow", lambda t: t.isNotNull() & (F.col("until").isNull() | (t < F.col("until"))))
     return runs.withColumn("follow", own)
 
