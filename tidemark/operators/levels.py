@@ -58,11 +58,13 @@ def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
         F.lag("value").over(along).alias("before"),
         F.array(*[F.lead("tick", k).over(along) for k in range(1, SETTLED)]).alias("follow"),
     )
-    edges = price_edges(levels)
+    # The salt spreads a hot series, and leaves an equality where a series is given as a constant.
+    edges = price_edges(levels).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
     place = lambda c: F.size(F.filter("edges", lambda e: e <= c))
     margin = F.abs("level") * F.lit(REARM_MARGIN_PCT) / F.lit(100.0)
-    deal = -1 - F.pmod(F.xxhash64("level"), F.lit(SALTS)).cast("int")
-    banded = levels.join(edges, "series").select("series", "level", (F.col("level") - margin).alias("low"), (F.col("level") + margin).alias("high"), "edges")
+    deal = -1 - salt("level")
+    banded = levels.withColumn("_salt", salt("level")).join(edges, ["series", "_salt"]).select("series", "level", (F.col("level") - margin).alias("low"), (F.col("level") + margin).alias("high"), "edges")
     near = banded.select(
         "series", "level", "low", "high",
         F.posexplode(F.concat(F.array(deal), F.sequence(place(F.col("low")), place(F.col("high"))))).alias("_nth", "bucket"),
@@ -78,7 +80,8 @@ def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     met = F.when(F.col("before").isNull(), F.sequence(F.lit(-SALTS), F.lit(-1))).otherwise(through)
     moves = (
         priced.filter(F.col("before").isNull() | (F.col("price") != F.col("before")))
-        .join(edges, "series")
+        .withColumn("_salt", salt("tick"))
+        .join(edges, ["series", "_salt"])
         .select("series", "tick", "price", "before", "follow", F.posexplode(met).alias("_at", "bucket"))
     )
     # Of the buckets both lie in, the first one counts.
