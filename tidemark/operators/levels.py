@@ -30,6 +30,15 @@ def level_union(configured: DataFrame, added: DataFrame) -> DataFrame:
     return both.groupBy("subscriber", "value").agg(pick.alias("l")).select("subscriber", "value", "l.*")
 
 
+# A salt spreads a hot series, and leaves an equality where a series is given as a constant.
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
 def price_edges(levels: DataFrame) -> DataFrame:
     """(series, edges): prices that part the levels of a series evenly.
 
@@ -58,13 +67,11 @@ def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
         F.lag("value").over(along).alias("before"),
         F.array(*[F.lead("tick", k).over(along) for k in range(1, SETTLED)]).alias("follow"),
     )
-    # The salt spreads a hot series, and leaves an equality where a series is given as a constant.
-    edges = price_edges(levels).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    edges = price_edges(levels).withColumn("_salt", _every_salt())
     place = lambda c: F.size(F.filter("edges", lambda e: e <= c))
     margin = F.abs("level") * F.lit(REARM_MARGIN_PCT) / F.lit(100.0)
-    deal = -1 - salt("level")
-    banded = levels.withColumn("_salt", salt("level")).join(edges, ["series", "_salt"]).select("series", "level", (F.col("level") - margin).alias("low"), (F.col("level") + margin).alias("high"), "edges")
+    deal = -1 - _salt("level")
+    banded = levels.withColumn("_salt", _salt("level")).join(edges, ["series", "_salt"]).select("series", "level", (F.col("level") - margin).alias("low"), (F.col("level") + margin).alias("high"), "edges")
     near = banded.select(
         "series", "level", "low", "high",
         F.posexplode(F.concat(F.array(deal), F.sequence(place(F.col("low")), place(F.col("high"))))).alias("_nth", "bucket"),
@@ -80,7 +87,7 @@ def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     met = F.when(F.col("before").isNull(), F.sequence(F.lit(-SALTS), F.lit(-1))).otherwise(through)
     moves = (
         priced.filter(F.col("before").isNull() | (F.col("price") != F.col("before")))
-        .withColumn("_salt", salt("tick"))
+        .withColumn("_salt", _salt("tick"))
         .join(edges, ["series", "_salt"])
         .select("series", "tick", "price", "before", "follow", F.posexplode(met).alias("_at", "bucket"))
     )
@@ -119,11 +126,12 @@ def level_runs(ticks: DataFrame, levels: DataFrame, gate: Gate) -> DataFrame:
         .groupBy("series", block(F.col("tick")).alias("block"), "day")
         .agg(F.bit_or("bit").alias("bits"), F.coalesce(F.bit_or(F.when(~F.col("quiet"), F.col("bit"))), F.lit(0).cast("bigint")).alias("open"), F.max("tick").alias("newest"))
     )
-    last = grid.groupBy("series").agg(F.max("block").alias("last_block"))
+    last = grid.groupBy("series").agg(F.max("block").alias("last_block")).withColumn("_salt", _every_salt())
     shape = ["series", "level", "direction", "price"]
     able = (
         runs.filter(fires)
-        .join(last, "series")
+        .withColumn("_salt", _salt("level"))
+        .join(last, ["series", "_salt"])
         .withColumn("block", F.explode(F.sequence(block(F.col("tick")), F.coalesce(block(F.col("until") - 1), F.col("last_block")))))
         .join(grid, ["series", "block"])
     )
