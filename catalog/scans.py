@@ -15,10 +15,11 @@ from tidemark.session import shared_folder
 from tidemark.sources import files
 
 
-def _land(df: DataFrame, name: str, per_file: int = 0) -> str:
-    """Write bodies, one per line, or `per_file` in a file."""
+def _land(df: DataFrame, name: str, per_file: int = 0, by: str | None = None) -> str:
+    """Write bodies, one per line, or `per_file` in a file, or a file for each value of `by`."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.select("body").write.option("maxRecordsPerFile", per_file).text(path)
+    writer = df.select("body", *([by] if by else [])).write.option("maxRecordsPerFile", per_file)
+    (writer.partitionBy(by) if by else writer).text(path)
     return path
 
 
@@ -113,6 +114,9 @@ def _contracts(spark, folder):
     return files.scan_contracts(spark, path).select("symbol", "expiry_text", "price", "expiry")
 
 
+PER_ARCHIVE = 500  # keys in a file
+
+
 @query(
     "scan_preamble_csv",
     """SELECT DATE '2020-01-01' + CAST(p_partkey % 1000 AS INTEGER) AS day, p_retailprice AS value FROM part
@@ -121,14 +125,17 @@ def _contracts(spark, folder):
 def _preamble(spark, folder):
     p = table(spark, folder, "part")
     day = F.date_format(F.date_add(F.lit(date(2020, 1, 1)), (F.col("p_partkey") % 1000).cast("int")), "dd-MMM-yyyy")
+    part = F.floor(F.col("p_partkey") / PER_ARCHIVE).alias("part")
     rows = p.select(
+        part,
         F.lit(1).alias("n"),
         F.concat(day, F.lit(',"'), F.regexp_replace("p_name", '"', ""), F.lit('",x,"'), F.format_number("p_retailprice", 6), F.lit('"')).alias("body"),
     )
-    head = spark.createDataFrame([(0, "Daily, archive 1,000"), (0, ""), (0, "As of date,Name,Ounces,Tonnes in trust")], "n int, body string")
-    # One file has one header, which comes before its rows.
-    ordered = head.coalesce(1).unionByName(rows).coalesce(1).sortWithinPartitions("n")
-    return files.scan_preamble_csv(spark, _land(ordered, "archive")).select("day", "value")
+    # Every range of keys is a file, with a header of its own before its rows.
+    head = ["Daily, archive 1,000", "", "As of date,Name,Ounces,Tonnes in trust"]
+    heads = p.select(part).distinct().select("part", F.lit(0).alias("n"), F.explode(F.array(*map(F.lit, head))).alias("body"))
+    ordered = heads.unionByName(rows).repartition("part").sortWithinPartitions("part", "n")
+    return files.scan_preamble_csv(spark, _land(ordered, "archive", by="part")).select("day", "value")
 
 
 @query(
