@@ -57,6 +57,8 @@ def conflict_watch(rule: ConflictRule, keywords: tuple[str, ...], domains: tuple
     """
 
     def run(spark: SparkSession, home: str, since: datetime, until: datetime) -> DataFrame:
+        if not exists(spark, f"{home}/headlines"):
+            raise FileNotFoundError(f"no headlines table in {home}")
         reach = since - timedelta(hours=rule.window_hours)
         news = headlines(spark, f"{home}/headlines", reach).filter(F.col("first_seen") < F.lit(until))
         news = news.withColumn("id", F.xxhash64("url"))
