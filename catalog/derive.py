@@ -15,6 +15,7 @@ from tidemark.operators.series import align, daily_series, latest_reading, sessi
 from tidemark.plans.derived import (
     calendar_horizon,
     derive_columns,
+    derived_notes,
     derived_readings,
     implied_odds,
     landed_columns,
@@ -53,10 +54,14 @@ a0 AS (SELECT f.*, cw.spot_change, cw.fx_change FROM f LEFT JOIN cw
 a AS (SELECT *, coalesce(nullif(spot, 0), nullif(future, 0)) AS gold,
   ((1 + spot_change / 100) * (1 + fx_change / 100) - 1) * 100 AS inr FROM a0),
 b AS (SELECT *, gold * fx / 31.1034768 * 10.0 * 1.11 AS ex0 FROM a),
-x AS (SELECT ts, spot, fx, silver, quote, future, round(gold / silver, 3) AS ratio,
+x AS (SELECT ts, spot, fx, silver, quote, future, gold, spot_change, fx_change, round(gold / silver, 3) AS ratio,
   round(gold * fx / 31.1034768 * 10.0 * {TAX.landed!r}::DOUBLE, 2) AS landed, round(ex0, 2) AS ex_tax,
   round((quote / ex0 - 1) * 100, 3) AS premium, abs((quote / ex0 - 1) * 100) > 4 AS premium_wide,
   round(abs(future / spot - 1) * 100, 4) AS "cross", abs(future / spot - 1) * 100 > 0.3 AS cross_wide,
+  CASE WHEN spot <> 0 AND future <> 0 AND abs(future / spot - 1) * 100 > 0.3
+      THEN format('DIVERGENCE: spot {{:.2f}} and future {{:.2f}} differ by {{:.2f}}%, allowed are 0.3%: the price is uncertain', spot, future, abs(future / spot - 1) * 100)
+    WHEN spot <> 0 AND NOT coalesce(future <> 0, false) THEN 'only the spot resolved: no cross-check'
+    WHEN future <> 0 AND NOT coalesce(spot <> 0, false) THEN 'only the future resolved: no cross-check' END AS cross_note,
   round(inr, 3) AS inr_change, (spot_change > 0) <> (inr > 0) AS diverging FROM b)
 """
 
@@ -66,9 +71,9 @@ def _ratio(spark, folder):
     return derive_columns(aligned(spark, folder), TAX).select("ts", "ratio")
 
 
-@query("cross_check", ALIGNED_SQL + 'SELECT ts, spot, future, "cross", cross_wide FROM x')
+@query("cross_check", ALIGNED_SQL + 'SELECT ts, spot, future, "cross", cross_wide, cross_note FROM x')
 def _cross(spark, folder):
-    return derive_columns(aligned(spark, folder), TAX).select("ts", "spot", "future", "cross", "cross_wide")
+    return derive_columns(aligned(spark, folder), TAX).select("ts", "spot", "future", "cross", "cross_wide", "cross_note")
 
 
 @query("premium_gap", ALIGNED_SQL + "SELECT ts, quote, ex_tax, premium, premium_wide FROM x")
@@ -97,6 +102,32 @@ def _derived(spark, folder):
     return derived_readings(aligned(spark, folder), TAX)
 
 
+FESTIVALS = [
+    ("harvest", date(2024, 1, 14), date(2024, 1, 14), True),
+    ("wedding", date(2024, 1, 20), date(2024, 2, 10), False),
+    ("spring", date(2024, 2, 14), date(2024, 2, 14), True),
+]
+
+
+@query(
+    "derived_notes",
+    ALIGNED_SQL
+    + """, s(name, a, b, point) AS (VALUES ('harvest', DATE '2024-01-14', DATE '2024-01-14', true),
+      ('wedding', DATE '2024-01-20', DATE '2024-02-10', false), ('spring', DATE '2024-02-14', DATE '2024-02-14', true)),
+    ld AS (SELECT ts, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day FROM x),
+    sn AS (SELECT ts, 'seasonal demand: ' || string_agg(CASE WHEN NOT point AND day >= a THEN name || ' is active (to ' || b || ')'
+      ELSE name || ' in ' || (a - day) || 'd (' || a || ')' END, '; ' ORDER BY a) AS note
+      FROM ld JOIN s ON day BETWEEN a - 21 AND CASE WHEN point THEN a ELSE b END GROUP BY ts)
+    SELECT ts, 'cross' AS source, cross_note AS note FROM x WHERE cross_note IS NOT NULL
+    UNION ALL SELECT ts, 'premium', 'gap too wide: check the tax stack' FROM x WHERE premium_wide
+    UNION ALL SELECT ts, 'directions', 'directions differ' FROM x WHERE diverging
+    UNION ALL SELECT ts, 'season', note FROM sn""",
+)
+def _derived_notes(spark, folder):
+    seasons = small_table(spark, FESTIVALS, "name string, start date, end date, point boolean")
+    return derived_notes(derive_columns(aligned(spark, folder), TAX), seasons, TZ)
+
+
 @query(
     "landed_cost",
     f"""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice,

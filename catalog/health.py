@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import query
-from catalog.tables import NOW, READINGS_SQL, readings, table
+from catalog.tables import NOW, READINGS_SQL, TZ, readings, table
 from tidemark.operators.health import (
     data_gaps,
     notes_of,
@@ -143,18 +143,46 @@ def _quiet(spark, folder):
     )
 
 
+SCHEDULE = [
+    ("morning", True, ["mon", "tue", "wed", "thu", "fri"], False),
+    ("evening", True, ["mon", "tue", "wed", "thu", "fri", "sat", "sun"], True),
+    ("weekly", True, ["sun"], False),
+    ("noon", False, ["mon"], False),
+]
+
+
+def planned_runs(spark, folder):
+    """The four modes of each day with an event; the evening ones are those of `evening_runs`."""
+    hours = {"morning": 2, "evening": 13, "weekly": 4, "noon": 7}
+    days = table(spark, folder, "events").select(F.to_date("ts").alias("day")).distinct()
+    modes = [F.struct(F.lit(m).alias("mode"), F.lit(h * 3600).alias("s")) for m, h in hours.items()]
+    return days.select("day", F.inline(F.array(*modes))).select(
+        F.date_format("day", "yyyy-MM-dd").alias("run_id"),
+        "mode",
+        F.timestamp_seconds(F.unix_seconds(F.col("day").cast("timestamp")) + F.col("s")).alias("ts"),
+    )
+
+
 @query(
     "run_decision",
-    f"""WITH {HEALTH_SQL}, {QUIET_SQL}
-    SELECT run_id, data_count, degraded, coalesce(quiet, false) AS quiet, CASE WHEN degraded THEN 'degraded'
-      WHEN coalesce(quiet, false) THEN 'skip' ELSE 'brief' END AS decision FROM hl LEFT JOIN qs USING (run_id)""",
+    f"""WITH {HEALTH_SQL}, {QUIET_SQL},
+    sc(mode, h, enabled, days, changed) AS (VALUES ('morning', 2, true, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri'], false),
+      ('evening', 13, true, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'], true), ('weekly', 4, true, ['Sun'], false),
+      ('noon', 7, false, ['Mon'], false)),
+    pr AS (SELECT strftime(day, '%Y-%m-%d') AS run_id, sc.*, day + to_hours(h) AS ts FROM dy, sc),
+    pq AS (SELECT pr.*, data_count, degraded, coalesce(quiet, false) AND mode = 'evening' AS q
+      FROM pr LEFT JOIN hl USING (run_id) LEFT JOIN qs USING (run_id))
+    SELECT run_id, mode, coalesce(data_count, 0) AS data_count, q AS quiet, CASE WHEN NOT enabled THEN 'off'
+      WHEN NOT list_contains(days, strftime(ts + INTERVAL 330 MINUTE, '%a')) THEN 'not_scheduled'
+      WHEN coalesce(degraded, true) THEN 'degraded' WHEN changed AND q THEN 'skip' ELSE 'brief' END AS decision FROM pq""",
 )
 def _decision(spark, folder):
     quiet = quiet_since(
         evening_runs(spark, folder), morning_briefs(spark, folder), readings(spark, folder),
         ["click", "view", "purchase"], 70.0,
-    )
-    return run_decision(source_health(runs(spark, folder), MIN_DATA), quiet)
+    ).withColumn("mode", F.lit("evening"))
+    schedule = small_table(spark, SCHEDULE, "mode string, enabled boolean, days array<string>, only_if_changed boolean")
+    return run_decision(planned_runs(spark, folder), source_health(runs(spark, folder), MIN_DATA), quiet, schedule, TZ)
 
 
 def briefs(spark, folder):
@@ -162,13 +190,13 @@ def briefs(spark, folder):
     mode = F.when(F.col("role") == "user", "morning").when(F.col("role") == "assistant", "evening").otherwise("alert")
     at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
     return table(spark, folder, "conversations").select(
-        (F.col("conv_id") % 20).alias("subscriber"), mode.alias("mode"), at.alias("ts")
+        (F.col("conv_id") % 20).alias("subscriber"), mode.alias("mode"), at.alias("ts"), "text"
     )
 
 
 BRIEFS_SQL = """b AS (SELECT conv_id % 20 AS subscriber, CASE role WHEN 'user' THEN 'morning'
   WHEN 'assistant' THEN 'evening' ELSE 'alert' END AS mode,
-  TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS ts FROM conversations)"""
+  TIMESTAMP '2024-01-01' + to_hours(CAST(conv_id AS INTEGER)) + to_minutes(CAST(turn AS INTEGER)) AS ts, text FROM conversations)"""
 
 
 @query(
@@ -177,7 +205,7 @@ BRIEFS_SQL = """b AS (SELECT conv_id % 20 AS subscriber, CASE role WHEN 'user' T
     FROM b x ASOF LEFT JOIN (SELECT * FROM b WHERE mode <> 'alert') y ON x.subscriber = y.subscriber AND x.ts > y.ts""",
 )
 def _previous(spark, folder):
-    return previous_brief(briefs(spark, folder))
+    return previous_brief(briefs(spark, folder).drop("text"))
 
 
 @query("table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))

@@ -159,5 +159,7 @@ def previous_brief(briefs: DataFrame) -> DataFrame:
 
 
 def last_brief(briefs: DataFrame, mode: str | None = None) -> DataFrame:
+    """Newest brief of each subscriber, of one mode if given, else of any but alerts; at equal times the last by text."""
     kept = briefs.filter(F.col("mode") == mode) if mode else briefs.filter("mode <> 'alert'")
-    return kept.groupBy("subscriber").agg(F.max("ts").alias("ts"), F.max_by("mode", "ts").alias("mode"))
+    last = F.max_by(F.struct("ts", "mode", "text"), F.struct("ts", "text", "mode"))
+    return kept.groupBy("subscriber").agg(last.alias("b")).select("subscriber", "b.*")

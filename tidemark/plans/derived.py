@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import money
+from tidemark.functions.dates import local_day
 from tidemark.rules import (
     CROSS_CHECK_PCT,
     FUTURES_BAND,
@@ -40,12 +41,28 @@ def derive_columns(aligned: DataFrame, tax: TaxStack) -> DataFrame:
             "premium_wide": F.abs(premium) > PREMIUM_LIMIT_PCT,
             "cross": F.round(cross, 4),
             "cross_wide": cross > CROSS_CHECK_PCT,
+            "cross_note": cross_note(F.col("spot"), F.col("future")),
             "inr_change": F.round(inr, 3),
             "diverging": F.when(inr.isNotNull(), money.directions_differ(F.col("spot_change"), inr)),
         }
     )
 
 
+def cross_note(spot: Column, future: Column) -> Column:
+    """What the cross check of two legs has to say: too far apart, or only one of them there."""
+    gap = money.divergence_pct(spot, future)
+    there = lambda leg: F.coalesce(leg != 0, F.lit(False))
+    apart = F.format_string(
+        f"DIVERGENCE: spot %.2f and future %.2f differ by %.2f%%, allowed are {CROSS_CHECK_PCT}%%: the price is uncertain",
+        spot, future, gap,
+    )
+    return (
+        F.when(there(spot) & there(future) & (gap > CROSS_CHECK_PCT), apart)
+        .when(there(spot) & ~there(future), F.lit("only the spot resolved: no cross-check"))
+        .when(there(future) & ~there(spot), F.lit("only the future resolved: no cross-check"))
+    )
+
+
 # Names and units of the derived series.
 DERIVED_SERIES = (
     ("ratio", "gold_silver_ratio", "ratio"),
@@ -115,6 +132,34 @@ def season_flags(days: DataFrame, seasons: DataFrame, lead_days: int = SEASON_LE
     )
 
 
+def season_notes(days: DataFrame, seasons: DataFrame, lead_days: int = SEASON_LEAD_DAYS) -> DataFrame:
+    """(day, note): one line for each day on which a season is near or active, nearest start first."""
+    named = seasons.select("name", "start", "end")
+    flags = season_flags(days.select("day").distinct(), seasons.drop_duplicates(["name"]), lead_days).join(named, "name")
+    date_of = lambda c: F.col(c).cast("string")
+    text = F.when(F.col("state") == "active", F.concat("name", F.lit(" is active (to "), date_of("end"), F.lit(")"))).otherwise(
+        F.concat("name", F.lit(" in "), F.col("days_ahead").cast("string"), F.lit("d ("), date_of("start"), F.lit(")"))
+    )
+    lines = F.sort_array(F.collect_set(F.struct("start", text.alias("text"))))
+    return flags.groupBy("day").agg(F.concat(F.lit("seasonal demand: "), F.array_join(lines["text"], "; ")).alias("note"))
+
+
+def derived_notes(wide: DataFrame, seasons: DataFrame, tz: str) -> DataFrame:
+    """Notes (ts, source, note) of rows of derived figures: the cross check, a wide premium,
+    directions that differ, and the seasons of the local day."""
+    notes = {
+        "cross": F.col("cross_note"),
+        "premium": F.when(F.col("premium_wide"), F.lit("gap too wide: check the tax stack")),
+        "directions": F.when(F.col("diverging"), F.lit("directions differ")),
+    }
+    each = [F.struct(F.lit(source).alias("source"), note.alias("note")) for source, note in notes.items()]
+    told = wide.select("ts", F.inline(F.array(*each))).filter("note IS NOT NULL")
+    dated = wide.select("ts", local_day(F.col("ts"), tz).alias("day"))
+    return told.unionByName(
+        dated.join(season_notes(dated, seasons), "day").select("ts", F.lit("season").alias("source"), "note")
+    )
+
+
 def calendar_horizon(events: DataFrame, today: date, horizon_days: int = 7) -> DataFrame:
     """Distinct events from today to the horizon with the days until them, nearest first."""
     near = F.col("day").between(F.lit(today), F.date_add(F.lit(today), horizon_days))

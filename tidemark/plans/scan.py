@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import local_day
 from tidemark.functions.numbers import grouped, signed
 from tidemark.operators.gate import alert_gate
 from tidemark.operators.levels import LEVEL_SEVERITY, LEVEL_TRIGGER
@@ -71,15 +72,27 @@ def watch(
     return alert_gate(offered.select("id", "subscriber", "trigger", "ts", "severity"), gate, mutes, prior)
 
 
-def run_decision(health: DataFrame, quiet: DataFrame) -> DataFrame:
-    """Per run: a degraded notice, a skip on a quiet evening, or a brief."""
-    return health.join(quiet.select("run_id", "quiet"), "run_id", "left").select(
+def run_decision(runs: DataFrame, health: DataFrame, quiet: DataFrame, schedule: DataFrame, tz: str) -> DataFrame:
+    """What each run (run_id, mode, ts) comes to: off, not a configured day, a degraded notice, a
+    skip as nothing moved, or a brief.
+
+    `schedule` has a row for each mode: enabled, days (names as `mon`), only_if_changed. A mode
+    without a row is off. A run without health is degraded.
+    """
+    planned = runs.select("run_id", "mode", "ts").join(schedule, "mode", "left")
+    known = planned.join(health.select("run_id", "data_count", "degraded"), "run_id", "left")
+    judged = known.join(quiet.select("run_id", "mode", "quiet"), ["run_id", "mode"], "left")
+    weekday = F.lower(F.date_format(local_day(F.col("ts"), tz), "E"))
+    still = F.coalesce("quiet", F.lit(False))
+    return judged.select(
         "run_id",
-        "data_count",
-        "degraded",
-        F.coalesce("quiet", F.lit(False)).alias("quiet"),
-        F.when(F.col("degraded"), F.lit("degraded"))
-        .when(F.coalesce("quiet", F.lit(False)), F.lit("skip"))
+        "mode",
+        F.coalesce("data_count", F.lit(0)).alias("data_count"),
+        still.alias("quiet"),
+        F.when(~F.coalesce("enabled", F.lit(False)), F.lit("off"))
+        .when(~F.array_contains("days", weekday), F.lit("not_scheduled"))
+        .when(F.coalesce("degraded", F.lit(True)), F.lit("degraded"))
+        .when(F.col("only_if_changed") & still, F.lit("skip"))
         .otherwise(F.lit("brief"))
         .alias("decision"),
     )
