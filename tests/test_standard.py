@@ -60,5 +60,12 @@ def test_whole_run(spark, tmp_path):
     assert notes == {("bonds", "bond mentions: 0, signal: none"), ("policy", "duty named: Customs duty on gold lifted"), ("policy", "duty named: Customs duty on timber")}
     extra = stored.filter("series = 'real_yield_10y'").first()["extra"]
     assert json.loads(extra) == {"change_bp": -14.0}
+    # Without the future there is one leg, and no cross-check.
+    (land / "charts" / "1.json").unlink()
+    alone = {r["note"] for r in standard_notes(spark, str(land)).filter("source = 'spot'").collect()}
+    assert alone == {"only the spot resolved: no cross-check"}
+    put("charts/1.json", chart("GC=F", [2500.0, 2600.0], [100, 200], chartPreviousClose=2500.0))
+    apart = [r["note"] for r in standard_notes(spark, str(land)).filter("source = 'spot'").collect()]
+    assert apart == ["DIVERGENCE: spot 2535.00 and future 2600.00 differ by 2.56%, allowed are 0.3%: the price is uncertain"]
     news = spark.read.parquet(str(tmp_path / "out" / "headlines")).filter("source_name = 'articles'").first()
     assert news["keywords"] == ["airstrike", "embargo"] and news["domain"] == "apnews.com"

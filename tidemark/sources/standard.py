@@ -20,7 +20,7 @@ from tidemark.functions.text import any_term, keyword_hits
 from tidemark.operators.filters import relevant_any, relevant_both, scheme_filter
 from tidemark.operators.headlines import dedupe_first, flagged, term_signals
 from tidemark.operators.series import basis_point_change, exact_median, flow_delta, front_month, net_position
-from tidemark.plans.derived import implied_odds
+from tidemark.plans.derived import cross_note, implied_odds
 from tidemark.sources import files, markup
 from tidemark.sources.registry import Registry
 from tidemark.sources.sinks import exists
@@ -90,15 +90,26 @@ def _news(spark: SparkSession, landing: str, name: str) -> DataFrame:
     return dedupe_first(a.unionByName(f), "url", ["kind", "topic", "pos"])
 
 
+def _both_legs(quotes: DataFrame) -> DataFrame:
+    """One row: the last price of spot and of the future, null for a leg that is not there."""
+    leg = lambda k: F.max_by(F.when(F.col("series") == QUOTES["spot"][k][0], F.col("last")), F.when(F.col("series") == QUOTES["spot"][k][0], F.col("ts")))
+    return quotes.agg(leg(0).alias("spot"), leg(1).alias("future"), F.max("ts").alias("ts"))
+
+
 def _divergence(quotes: DataFrame) -> DataFrame:
     """How far the future is from spot, if both legs are there; wide gaps say so."""
-    leg = lambda k: F.max_by(F.when(F.col("series") == QUOTES["spot"][k][0], F.col("last")), F.when(F.col("series") == QUOTES["spot"][k][0], F.col("ts")))
-    both = quotes.agg(leg(0).alias("spot"), leg(1).alias("future"), F.max("ts").alias("ts"))
-    gap = both.withColumn("gap", divergence_pct(F.col("spot"), F.col("future"))).filter("gap IS NOT NULL")
+    gap = _both_legs(quotes).withColumn("gap", divergence_pct(F.col("spot"), F.col("future"))).filter("gap IS NOT NULL")
     wide = gap.withColumn("uncertain", F.col("gap") > rules.CROSS_CHECK_PCT)
     return _readings(wide, F.lit("gold_spot_future_divergence_pct"), F.col("gap"), "%", F.col("ts"), ["uncertain"])
 
 
+def cross_check_notes(spark: SparkSession, landing: str) -> DataFrame:
+    """(note): legs that lie too far apart, or the one leg that came."""
+    quotes = files.scan_quotes(spark, f"{landing}/charts")
+    both = _both_legs(quotes.filter(F.col("series").isin(*[s for s, _m, _u in QUOTES["spot"]])))
+    return both.select(cross_note(F.col("spot"), F.col("future")).alias("note"))
+
+
 def _text() -> Column:
     return F.concat_ws(" ", "title", "summary")
 
@@ -232,11 +243,15 @@ def standard_sources(today: date, purity: int = 995) -> Registry:
 
 
 def standard_notes(spark: SparkSession, landing: str) -> DataFrame:
-    """(source, note): what the bond mentions say, and the policy titles that name a duty.
+    """(source, note): how the two price legs agree, what the bond mentions say, and the policy
+    titles that name a duty.
 
     A landing folder that is missing has no notes.
     """
     out = spark.createDataFrame([], "source string, note string")
+    if exists(spark, f"{landing}/charts"):
+        legs = cross_check_notes(spark, landing).filter("note IS NOT NULL")
+        out = out.unionByName(legs.select(F.lit("spot").alias("source"), "note"))
     if exists(spark, f"{landing}/bond_articles"):
         found = files.scan_articles(spark, f"{landing}/bond_articles").withColumn("source", F.lit("bonds"))
         said = term_signals(found, F.col("title"), rules.BOND_TERMS, rules.ISSUANCE_TERMS, rules.PAUSE_TERMS, "source")
