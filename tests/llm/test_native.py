@@ -112,6 +112,33 @@ def test_archives_round_trip(spark, tmp_path):
     assert bodies["0"] == bytearray(tricky.encode()) and bodies["8"] == bytearray(b"y" * 50_000)
     assert all(r["request"] is not None for r in nested)
     assert all(r["response"]["payload_digest"] == r["response"]["told_digest"] for r in nested)
+    # What a revisit names is the record id of the response that keeps the payload.
+    ids = {r["response"]["record_id"]: r["metadata"]["fields"].get("page-id") for r in nested}
+    assert {ids[r["response"]["refers_to"]] for r in nested if r["response"]["type"] == "revisit"} == {"7"}
+
+
+RECORD = {"target_uri": None, "refers_to": None, "digest": None, "http_length": None, "payload": None, "fields": None}
+
+
+def test_captures_of_odd_records(spark):
+    """Two metadata records, none at all, a stray request, a revisit of something elsewhere."""
+    rows = [
+        RECORD | {"record_id": "a", "type": "response", "concurrent_to": None, "payload": bytearray(b"x"), "digest": "d"},
+        RECORD | {"record_id": "m1", "type": "metadata", "concurrent_to": "a", "fields": {"k": "1"}},
+        RECORD | {"record_id": "m2", "type": "metadata", "concurrent_to": "a", "fields": {"k": "2"}},
+        RECORD | {"record_id": "q", "type": "request", "concurrent_to": "nowhere"},
+        RECORD | {"record_id": "i", "type": "warcinfo", "concurrent_to": None},
+        RECORD | {"record_id": "b", "type": "revisit", "concurrent_to": None, "refers_to": "a", "digest": "d", "http_length": 9},
+        RECORD | {"record_id": "c", "type": "revisit", "concurrent_to": None, "refers_to": "gone", "digest": "d"},
+    ]
+    records = spark.createDataFrame([tuple(r[f.strip().split()[0]] for f in warc.RECORD.split(", ")) for r in rows], warc.RECORD)
+    met = warc.captures(records)
+    got = {r["capture_id"]: r for r in met.collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"]["metadata"]["fields"] == {"k": "2"}
+    assert got["a"]["request"] is None and got["b"]["metadata"] is None and got["b"]["response"]["payload"] is None
+    assert got["a"]["response"]["payload_bytes"] == 1 and got["b"]["response"]["payload_bytes"] == 9
+    thin = met.select("capture_id", "response.refers_to", "response.type")
+    assert {r["capture_id"]: r["kind"] for r in warc.resolve(thin, "type", "kind").collect()} == {"a": None, "b": "response", "c": None}
 
 
 def test_archives_of_repeated_rows_and_none(spark):

@@ -6,12 +6,19 @@ text writer, with the record separator as line separator, makes the archives and
 them task by task; files hold a bounded number of records and are gzipped.
 
 Reading takes whole files (never larger than a writer's bound) and cuts them by
-Content-Length, so a payload may hold anything, record headers too. `captures` joins the
-records again by their ids, wherever they lie, and gives one nested row per capture.
+Content-Length, so a payload may hold anything, record headers too. `captures` brings the
+records together again by the response id they share, wherever they lie, in one pass over
+the archives, and gives one nested row per capture. `resolve` follows the record ids that
+revisits name.
 
 Among records with equal payloads of at least `REVISIT_BYTES` bytes the one with the
-largest page_id is the response, the others are revisits that carry its digest, its id
-and the HTTP header with the full length, but no payload.
+largest page_id is the response, the others are revisits that carry its digest, its
+record id in WARC-Refers-To and the HTTP header with the full length, but no payload.
+
+Record ids come from the place of a row in `pages`, so a table whose rows change places
+between two reads (an unsorted shuffle, say) is to be written first. Of several requests
+or metadata records of one capture that with the largest id counts; records that name no
+response of the archives are left out; a revisit whose response is not there refers to null.
 
 Nulls: a null html is an empty payload, a null url leaves out the target URI, a null
 page_id is smaller than any other and stays null. Repeated rows each become a
@@ -31,7 +38,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, small_batches
+from tidemark.llm.common import new_path, small, small_batches, table
 
 # Ship these functions with their tasks, so that executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -57,7 +64,7 @@ BATCH_BYTES = 4 << 20
 
 
 def _transactions(pages: DataFrame, revisit_bytes: int) -> DataFrame:
-    """Pages with digest, length, whether they revisit, and the page they refer to."""
+    """Pages with digest, length, whether they revisit, and the row they refer to."""
     html = F.coalesce(F.col("html"), F.lit(""))
     page = pages.select(
         "page_id",
@@ -71,8 +78,9 @@ def _transactions(pages: DataFrame, revisit_bytes: int) -> DataFrame:
     same = (
         page.filter(F.col("bytes") >= revisit_bytes)
         .groupBy(F.col("digest").alias("d"))
-        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+        .agg(F.max(F.struct("page_id", "row")).alias("k"), F.count("*").alias("n"))
         .filter("n > 1")
+        .select("d", F.col("k.page_id").alias("keeper"), F.col("k.row").alias("keeper_row"))
     )
     told = page.join(same, F.col("digest") == F.col("d"), "left")
     revisits = F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
@@ -82,7 +90,7 @@ def _transactions(pages: DataFrame, revisit_bytes: int) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES) -> None:
     """Write request, response or revisit, and metadata of every page under `folder`."""
     text = lambda c: c.cast("string")
-    name = lambda kind, *of: F.concat(F.lit("<urn:tx:"), F.md5(F.concat_ws("|", F.lit(kind), *of)), F.lit(">"))
+    name = lambda kind, row: F.concat(F.lit("<urn:tx:"), F.md5(F.concat_ws("|", F.lit(kind), text(F.col(row)))), F.lit(">"))
 
     def record(kind, block, id_, *headers):  # noqa: ANN001, ANN202 - columns
         lines = [F.lit(VERSION), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), id_)]
@@ -94,7 +102,7 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
         return F.concat(F.lit(f"{key}: "), value)
 
     tx = _transactions(pages, revisit_bytes)
-    own = name("response", text(F.col("row")))
+    own = name("response", "row")
     uri = header("WARC-Target-URI", F.col("url"))
     with_ = header("WARC-Concurrent-To", own)
     http = F.concat(
@@ -110,19 +118,13 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_B
         F.lit("Content-Type: application/http; msgtype=response"),
         header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
         F.when(F.col("revisits"), F.lit(f"WARC-Profile: {PROFILE}")),
-        F.when(F.col("revisits"), header("WARC-Refers-To", name("page", text(F.col("keeper")), F.col("digest")))),
+        F.when(F.col("revisits"), header("WARC-Refers-To", name("response", "keeper_row"))),
     )
     ask = F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{SEPARATOR}"))
-    request = record(F.lit("request"), ask, name("request", text(F.col("row"))), uri, with_)
-    about = F.concat_ws(
-        CRLF,
-        header("page-id", text(F.col("page_id"))),
-        # The id by which revisits name this capture, and the page they mean.
-        header("also-known-as", F.when(F.col("d").isNotNull() & ~F.col("revisits"), name("page", text(F.col("keeper")), F.col("digest")))),
-        header("refers-to-page", F.when(F.col("revisits"), text(F.col("keeper")))),
-    )
+    request = record(F.lit("request"), ask, name("request", "row"), uri, with_)
+    about = F.coalesce(header("page-id", text(F.col("page_id"))), F.lit(""))
     meta = record(
-        F.lit("metadata"), about, name("metadata", text(F.col("row"))), uri, F.lit("Content-Type: application/warc-fields"), with_
+        F.lit("metadata"), about, name("metadata", "row"), uri, F.lit("Content-Type: application/warc-fields"), with_
     )
     (
         tx.select(F.explode(F.array(request, main, meta)).alias("value"))
@@ -191,44 +193,71 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per response or revisit, with its request and metadata.
 
-    The payload digest and length of a response are computed from its payload. Only the
-    columns that a caller uses move through the joins.
+    The payload digest and length of a response are computed from its payload. The three
+    records meet by the id of the response, which is the own id of one and the concurrent-to
+    of the others. Only the columns that a caller uses move.
     """
     kind = F.col("type")
-    main = records.filter(kind.isin("response", "revisit")).select(
-        F.struct(
-            "record_id", "type", "target_uri", "refers_to", "payload",
-            F.when(kind == "response", F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
-            F.when(kind == "response", F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
-            F.col("digest").alias("told_digest"),
-        ).alias("response")
-    )
-    request = records.filter(kind == "request").select(
-        F.col("concurrent_to").alias("_request_of"), F.struct("record_id", "target_uri").alias("request")
+    is_main = kind.isin("response", "revisit")
+    full = kind == "response"
+    rows = records.select(
+        "*",
+        F.when(is_main, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("_capture"),
+        F.when(full, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        F.when(full, F.octet_length("payload").cast("long")).otherwise(F.col("http_length")).alias("payload_bytes"),
+        F.col("digest").alias("told_digest"),
+    ).filter(F.col("_capture").isNotNull())
+    parts = {
+        "request": (kind == "request", ["record_id", "target_uri"]),
+        "response": (
+            is_main,
+            ["record_id", "type", "target_uri", "refers_to", "payload", "payload_digest", "payload_bytes", "told_digest"],
+        ),
+        "metadata": (kind == "metadata", ["record_id", "fields"]),
+    }
+    met = rows.groupBy("_capture").agg(
+        *[
+            F.max_by(column, F.when(which, F.col("record_id"))).alias(f"{part}_{column}")
+            for part, (which, columns) in parts.items()
+            for column in columns
+        ]
     )
-    meta = records.filter(kind == "metadata").select(
-        F.col("concurrent_to").alias("_metadata_of"), F.struct("record_id", "fields").alias("metadata")
-    )
-    own = F.col("response.record_id")
-    return (
-        main.join(request, own == F.col("_request_of"), "left")
-        .join(meta, own == F.col("_metadata_of"), "left")
-        .select(own.alias("capture_id"), "request", "response", "metadata")
+    nested = {
+        part: F.struct(*[F.col(f"{part}_{column}").alias(column) for column in columns]) for part, (_, columns) in parts.items()
+    }
+    absent = lambda part: F.when(F.col(f"{part}_record_id").isNotNull(), nested[part]).alias(part)
+    return met.filter(F.col("response_record_id").isNotNull()).select(
+        F.col("_capture").alias("capture_id"), absent("request"), nested["response"].alias("response"), absent("metadata")
     )
 
 
+def resolve(rows: DataFrame, value: str, into: str) -> DataFrame:
+    """Add as `into` the `value` of the capture whose id `refers_to` names. `rows`: a written table with capture_id.
+
+    The ids that are named come down to one row each before anything moves, so that a response
+    with any number of revisits is one row of the join.
+    """
+    named = rows.filter(F.col("refers_to").isNotNull()).select(F.col("refers_to").alias("_named")).distinct()
+    found = rows.join(named, F.col("capture_id") == F.col("_named"), "left_semi")
+    found = small(table(found.select(F.col("capture_id").alias("_named"), F.col(value).alias(into)), "named"))
+    return rows.join(found, F.col("refers_to") == F.col("_named"), "left").drop("_named")
+
+
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Write `pages` to archives, read them back, one row per page (see the contract of op5)."""
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     write_archives(pages, folder)
-    page = captures(read_records(spark, folder))
-    field = lambda k: F.col("metadata.fields")[k].cast("long")
-    return page.select(
-        field("page-id").alias("page_id"),
+    page = captures(read_records(spark, folder)).select(
+        "capture_id",
+        F.col("response.refers_to").alias("refers_to"),
+        F.col("metadata.fields")["page-id"].cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        field("refers-to-page").alias("refers_to"),
         F.col("request.target_uri").alias("url"),
     )
+    told = resolve(table(page, "captures"), "page_id", "_page")
+    return told.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", F.col("_page").alias("refers_to"), "url"
+    )
