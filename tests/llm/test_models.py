@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import empty, odd_docs, with_extras
 from tidemark.llm import chars, decontam, langid, toxicity
@@ -129,6 +130,47 @@ def test_toxic_words_are_found_in_long_texts():
     assert np.mean(np.array(clean[:30]) >= 0.7) <= 0.05 and clean[30:] == [0.0, 0.0, 0.0]
 
 
+def test_forms_never_seen_are_known_by_their_stem():
+    rng = random.Random(11)
+    plain = ["".join(rng.choice("aeioumnrst") for _ in range(6)) for _ in range(400)]
+    ending = lambda: "".join(rng.choice("aeiou") for _ in range(4))
+
+    def text(bad):
+        w = [rng.choice(plain) for _ in range(60)]
+        for _ in range(bad):
+            w[rng.randrange(60)] = rng.choice(["vilekh", "scumbk"]) + ending()
+        return " ".join(w)
+
+    net = toxicity.fit([(text(3), 1) for _ in range(150)] + [(text(0), 0) for _ in range(300)])
+    found = np.array(toxicity.score_texts(net, [text(3) for _ in range(40)])) >= toxicity.THRESHOLD
+    clean = np.array(toxicity.score_texts(net, [text(0) for _ in range(40)])) >= toxicity.THRESHOLD
+    assert found.mean() >= 0.9 and clean.mean() <= 0.05
+
+
+def test_rows_of_words_and_stems():
+    words = chars.Words(["sp spark sparks spark"])
+    chosen, _ = words.distinct()
+    rows = toxicity.units(words, chosen)
+    none = 1 << toxicity.WORD_BITS
+    by_size = {int(e - s): rows[:, i] for i, (s, e) in enumerate(zip(words.start[chosen], words.end[chosen], strict=True))}
+    assert (by_size[2][1:] == none).all() and (by_size[5][1:4] == by_size[6][1:4]).all()
+    assert by_size[5][4] == none and by_size[6][4] != none and len({r[0] for r in by_size.values()}) == 3
+
+
+SF01 = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="needs the test tables")
+def test_held_out_toxicity(spark):
+    """Precision and recall of the query on the labelled rows it may not learn from."""
+    docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
+    truth = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    scored = toxicity.score_documents(docs.join(truth.select("doc_id"), "doc_id", "left_semi"), labels)
+    got = [(r["toxic"], r["predicted"]) for r in scored.filter("held_out").join(truth, "doc_id").collect()]
+    both = got.count((1, 1))
+    assert both >= 0.7 * sum(t for t, _ in got) and both >= 0.85 * sum(p for _, p in got)
+
+
 def test_every_word_is_in_a_window():
     counts = np.array([0, 1, 23, 24, 25, 36, 37, 1000])
     piece, first, size = toxicity.windows(counts)

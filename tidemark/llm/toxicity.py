@@ -1,7 +1,8 @@
 """Toxicity of texts: bidirectional GRU with attention pooling over overlapping windows.
 
-A word's input is the mean embedding of its character features beside an embedding of the
-word itself (hashed tables, both learned). Windows of `WINDOW` words start every half
+A word's input is the mean embedding of its character features beside the sum of embeddings
+of the word itself and of its stems (its first three to six letters), so that an inflected
+form never seen is known by its stem (hashed tables, all learned). Windows of `WINDOW` words start every half
 window, so each word is read in two contexts; every window of every text is scored, and a
 text's score is that of its worst window, put on a scale by a logistic fit on labelled
 texts that the network did not learn from. Forward and backward passes, attention and
@@ -9,8 +10,8 @@ their gradients are numpy; the weights have a fixed size and are broadcast.
 
 Training: at most about `TRAIN_ROWS` labelled rows of each class outside the held-out
 fold, of up to `TRAIN_WORDS` words, chosen by a hash of the id. Labels belong to texts, so
-a toxic text teaches by its worst window (at first: the window with the word that sets the
-classes apart most) and a clean text by all of its windows.
+a toxic text teaches by its worst window (at first: the window with the word whose parts
+are the most surprising in clean texts) and a clean text by all of its windows.
 
 Nulls and texts without letters score 0. Without labels of both classes every text scores
 0. Repeated rows give repeated results; extra columns are ignored.
@@ -34,15 +35,18 @@ from tidemark.llm.common import held_out, n_words, small_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TRAIN_ROWS = 1500  # of each class
-TRAIN_WORDS = 400
+TRAIN_WORDS = 1000
 FOLDS, FOLD = 3, 1
 THRESHOLD = 0.7
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
-WORD_BITS, CHAR_BITS = 15, 13
+WORD_BITS, CHAR_BITS = 17, 13
+STEMS = (3, 4, 5, 6)  # letters
 ROUNDS, STEPS = 6, 100  # gradient steps, after every STEPS the worst windows are chosen anew
 BATCH = 240
 RATE = 0.01
+WRONG = 0.05  # share of false labels the scale reckons with
+DECAY = 0.5  # of the embeddings a step, times RATE
 BLOCK = 4096  # windows scored at a time
 
 
@@ -57,7 +61,8 @@ class Net:
 
 def new_net(rng: np.random.Generator) -> Net:
     d = WORD_DIM + CHAR_DIM
-    p = {"words": np.zeros((1 << WORD_BITS, WORD_DIM)), "chars": rng.normal(0, 0.3, (1 << CHAR_BITS, CHAR_DIM))}
+    # The last row of the words stays zero: a stem that a word is too short for.
+    p = {"words": np.zeros(((1 << WORD_BITS) + 1, WORD_DIM)), "chars": rng.normal(0, 0.3, (1 << CHAR_BITS, CHAR_DIM))}
     for side in "fb":
         p[f"x{side}"] = rng.normal(0, d**-0.5, (d, 3 * HIDDEN))
         p[f"h{side}"] = rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN))
@@ -83,14 +88,26 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return piece, base[piece] + at, np.minimum(WINDOW, counts[piece] - at)
 
 
+def units(words: Words, chosen: np.ndarray) -> np.ndarray:
+    """(1 + stems, chosen) rows of the word table: the word itself and its stems."""
+    start, size = words.start[chosen], words.end[chosen] - words.start[chosen]
+    out = [slot(words.hash[chosen] + np.uint64(17), WORD_BITS)]
+    key = np.full(len(chosen), 29, dtype=np.uint64)
+    for at in range(max(STEMS)):
+        key = key * np.uint64(1_000_003) + words.code[np.minimum(start + at, len(words.code) - 1)]
+        if at + 1 in STEMS:
+            out.append(np.where(size > at, slot(key, WORD_BITS), 1 << WORD_BITS))
+    return np.stack(out).astype(np.int64)
+
+
 def word_inputs(p: dict[str, np.ndarray], words: Words, chosen: np.ndarray) -> tuple[np.ndarray, tuple]:
     """(chosen, dims) input of each chosen word, and what its gradient needs."""
     feats, of = words.features(chosen, CHAR_BITS)
-    own = slot(words.hash[chosen] + np.uint64(17), WORD_BITS)
+    own = units(words, chosen)
     n = np.maximum(np.bincount(of, minlength=len(chosen)), 1).astype(np.float32)
     table = p["chars"]
     mean = np.stack([np.bincount(of, weights=table[feats, j], minlength=len(chosen)) for j in range(CHAR_DIM)], 1) / n[:, None]
-    return np.concatenate([p["words"][own], mean.astype(np.float32)], 1), (feats, of, own, n)
+    return np.concatenate([p["words"][own].sum(0), mean.astype(np.float32)], 1), (feats, of, own, n)
 
 
 def _gru(x: np.ndarray, wh: np.ndarray, real: np.ndarray, order: range, keep: bool) -> tuple[np.ndarray, list]:
@@ -167,7 +184,10 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, parts: tuple, ids: np.nda
         grads[f"c{side}"] = per_word.sum(0)
         dx = dx + per_word @ p[f"x{side}"].T
     feats, of, own, n = parts
-    grads["words"] = np.stack([np.bincount(own, weights=dx[:, j], minlength=1 << WORD_BITS) for j in range(WORD_DIM)], 1)
+    each = own.ravel()
+    grads["words"] = np.stack(
+        [np.bincount(each, weights=np.tile(dx[:, j], len(own)), minlength=len(p["words"])) for j in range(WORD_DIM)], 1
+    )
     dmean = dx[:, WORD_DIM:] / n[:, None]
     grads["chars"] = np.stack([np.bincount(feats, weights=dmean[of, j], minlength=1 << CHAR_BITS) for j in range(CHAR_DIM)], 1)
     return grads
@@ -212,30 +232,33 @@ def fit(rows: list[tuple[str, int]], seed: int = 5) -> Net | None:
     words = Words([t.lower() for t, _ in rows])
     piece, first, size = windows(words.counts)
     chosen, back = words.distinct()
-    # How much more often each word stands in toxic texts than in clean ones, by texts.
+    # (text, distinct word) pairs.
     text_of = np.repeat(np.arange(len(rows)), words.counts)
     pairs = np.unique(text_of * np.int64(len(chosen)) + back)
-    hit, toxic = pairs % len(chosen), y[pairs // len(chosen)]
-    bad = np.bincount(hit[toxic == 1], minlength=len(chosen)) + 0.5
-    good = np.bincount(hit[toxic == 0], minlength=len(chosen)) + 0.5
-    odds = np.log(bad / (y.sum() + 1)) - np.log(good / ((1 - y).sum() + 1))
+    holder, hit = pairs // len(chosen), pairs % len(chosen)
     ids = _window_ids(back, first)
     own = np.arange(WINDOW)[None] < size[:, None]
-    rank = np.where(own, odds[ids], -np.inf).max(1)
-    # Words in three texts or more have an embedding of their own; its first entry starts
-    # at how surprising the word's share of toxic texts is. Rarer words have characters only.
-    expected = np.maximum((bad + good - 1) * y.mean(), 1e-9)
-    surprise = np.clip((bad - 0.5 - expected) / np.sqrt(expected) / 4, -1, 2)
-    often = bad + good >= 4
-    fresh, at = np.unique(slot(words.hash[chosen[often]] + np.uint64(17), WORD_BITS), return_index=True)
+    # Words and stems in three texts or more have an embedding of their own; its first entry starts
+    # at how surprising its share of toxic texts is. Rarer ones are known by their parts only.
+    table = len(net.p["words"])
+    in_all, in_toxic = np.zeros(table), np.zeros(table)
+    for kind in units(words, chosen):
+        held = np.unique(holder * np.int64(table) + kind[hit])
+        in_all += np.bincount(held % table, minlength=table)
+        in_toxic += np.bincount(held % table, weights=y[held // table], minlength=table)
+    expected = np.maximum(in_all * y.mean(), 1e-9)
+    surprise = np.clip((in_toxic - expected) / np.sqrt(expected) / 4, -1, 2)
+    fresh = np.flatnonzero(in_all[:-1] >= 3)
     net.p["words"][fresh] = rng.normal(0, 0.1, (len(fresh), WORD_DIM))
-    net.p["words"][fresh, 0] = surprise[often][at]
-    known = np.zeros((1 << WORD_BITS, 1), np.float32)
-    known[fresh] = 1
+    net.p["words"][fresh, 0] = surprise[fresh]
+    telling = net.p["words"][units(words, chosen), 0].sum(0)
+    rank = np.where(own, telling[ids], -np.inf).max(1)
     # One text in five only sets the scale.
     learn = np.arange(len(rows)) % 5 > 0
-    first_moment = {k: np.zeros(v.shape) for k, v in net.p.items()}
-    second_moment = {k: np.zeros(v.shape) for k, v in net.p.items()}
+    # Of the word table only rows that the training texts know move.
+    rows_of = {k: fresh if k == "words" else slice(None) for k in net.p}
+    first_moment = {k: np.zeros(v[rows_of[k]].shape) for k, v in net.p.items()}
+    second_moment = {k: np.zeros(v[rows_of[k]].shape) for k, v in net.p.items()}
     neg = np.flatnonzero((y[piece] == 0) & learn[piece])
     for step in range(1, ROUNDS * STEPS + 1):
         if step % STEPS == 1:
@@ -250,21 +273,26 @@ def fit(rows: list[tuple[str, int]], seed: int = 5) -> Net | None:
         used, local = np.unique(ids[w], return_inverse=True)
         x, parts = word_inputs(net.p, words, chosen[used])
         grads = gradients(net.p, x, parts, local.reshape(len(w), WINDOW), size[w], (y[piece[w]] == 1).astype(np.float32))
-        grads["words"] = grads["words"] * known
         for k, g in grads.items():
+            g = g[rows_of[k]]
             first_moment[k] = 0.9 * first_moment[k] + 0.1 * g
             second_moment[k] = 0.99 * second_moment[k] + 0.01 * g * g
             up = RATE * (first_moment[k] / (1 - 0.9**step)) / (np.sqrt(second_moment[k] / (1 - 0.99**step)) + 1e-7)
-            net.p[k] = (net.p[k] - up).astype(np.float32)
+            shrink = 1 - DECAY * RATE if k in ("words", "chars") else 1.0
+            net.p[k][rows_of[k]] = net.p[k][rows_of[k]] * np.float32(shrink) - up.astype(np.float32)
     kept = np.flatnonzero(~learn) if len({*y[~learn].tolist()}) == 2 else np.arange(len(rows))
     worst = np.full(len(rows), -np.inf)
     np.maximum.at(worst, *window_logits(net, words))
     kept = kept[np.isfinite(worst[kept])]
     a, b = 1.0, 0.0
-    for _ in range(500):  # logistic fit with a weak pull to the plain scale
-        q = _sigmoid(a * worst[kept] + b)
-        a -= 0.05 * (np.mean((q - y[kept]) * worst[kept]) + 0.01 * (a - 1))
-        b -= 0.05 * (np.mean(q - y[kept]) + 0.001 * b)
+    w, t = worst[kept], y[kept]
+    # Logistic fit in which a share WRONG of the labels of either class is false, with a weak pull to the plain scale.
+    for _ in range(4000):
+        q = _sigmoid(a * w + b)
+        told = WRONG + (1 - 2 * WRONG) * q
+        g = (told - t) / (told * (1 - told)) * (1 - 2 * WRONG) * q * (1 - q)
+        a -= 0.05 * (np.mean(g * w) + 0.002 * (a - 1))
+        b -= 0.05 * (np.mean(g) + 0.001 * b)
     net.scale, net.shift = float(a), float(b)
     return net
 
