@@ -249,6 +249,42 @@ def test_gated_levels_brute_force(spark, seed):
     assert shots
 
 
+@pytest.mark.parametrize("seed", [31, 32])
+def test_subscribers_share_the_runs_of_a_level(spark, seed):
+    rng = random.Random(seed)
+    subs, base, price, prices = 40, int(T0.timestamp()), 100.0, []
+    cands = make(600, subs, seed, days=6)
+    for i in range(288):
+        price = max(95.0, min(105.0, price + rng.choice([-2, -0.4, 0, 0, 0.4, 2])))
+        if rng.random() < 0.9:
+            prices.append((base + i * 1800, round(price, 1)))
+    levels = [(s, v, d) for s in range(subs) for v, d in ((100.0, "either"), (rng.choice([98.0, 101.0, 103.6]), rng.choice(["above", "below", "either"])))]
+    levels += [(s, 97.0, d) for s in (3, 9) for d in ("above", "below")]
+    gate = Gate(max_per_day=3, cooldown_hours=2, cooldowns={"inr_price_levels": 2.5})
+    mutes = [(s, base + 7_000 * s, base + 7_000 * s + 50_000) for s in (1, 3, 20)]
+    want, shots = walk(cands, gate, mutes, levels=sorted(levels, key=lambda x: x[1]), prices=prices)
+    made = lambda some: spark.createDataFrame([(s, v, d, "", "config") for s, v, d in some], LEVELS).withColumn("series", F.lit("p"))
+    watched = level_runs(price_ticks(spark, prices), made(levels), gate)
+    m = spark.createDataFrame(
+        [(s, datetime.fromtimestamp(a, UTC), datetime.fromtimestamp(b, UTC)) for s, a, b in mutes],
+        "subscriber bigint, from_ts timestamp, until_ts timestamp",
+    )
+    df = spark.createDataFrame(cands, COLS)
+    got = {}
+    for told in (True, False):
+        out = walked(df, gate, m, level_runs=watched, told=told).collect()
+        fired = [r for r in out if r["what"] == "fired"]
+        assert sorted((r["subscriber"], r["tick"], r["level"], r["direction"]) for r in fired if r["level"]) == sorted(shots)
+        assert {r["id"] for r in fired if not r["level"]} == {k for k, v in want.items() if v == "fired"}
+        got[told] = sorted((r["subscriber"], r["level"], r["mask"]) for r in out if r["what"] == "hit")
+    assert got[True] == got[False]
+    assert len(shots) > 100
+    # What goes into the walk does not grow as subscribers times runs.
+    one = level_runs(price_ticks(spark, prices), made({(1, v, d) for _, v, d in levels}), gate)
+    assert watched.days.count() == one.days.count()
+    assert watched.holders.count() == len(levels)
+
+
 def test_two_series_with_equal_levels_keep_apart(spark):
     base = int(T0.timestamp())
     ticks = price_ticks(spark, [(base, 110.0), (base + 1800, 110.0)], "a").unionByName(

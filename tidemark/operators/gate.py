@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import in_daily_window, local_day, minute_of_day, tick_of
-from tidemark.operators.walk import RUN_COLS, walk
+from tidemark.operators.walk import Watched, walk
 from tidemark.rules import Gate
 
 KEY = ["subscriber", "tick", "trigger"]
@@ -76,25 +76,24 @@ def walked(
     gate: Gate,
     mutes: DataFrame | None = None,
     prior: DataFrame | None = None,
-    level_runs: DataFrame | None = None,
+    level_runs: Watched | None = None,
     prior_hits: DataFrame | None = None,
+    told: bool = True,
 ) -> DataFrame:
-    """What the walk says: `fired` rows, levels that are `held` back with the reason, and
+    """What the walk says: `fired` rows, levels that are `held` back with the reason (if `told`), and
     levels left `hit` with the mask of their sides, which the next run takes as `prior_hits`.
 
     `level_runs` comes from `levels.level_runs` with the same gate.
     """
     contenders = _contenders(_prepared(candidates, gate).filter(~F.col("_quiet")), gate)
     if level_runs is not None:
-        watched = level_runs.withColumn("cooldown", cooldown_column(gate))
-        shared = [*KEY, "id", "severity", "cooldown", *RUN_COLS]
-        contenders = contenders.unionByName(watched.select(*shared), allowMissingColumns=True)
-    return walk(contenders, gate.tz, gate.max_per_day, gate.tick_minutes, prior, mutes, prior_hits)
+        level_runs = level_runs._replace(holders=level_runs.holders.withColumn("cooldown", cooldown_column(gate)))
+    return walk(contenders, gate.tz, gate.max_per_day, gate.tick_minutes, prior, mutes, prior_hits, level_runs, told)
 
 
-def gated_fires(candidates: DataFrame, gate: Gate, *args: DataFrame | None, **more: DataFrame | None) -> DataFrame:
+def gated_fires(candidates: DataFrame, gate: Gate, *args: DataFrame | Watched | None, **more: DataFrame | Watched | None) -> DataFrame:
     """The fired rows alone, arguments as for `walked`."""
-    fired = walked(candidates, gate, *args, **more).filter("what = 'fired'")
+    fired = walked(candidates, gate, *args, **more, told=False).filter("what = 'fired'")
     return fired.select("subscriber", "tick", "trigger", "id", "series", "level", "direction")
 
 
@@ -103,7 +102,7 @@ def alert_gate(
     gate: Gate,
     mutes: DataFrame | None = None,
     prior: DataFrame | None = None,
-    level_runs: DataFrame | None = None,
+    level_runs: Watched | None = None,
     prior_hits: DataFrame | None = None,
 ) -> DataFrame:
     """Add `tick`, `outcome` (fired, disabled, muted, quiet, cooldown, budget).
@@ -117,7 +116,7 @@ def alert_gate(
         tick = F.timestamp_seconds(tick_of(F.col("ts"), gate.tick_minutes))
         return candidates.withColumn("tick", tick).withColumn("outcome", F.lit("disabled"))
     rows = _prepared(candidates, gate)
-    fires = walked(candidates, gate, mutes, prior, level_runs, prior_hits).filter("what = 'fired'")
+    fires = walked(candidates, gate, mutes, prior, level_runs, prior_hits, told=False).filter("what = 'fired'")
     own = F.when(F.col("level").isNull(), F.col("id"))
     marked = fires.select(*KEY, own.alias("id"), "cooled", F.lit(True).alias("now"))
     if prior is not None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.dates import in_daily_window, local_day_number, minute_of_day
 from tidemark.functions.numbers import change_pct
-from tidemark.operators.walk import walk
+from tidemark.operators.walk import SHAPE, Watched, walk
 from tidemark.rules import REARM_MARGIN_PCT, Gate
 
 SALTS = 16
@@ -102,13 +102,18 @@ def price_runs(ticks: DataFrame, levels: DataFrame) -> DataFrame:
     return runs.withColumn("follow", own)
 
 
-def level_runs(ticks: DataFrame, levels: DataFrame, gate: Gate) -> DataFrame:
-    """Rows for the gate's walk: the runs of each subscriber's levels, cut into blocks of
-    `BLOCK` ticks and local days, their ticks as bits. A run in which a level can't fire
-    is its first ticks alone, at which the level may re-arm.
+def _by_day(runs: DataFrame) -> DataFrame:
+    """One row for each (series, level, direction, day) with its runs."""
+    return runs.groupBy(*SHAPE, "day").agg(F.collect_list(F.struct("tick", "price", "bits", "open")).alias("runs"))
 
-    `levels`: subscriber, series, value, direction, origin. What depends on series, level
-    and direction alone is worked out once; subscribers join by equality at the end.
+
+def level_runs(ticks: DataFrame, levels: DataFrame, gate: Gate) -> Watched:
+    """What the gate's walk needs of levels: who watches which, and the runs of each level by
+    local day, cut into blocks of `BLOCK` ticks, their ticks as bits. A run in which a level
+    can't fire is its first ticks alone, at which the level may re-arm.
+
+    `levels`: subscriber, series, value, direction, origin. Runs depend on series, level
+    and direction alone; no subscriber has a copy of its own.
     """
     width = gate.tick_minutes * 60
     named = levels.withColumnRenamed("value", "level")
@@ -127,7 +132,7 @@ def level_runs(ticks: DataFrame, levels: DataFrame, gate: Gate) -> DataFrame:
         .agg(F.bit_or("bit").alias("bits"), F.coalesce(F.bit_or(F.when(~F.col("quiet"), F.col("bit"))), F.lit(0).cast("bigint")).alias("open"), F.max("tick").alias("newest"))
     )
     last = grid.groupBy("series").agg(F.max("block").alias("last_block")).withColumn("_salt", _every_salt())
-    shape = ["series", "level", "direction", "price"]
+    shape = [*SHAPE, "price"]
     able = (
         runs.filter(fires)
         .withColumn("_salt", _salt("level"))
@@ -145,12 +150,12 @@ def level_runs(ticks: DataFrame, levels: DataFrame, gate: Gate) -> DataFrame:
     still = runs.filter(~fires).select(
         *shape, local_day_number(F.col("tick"), gate.tz).alias("day"), "tick", F.lit(1).cast("bigint").alias("bits"), F.lit(0).cast("bigint").alias("open")
     )
-    return named.join(able.unionByName(still), ["series", "level", "direction"]).select(
-        "subscriber", F.lit(LEVEL_TRIGGER).alias("trigger"), *shape, "day", "tick", "bits", "open",
-        F.lit(LEVEL_SEVERITY).alias("severity"),
+    holders = named.select(
+        "subscriber", F.lit(LEVEL_TRIGGER).alias("trigger"), *SHAPE, F.lit(LEVEL_SEVERITY).alias("severity"),
         # Configured levels come before added ones, then by value.
         (F.when(F.col("origin") == "config", 0).otherwise(1) * F.lit(10**15) + F.round(F.col("level") * 10_000)).cast("bigint").alias("id"),
     )
+    return Watched(holders, _by_day(able.unionByName(still)))
 
 
 def _ungated(ticks: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,12 +166,14 @@ def _ungated(ticks: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]
     wanted = named.select("series", "level", "direction", "_key").distinct()
     runs = price_runs(ticks, wanted.select("series", "level").distinct()).join(wanted, ["series", "level"])
     one = F.lit(1).cast("bigint")
-    rows = runs.select(
-        F.col("_key").alias("subscriber"), "series", "level", "direction", "price", F.lit(LEVEL_TRIGGER).alias("trigger"),
-        F.explode(F.concat(F.array("tick"), "follow")).alias("tick"), one.alias("bits"), one.alias("open"),
+    looked = runs.select(*SHAPE, "price", F.explode(F.concat(F.array("tick"), "follow")).alias("tick"), one.alias("bits"), one.alias("open"))
+    days = _by_day(looked.withColumn("day", local_day_number(F.col("tick"), FREE.tz)))
+    holders = wanted.select(
+        F.col("_key").alias("subscriber"), F.lit(LEVEL_TRIGGER).alias("trigger"), *SHAPE,
         F.lit(LEVEL_SEVERITY).alias("severity"), one.alias("id"), F.lit(0).cast("bigint").alias("cooldown"),
     )
-    return named, walk(rows, FREE.tz, FREE.max_per_day).withColumnRenamed("subscriber", "_key")
+    walked = walk(None, FREE.tz, FREE.max_per_day, watched=Watched(holders, days), told=False)
+    return named, walked.withColumnRenamed("subscriber", "_key")
 
 
 def level_crossings(ticks: DataFrame, levels: DataFrame) -> DataFrame:
