@@ -331,7 +331,7 @@ def _values(column: pa.Array) -> list:
         return [None if n is None else cells[end - n : end] for n, end in zip(_values(sizes), ends, strict=True)]
     if pa.types.is_struct(kind):
         return list(zip(*(_values(c) for c in column.flatten()), strict=True))
-    if pa.types.is_string(kind):
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
         coded = column.dictionary_encode()
         names = [*coded.dictionary.to_pylist(), None]
         return [names[k] for k in coded.indices.fill_null(-1).to_numpy().tolist()]
