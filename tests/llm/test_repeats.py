@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm.data import empty, odd_docs, with_extras
-from tidemark.llm import blocks, chars, columns
+from tidemark.llm import blocks, chars, columns, common
 
 
 def brute_words(rows, width=35):
@@ -151,3 +151,24 @@ def test_an_anchor_in_a_third_of_the_rows_is_in_no_single_sort(spark, monkeypatc
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     got = sorted((tuple(r[n] for n in names) for r in columns.remove_repeats(df).collect()), key=str)
     assert got == brute_bytes(rows)
+
+
+def test_an_anchor_once_in_each_group_of_texts_is_in_no_single_sort(spark, monkeypatch):
+    monkeypatch.setattr(columns, "CHUNK", 6000)
+    monkeypatch.setattr(common, "BATCH_ROWS", 1)
+    sort = columns.repeated_windows
+
+    def bounded(data, *rest):
+        assert len(data) <= 5 * 6000
+        return sort(data, *rest)
+
+    monkeypatch.setattr(columns, "repeated_windows", bounded)
+    rng = random.Random(22)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = noise(300)
+    rows = [(i, noise(400) + passage + noise(400), "en", "s", 1) for i in range(200)]
+    rows += [(300 + i, noise(9) + rows[3 * i][1][150 + 7 * i : 750 + 7 * i] + noise(300), "en", "s", 1) for i in range(20)]
+    df = spark.createDataFrame(rows, empty(spark).schema).repartition(4)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = sorted((tuple(r[n] for n in names) for r in columns.remove_repeats(df).collect()), key=str)
+    assert got == brute_bytes(rows)
