@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import empty, odd_docs, with_extras
 from tidemark.llm import blocks, chars, columns, common
@@ -172,3 +173,28 @@ def test_an_anchor_once_in_each_group_of_texts_is_in_no_single_sort(spark, monke
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     got = sorted((tuple(r[n] for n in names) for r in columns.remove_repeats(df).collect()), key=str)
     assert got == brute_bytes(rows)
+
+
+def test_copies_of_a_frequent_text_meet_in_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(columns, "OFTEN", 20, raising=False)
+    written, write = {}, columns.table
+    monkeypatch.setattr(columns, "table", lambda df, name: written.setdefault(name, write(df, name)))
+    rng = random.Random(23)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    often, short = noise(900), noise(300)
+    rows = [(i, often if i % 4 else short if i % 8 else noise(700), "en", "s", 1) for i in range(480)]
+    rows += [(500, noise(50) + often[100:650] + noise(60), "en", "s", 1), (501, short + noise(200), "en", "s", 1), (None, often, "en", "s", 1), rows[1], rows[1]]
+    df = spark.createDataFrame(rows, empty(spark).schema).repartition(8)
+    confs = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        got = sorted((tuple(r[n] for n in names) for r in columns.remove_repeats(df).collect()), key=str)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == brute_bytes(rows)
+    assert max(r["count"] for r in written["state"].groupBy(F.input_file_name()).count().collect()) < 120
+    assert written["dealt"].filter("local").count() == 0
