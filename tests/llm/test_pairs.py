@@ -12,7 +12,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.data import DOCS, empty, odd_docs, with_extras
 from tidemark.llm import flatgraph, langid, linespread, mixing, oddsketch
-from tidemark.llm.common import read
+from tidemark.llm.common import read, table
 from tidemark.llm.components import components
 
 
@@ -207,6 +207,73 @@ def test_audit_counts_what_is_missed(spark):
     assert flatgraph.audit(df, full.selectExpr("vec_id", "cast(13 as bigint) as n_links")) == pytest.approx(1 / 3)
 
 
+def crowd(n, width=12, spread=0.05, seed=6):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=width) + rng.normal(0, spread, (n, width))
+    return [(i, v, 0, "x") for i, v in enumerate(np.float32(x).tolist())]
+
+
+def bounded(make, most):
+    def outer(threshold, width):
+        run = make(threshold, width)
+
+        def watched(rows):
+            import tracemalloc
+
+            tracemalloc.start()
+            out, peak = run(rows), tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            assert peak < most, f"{peak >> 20} MB"
+            return out
+
+        return watched
+
+    return outer
+
+
+def test_a_crowd_of_vectors_is_searched_in_bounded_memory(spark, monkeypatch):
+    n = 1500
+    monkeypatch.setattr(flatgraph, "_search", bounded(flatgraph._search, 64 << 20))
+    out = flatgraph.near_vectors(spark.createDataFrame(crowd(n), VECTORS)).collect()
+    assert {(r["n_links"], r["component_id"]) for r in out} == {(n - 1, 0)} and len(out) == n
+
+
+def test_a_crowd_over_many_shards_is_not_written_in_pairs(spark, monkeypatch):
+    n, written = 1200, {}
+    monkeypatch.setattr(flatgraph, "MOST", 150)
+    monkeypatch.setattr(flatgraph, "SHARD", 50)
+    monkeypatch.setattr(flatgraph, "GUESTS", 100, raising=False)
+
+    def counted(df, name):
+        out = table(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(flatgraph, "table", counted)
+    out = flatgraph.near_vectors(spark.createDataFrame(crowd(n), VECTORS)).collect()
+    assert len(out) == n and {r["component_id"] for r in out} == {0}
+    assert sum(r["n_links"] for r in out) >= 0.999 * n * (n - 1)
+    assert max(written.values()) < n * n / 20, written
+
+
+def test_vectors_that_differ_by_a_factor_are_one_class(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "MOST", 60)
+    written = {}
+
+    def counted(df, name):
+        out = table(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(flatgraph, "table", counted)
+    rows = [(i, [0.0, (i + 1) / 7, 0.0], 0, "x") for i in range(200)] + [(300 + i, [-(2.0**i), 0.0, 2.0**i], 0, "x") for i in range(20)]
+    rows += [(400, [0.0, -1.0, 0.0], 0, "x"), (401, [0.0, 1.0], 0, "x"), (402, [1.0, 0.0], 0, "x")]
+    out = flatgraph.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    want = {i: (199, 0) for i in range(200)} | {300 + i: (19, 300) for i in range(20)} | {i: (0, i) for i in (400, 401, 402)}
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == want
+    assert written["vectors"] == 5
+
+
 def test_repeated_vectors_and_none(spark):
     rows = [(1, [1.0, 0.0], 0, "x")] * 3 + [(2, [1.0, 0.01], 0, "x"), (None, [0.0, 1.0], 0, "x")]
     out = flatgraph.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
